@@ -49,16 +49,18 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> D
 
 
 def exact_percentile(df: DataFrame, col: str, p: float = 0.5, method: str = "sort",
-                     alias: str | None = None) -> DataFrame:
+                     alias: str | None = None, weight: str | None = None) -> DataFrame:
     """Exact ``percentile_cont(p)`` of ``col`` over the whole table as a one-row DataFrame.
 
     ``method='histogram'`` groups equal values first (right for integer days: the distinct-value table
-    is small); ``method='sort'`` uses ``global_row_number`` for arbitrary doubles.
+    is small; ``weight`` names a column of row multiplicities); ``method='sort'`` uses
+    ``global_row_number`` for arbitrary doubles.
     """
     alias = alias or f"p{int(p * 100)}_{col}"
-    vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    w_col = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    vals = df.select(F.col(col).cast("double").alias("v"), w_col.alias("_w")).filter(F.col("v").isNotNull())
     if method == "histogram":
-        hist = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        hist = vals.groupBy("v").agg(F.sum("_w").alias("c"))
         w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("cum", F.sum("c").over(w)).withColumn("start", F.col("cum") - F.col("c"))
         n = hist.select(F.sum("c")).scalar()
@@ -68,7 +70,9 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, method: str = "sor
         return hist.agg(pick(lo).alias("vlo"), pick(hi).alias("vhi"),
                         F.max(lo).alias("lo"), F.max((n - 1) * F.lit(p)).alias("x")).select(
             (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * (F.col("x") - F.col("lo"))).alias(alias))
-    ranked = global_row_number(vals, [F.col("v").asc()], "rn")
+    if weight:
+        raise ValueError("weights need method='histogram'")
+    ranked = global_row_number(vals.select("v"), [F.col("v").asc()], "rn")
     n = ranked.select(F.count(F.lit(1))).scalar()
     x = (n - 1) * F.lit(p)
     lo = F.floor(x) + 1

@@ -26,3 +26,13 @@ def trailing_window(df: DataFrame, days: int, col: str = "t_dat", strict: bool =
 def day_diff(end: Column, start: Column) -> Column:
     """Calendar-day difference as BIGINT (DATE inputs)."""
     return F.datediff(end, start).cast("long")
+
+
+def round_half_away(x: Column, digits: int) -> Column:
+    """``ROUND(x, d)`` on a DOUBLE the way the reference's engine does it: ``round(x * 10^d) / 10^d``.
+
+    Spark's ``round`` works on the decimal text of the double (so 0.075 → 0.08), while scaling first
+    rounds the binary value (0.075 * 100 = 7.4999… → 0.07). Using the scaled form keeps results equal.
+    """
+    scale = float(10 ** digits)
+    return F.round(x.cast("double") * F.lit(scale), 0) / F.lit(scale)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.order import global_row_number
-from basketry.functions.windows import day_diff, max_date, trailing_window
+from basketry.functions.windows import day_diff, max_date, round_half_away, trailing_window
 
 # Purchase-frequency bands and their numeric encoding.
 FREQ_HIGH_MIN = 10
@@ -38,7 +38,7 @@ def user_features(tx: DataFrame, lookback_days: int = 28) -> DataFrame:
         F.min("t_dat").alias("first_purchase_date"))
     return stats.select(
         "customer_id", "purchase_count", "unique_items",
-        F.round("avg_price_raw", 2).alias("avg_price"),
+        round_half_away(F.col("avg_price_raw"), 2).alias("avg_price"),
         day_diff(dmax, F.col("last_purchase_date")).alias("recency"),
         frequency_band(F.col("purchase_count")).alias("purchase_frequency"),
         "last_purchase_date", "first_purchase_date")
@@ -68,7 +68,7 @@ def item_features(tx: DataFrame, articles: DataFrame, lookback_days: int = 7) ->
     ranked = global_row_number(known, [F.col("sales_count").desc(), F.col("article_id").asc()],
                                "popularity_rank")
     return ranked.select("article_id", "prod_name", "popularity_rank", "sales_count", "unique_customers",
-                         F.round("avg_price_raw", 2).alias("avg_price"), "last_sold_date")
+                         round_half_away(F.col("avg_price_raw"), 2).alias("avg_price"), "last_sold_date")
 
 
 def item_feature_stats(itf: DataFrame, top_n: int = 100) -> DataFrame:
@@ -100,13 +100,15 @@ def top_items(itf: DataFrame, top_k: int = 100) -> DataFrame:
 
 
 def feature_store_stats(uf: DataFrame, itf: DataFrame) -> DataFrame:
-    """Key 8: two one-row aggregates side by side."""
-    u = uf.agg(F.count(F.lit(1)).alias("total_users"),
-               F.round(F.avg(F.col("purchase_count").cast("double")), 2).alias("avg_purchases"))
-    i = itf.agg(F.count(F.lit(1)).alias("total_items"),
-                F.round(F.avg(F.col("sales_count").cast("double")), 2).alias("avg_sales"),
-                F.max("sales_count").alias("max_sales"))
-    return u.crossJoin(i)  # 1 x 1 rows
+    """Key 8: user and item totals in one row. The item side enters as scalar subqueries, which
+    Spark merges into a single aggregate over the item table."""
+    sales = F.col("sales_count")
+    return uf.agg(F.count(F.lit(1)).alias("total_users"),
+                  round_half_away(F.avg(F.col("purchase_count").cast("double")), 2).alias("avg_purchases")).select(
+        "total_users", "avg_purchases",
+        itf.select(F.count(F.lit(1))).scalar().alias("total_items"),
+        itf.select(round_half_away(F.avg(sales.cast("double")), 2)).scalar().alias("avg_sales"),
+        itf.select(F.max(sales)).scalar().alias("max_sales"))
 
 
 def refresh_features(tx: DataFrame, articles: DataFrame, out_dir: str,
