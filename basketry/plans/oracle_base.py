@@ -31,13 +31,14 @@ responses AS (
 """
 
 
-def with_base(body: str, extra_ctes: str = "") -> str:
+def with_base(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     """Prefix ``body`` (a SELECT, optionally starting with its own WITH list) with the base tables
     and any shared CTEs (``extra_ctes`` is a comma-free-ended list such as ``a AS (...), b AS (...)``)."""
     body = body.strip()
     ctes = BASE_CTES.strip()
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip().rstrip(",")
+    head = "WITH RECURSIVE " if recursive else "WITH "
     if body[:4].upper() == "WITH":
-        return "WITH " + ctes + ",\n" + body[4:].lstrip()
-    return "WITH " + ctes + "\n" + body
+        return head + ctes + ",\n" + body[4:].lstrip()
+    return head + ctes + "\n" + body
