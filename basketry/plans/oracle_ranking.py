@@ -89,3 +89,31 @@ mranked AS (SELECT customer_id, label,
 agg AS (SELECT customer_id, sum(label) AS npos, min(CASE WHEN label = 1 THEN p END) AS first_hit, {aggs}
         FROM mranked GROUP BY customer_id),
 {name} AS ({' UNION ALL '.join(x.strip() for x in parts)})"""
+
+
+def serving_ctes(top_k: int, low_total_k: int) -> str:
+    """CTEs ending in ``recs``: (customer_id, pos, article_id, score, segment, strategy, fallback) for every
+    customer. Needs, before it: segs, uf, itf, cfw (+_dmax), seeds, craw/cpr, cf300, pop1000, musers,
+    lpoprec*, pref, lcat, lusers."""
+    from basketry.plans.oracle_candidates import low_activity_sql, merged_sql
+    return f"""
+mc AS (SELECT * FROM ({merged_sql(300, cf='cf300')})),
+rr AS (SELECT mc.customer_id, mc.pos AS cand_pos, mc.article_id, uf.purchase_count, uf.recency,
+              CAST(CASE uf.purchase_frequency WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 0 END
+                   AS BIGINT) AS purchase_frequency_encoded, itf.popularity_rank, itf.sales_count,
+              (itf.popularity_rank IS NOT NULL AND itf.sales_count IS NOT NULL AND uf.purchase_count IS NOT NULL) AS ok
+       FROM mc LEFT JOIN uf ON mc.customer_id = uf.customer_id LEFT JOIN itf ON mc.article_id = itf.article_id),
+rra AS (SELECT *, max(CAST(ok AS INTEGER)) OVER (PARTITION BY customer_id) AS anyok FROM rr),
+rok AS (SELECT * FROM rra WHERE ok),{tree_ctes('rok', ['customer_id', 'article_id'], 'rsc')},
+arecs AS (SELECT * FROM (
+  SELECT a.customer_id,
+         CAST(row_number() OVER (PARTITION BY a.customer_id
+              ORDER BY CASE WHEN a.anyok = 1 THEN s.score END DESC NULLS LAST, a.cand_pos ASC) AS BIGINT) AS pos,
+         a.article_id, CASE WHEN a.anyok = 1 THEN s.score END AS score,
+         'active' AS segment, 'cf_ranker' AS strategy, a.anyok = 0 AS fallback
+  FROM rra a LEFT JOIN rsc s ON a.customer_id = s.customer_id AND a.article_id = s.article_id
+  WHERE a.anyok = 0 OR a.ok) WHERE pos <= {int(top_k)}),
+lrecs AS (SELECT customer_id, pos, article_id, CAST(NULL AS DOUBLE) AS score, 'low_activity' AS segment,
+                 'enhanced_fallback' AS strategy, false AS fallback
+          FROM ({low_activity_sql(low_total_k, 'lusers')})),
+recs AS (SELECT * FROM arecs UNION ALL SELECT * FROM lrecs)"""
