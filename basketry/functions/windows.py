@@ -12,13 +12,14 @@ def max_date(df: DataFrame, col: str = "t_dat") -> Column:
 
 
 def trailing_window(df: DataFrame, days: int, col: str = "t_dat", strict: bool = False,
-                    anchor: DataFrame | None = None) -> DataFrame:
+                    anchor: DataFrame | None = None, dmax: Column | None = None) -> DataFrame:
     """Rows with ``col >= max(col) - days`` (inclusive: days + 1 calendar days).
 
-    ``anchor`` is the table whose max defines the window end (defaults to ``df`` itself);
-    ``strict`` switches to ``>`` for the one operator that uses it.
+    ``anchor`` is the table whose max defines the window end (defaults to ``df`` itself), or pass the
+    end date itself as ``dmax``; ``strict`` switches to ``>`` for the one operator that uses it.
     """
-    start = F.date_sub(max_date(anchor if anchor is not None else df, col), int(days))
+    end = dmax if dmax is not None else max_date(anchor if anchor is not None else df, col)
+    start = F.date_sub(end, int(days))
     cond = F.col(col) > start if strict else F.col(col) >= start
     return df.filter(cond)
 

@@ -30,8 +30,17 @@ BASKET_SPLIT = 512  # distinct items per basket handled by one join key
 
 
 def cf_window(tx: DataFrame, cf_window_days: int = 28) -> DataFrame:
-    """Key 15: rows with ``t_dat >= max - cf_window_days`` (duplicates kept)."""
-    return trailing_window(tx.select("customer_id", "article_id", "t_dat"), cf_window_days)
+    """Key 15: rows with ``t_dat >= max - cf_window_days`` (duplicates kept).
+
+    The window carries its end date as a constant column ``dmax`` (the same scalar subquery that
+    defines the window, evaluated once), so seeds, decay and trending need no further max."""
+    dmax = max_date(tx)
+    return trailing_window(tx.select("customer_id", "article_id", "t_dat"), cf_window_days, dmax=dmax).withColumn(
+        "dmax", dmax)
+
+
+def _window_end(cfw: DataFrame) -> Column:
+    return F.col("dmax") if "dmax" in cfw.columns else max_date(cfw)
 
 
 def rank_score(rank: Column) -> Column:
@@ -82,7 +91,7 @@ def decay(days: Column, half_life_days: int, max_days: int = DECAY_TABLE_DAYS) -
 
 def recent_seeds(cfw: DataFrame, recent_items: int = 10, half_life_days: int = 14) -> DataFrame:
     """Key 19: each user's last N purchase rows (date desc, id asc) with weight 0.5^(age/half_life)."""
-    dmax = max_date(cfw)
+    dmax = _window_end(cfw)
     w = Window.partitionBy("customer_id").orderBy(F.col("t_dat").desc(), F.col("article_id").asc())
     return (cfw.withColumn("rnk", F.row_number().over(w).cast("long")).filter(F.col("rnk") <= recent_items)
                .select("customer_id", "rnk", F.col("article_id").alias("seed_item"), F.col("t_dat").alias("seed_date"),
@@ -90,7 +99,9 @@ def recent_seeds(cfw: DataFrame, recent_items: int = 10, half_life_days: int = 1
 
 
 def _basket_counts(cfw: DataFrame) -> DataFrame:
-    return cfw.groupBy("customer_id", "t_dat", "article_id").agg(F.count(F.lit(1)).alias("m"))
+    """(customer, day, item) row counts, with the day's age in days (a function of the day)."""
+    age = F.datediff(_window_end(cfw), F.col("t_dat"))
+    return cfw.groupBy("customer_id", "t_dat", "article_id", age.alias("age")).agg(F.count(F.lit(1)).alias("m"))
 
 
 def item_cooccurrence(cfw: DataFrame, cooc_same_day_only: bool = True, cooc_max_day_gap: int = 3,
@@ -99,7 +110,6 @@ def item_cooccurrence(cfw: DataFrame, cooc_same_day_only: bool = True, cooc_max_
     """Key 20: ``C(seed, cand)`` = sum over same-customer row pairs (seed row, cand row, cand != seed)
     on the same day (or within ±gap days) of ``0.5^(age(cand row)/half_life)``; top N per seed by
     score desc, cand asc. Columns: seed_item, cand_item, score, rr."""
-    dmax = max_date(cfw)
     m = _basket_counts(cfw)
     gap = 0 if cooc_same_day_only else max(int(cooc_max_day_gap), 0)
     sizes = m.groupBy("customer_id", "t_dat").agg(F.count(F.lit(1)).alias("n_items"))
@@ -111,7 +121,7 @@ def item_cooccurrence(cfw: DataFrame, cooc_same_day_only: bool = True, cooc_max_
               .withColumn("salt", F.pmod(F.xxhash64("seed_item"), F.col("nsalt")).cast("int"))
               .drop("nsalt"))
     right = m.select("customer_id", F.col("t_dat").alias("d2"), F.col("article_id").alias("cand_item"),
-                     F.col("m").alias("m_cand"))
+                     F.col("m").alias("m_cand"), F.col("age").alias("age2"))
     if gap > 0:
         right = (right.withColumn("off", F.explode(F.sequence(F.lit(-gap), F.lit(gap))))
                       .withColumn("d1", F.date_add(F.col("d2"), F.col("off"))).drop("off"))
@@ -124,7 +134,7 @@ def item_cooccurrence(cfw: DataFrame, cooc_same_day_only: bool = True, cooc_max_
                  .filter(F.col("seed_item") != F.col("cand_item"))
                  .select("seed_item", "cand_item",
                          ((F.col("m_seed") * F.col("m_cand")).cast("double")
-                          * decay(F.datediff(dmax, F.col("d2")), half_life_days)).alias("contrib")))
+                          * decay(F.col("age2"), half_life_days)).alias("contrib")))
     c = pairs.groupBy("seed_item", "cand_item").agg(F.sum("contrib").alias("raw"))
     c = c.withColumn("score", round_half_away(F.col("raw"), SCORE_DIGITS))
     w = Window.partitionBy("seed_item").orderBy(F.col("score").desc(), F.col("cand_item").asc())
@@ -230,7 +240,7 @@ def merged_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, total_k:
 def trending_items(cfw: DataFrame, top_n: int = 200, recency_window_days: int = 30) -> DataFrame:
     """Key 24: inside the CF window, sales in the last N days; ``count / (1 + max count)``; top N by
     score desc, id asc. Columns: pos, article_id, recent_count, recency_score."""
-    recent = trailing_window(cfw, recency_window_days)
+    recent = trailing_window(cfw, recency_window_days, dmax=_window_end(cfw))
     counts = recent.groupBy("article_id").agg(F.count(F.lit(1)).alias("recent_count"))
     mx = counts.select(F.max("recent_count")).scalar()
     scored = counts.withColumn("recency_score", F.col("recent_count").cast("double") / (F.lit(1.0) + mx))

@@ -120,13 +120,40 @@ def responses_from_events(events: DataFrame) -> DataFrame:
     return events.select(e.alias("event_id"), text.alias("text"))
 
 
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def materialized_tx(spark: SparkSession, root: str, build) -> DataFrame:
+    """The transactions table written once per application under the checkpoint folder.
+
+    The adapter is a ``lineitem`` ⋈ ``orders`` join; every operator (and every trailing-window max)
+    would otherwise re-run it. Writing it once gives a plain columnar fact table that survives
+    executor loss and that later scans read without the join; the location is the shared folder the
+    session names in ``spark.checkpoint.dir``.
+    """
+    from basketry.session import ensure_checkpoint_dir
+    app = spark.sparkContext.applicationId
+    key = (app, root)
+    if key not in _MATERIALIZED:
+        import hashlib
+        tag = hashlib.md5(root.encode()).hexdigest()[:12]
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-tables/{app}/{tag}/tx"
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(_MATERIALIZED[key])
+
+
 @dataclass
 class Tables:
-    """The logical inputs of every operator, built lazily from one data directory."""
+    """The logical inputs of every operator, built lazily from one data directory.
+
+    ``materialize`` (default on) writes the derived transactions table once per application.
+    """
 
     spark: SparkSession
     root: str
     _cache: dict = field(default_factory=dict)
+    materialize: bool = True
 
     def raw(self, name: str) -> DataFrame:
         key = "raw:" + name
@@ -136,7 +163,12 @@ class Tables:
 
     @property
     def tx(self) -> DataFrame:
-        return tx_from_tpch(self.raw("lineitem"), self.raw("orders"))
+        build = lambda: tx_from_tpch(self.raw("lineitem"), self.raw("orders"))
+        if not self.materialize:
+            return build()
+        if "tx" not in self._cache:
+            self._cache["tx"] = materialized_tx(self.spark, self.root, build)
+        return self._cache["tx"]
 
     @property
     def articles(self) -> DataFrame:
@@ -155,5 +187,5 @@ class Tables:
         return responses_from_events(self.raw("events"))
 
 
-def load_tables(spark: SparkSession, root: str) -> Tables:
-    return Tables(spark, root.rstrip("/"))
+def load_tables(spark: SparkSession, root: str, materialize: bool = True) -> Tables:
+    return Tables(spark, root.rstrip("/"), materialize=materialize)
