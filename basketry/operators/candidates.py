@@ -202,8 +202,12 @@ def merged_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, total_k:
                                   F.lit(None).cast("string").alias("article_id"),
                                   F.lit(0.0).alias("final_score"), F.lit(0.0).alias("cf_rrf"),
                                   F.lit(0.0).alias("pop_rrf")).limit(0)
-    expand = max(int(fallback_pop_expand), int(pop_top))
-    exp_list = popularity_candidates(itf, expand)  # bounded: fallback_pop_expand rows
+    # Every pop-list item is in the union, so a user lacks at most total_k - pop_top items, and at most
+    # cf_top expansion items can be skipped (already in the CF list): positions beyond
+    # total_k + cf_top can never be used. With total_k <= pop_top no fill is possible at all.
+    need = int(pop_top) if int(total_k) <= int(pop_top) else int(total_k) + int(cf_top)
+    expand = min(max(int(fallback_pop_expand), int(pop_top)), max(need, int(pop_top)))
+    exp_list = popularity_candidates(itf, expand)  # bounded by the parameters, not by the data
     if cf is None:
         cf = cf_candidates(cfw, itf, cf_top, recent_items, cooc_top_per_seed, half_life_days,
                            popularity_penalty_alpha, True, cooc_same_day_only, cooc_max_day_gap)
