@@ -90,7 +90,8 @@ def ab_t_test(log: DataFrame, metric: str = "purchase_count") -> DataFrame:
 def experiment_log_span(log: DataFrame, ts: str = "first_ts") -> DataFrame:
     """Key 66: records, first and last timestamp, and the span in minutes."""
     s = log.agg(F.count(F.lit(1)).alias("records"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
-    micros = F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))
+    # wall-clock difference: independent of the session time zone for TIMESTAMP_NTZ input
+    micros = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts"))
     return s.select("records", "first_ts", "last_ts", (micros.cast("double") / 60e6).alias("minutes"))
 
 

@@ -60,3 +60,13 @@ def test_partition_count_does_not_change_results(spark, key):
         res.append(sorted(tuple(str(v) for v in r) for r in df.collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert res[0] == res[1]
+
+
+@pytest.mark.parametrize("key", ["user_features", "experiment_log_span", "sample_size_proportion", "cycle_overall"])
+def test_session_time_zone_does_not_change_results(spark, key):
+    res = []
+    for tz in ("UTC", "America/Los_Angeles"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        res.append(sorted(tuple(str(v) for v in r) for r in E.queries()[key](spark, SF).collect()))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert res[0] == res[1]
