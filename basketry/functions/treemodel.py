@@ -122,6 +122,21 @@ def tree_score(model: TreeModel, columns: list[str] | None = None) -> Column:
     return total if total is not None else F.lit(0.0)
 
 
+def model_text(model: TreeModel) -> str:
+    """Write a model in the same ``key=value`` text format that ``parse_model_text`` reads."""
+    lines = ["tree", "feature_names=" + " ".join(model.feature_names), ""]
+    for i, t in enumerate(model.trees):
+        lines += [f"Tree={i}", f"num_leaves={len(t.leaf_value)}"]
+        if t.split_feature:
+            lines += ["split_feature=" + " ".join(map(str, t.split_feature)),
+                      "threshold=" + " ".join(repr(float(x)) for x in t.threshold),
+                      "left_child=" + " ".join(map(str, t.left_child)),
+                      "right_child=" + " ".join(map(str, t.right_child))]
+        lines += ["leaf_value=" + " ".join(repr(float(x)) for x in t.leaf_value), ""]
+    lines.append("end of trees")
+    return "\n".join(lines) + "\n"
+
+
 def nodes_sql_values(model: TreeModel) -> tuple[str, str]:
     """(nodes, leaves) as SQL VALUES lists for an independent recursive-CTE scorer."""
     nodes, leaves = [], []

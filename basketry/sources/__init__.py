@@ -3,3 +3,4 @@ from basketry.sources.tables import (  # noqa: F401
     exposures_from_events, responses_from_events, read_transactions_csv, read_articles_csv,
     read_customers_csv,
 )
+from basketry.sources.sinks import write_csv, write_json, write_parquet  # noqa: F401,E402

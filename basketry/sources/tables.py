@@ -37,24 +37,28 @@ CUSTOMERS_SCHEMA = T.StructType([
 ])
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    if path.endswith(".parquet") or "." not in path.rsplit("/", 1)[-1]:
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+    """Read with a fixed schema. ``fmt`` is ``csv`` (header row) or ``parquet`` (columns cast to the
+    schema); ``auto`` picks parquet only for a ``.parquet`` suffix."""
+    if fmt == "auto":
+        fmt = "parquet" if path.rstrip("/").endswith(".parquet") else "csv"
+    if fmt == "parquet":
         df = spark.read.parquet(path)
         return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
 
 
-def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``transactions_train``-style file: t_dat, customer_id, article_id, price (extra columns ignored)."""
-    return _read(spark, path, TX_SCHEMA).select("customer_id", "article_id", "t_dat", "price")
+def read_transactions_csv(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """``transactions_train``-style file: t_dat, customer_id, article_id, price."""
+    return _read(spark, path, TX_SCHEMA, fmt).select("customer_id", "article_id", "t_dat", "price")
 
 
-def read_articles_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, ARTICLES_SCHEMA)
+def read_articles_csv(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    return _read(spark, path, ARTICLES_SCHEMA, fmt)
 
 
-def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, CUSTOMERS_SCHEMA)
+def read_customers_csv(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    return _read(spark, path, CUSTOMERS_SCHEMA, fmt)
 
 
 # ---------------------------------------------------------------------------
