@@ -60,16 +60,18 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, method: str = "sor
     w_col = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     vals = df.select(F.col(col).cast("double").alias("v"), w_col.alias("_w")).filter(F.col("v").isNotNull())
     if method == "histogram":
+        # the histogram has one row per distinct value (small by the method's precondition), so the
+        # two windows below run over it, not over the data; no scalar subquery is needed
         hist = vals.groupBy("v").agg(F.sum("_w").alias("c"))
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hist = hist.withColumn("cum", F.sum("c").over(w)).withColumn("start", F.col("cum") - F.col("c"))
-        n = hist.select(F.sum("c")).scalar()
-        lo = F.floor((n - 1) * F.lit(p))
-        hi = F.ceil((n - 1) * F.lit(p))
+        cum_w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        all_w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        hist = (hist.withColumn("cum", F.sum("c").over(cum_w)).withColumn("n", F.sum("c").over(all_w))
+                    .withColumn("start", F.col("cum") - F.col("c"))
+                    .withColumn("x", (F.col("n") - 1) * F.lit(p)))
+        lo, hi = F.floor(F.col("x")), F.ceil(F.col("x"))
         pick = lambda pos: F.max(F.when((F.col("start") <= pos) & (pos < F.col("cum")), F.col("v")))
-        return hist.agg(pick(lo).alias("vlo"), pick(hi).alias("vhi"),
-                        F.max(lo).alias("lo"), F.max((n - 1) * F.lit(p)).alias("x")).select(
-            (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * (F.col("x") - F.col("lo"))).alias(alias))
+        return hist.agg(pick(lo).alias("vlo"), pick(hi).alias("vhi"), F.max(F.col("x") - lo).alias("frac")).select(
+            (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias(alias))
     if weight:
         raise ValueError("weights need method='histogram'")
     ranked = global_row_number(vals.select("v"), [F.col("v").asc()], "rn")
@@ -93,3 +95,18 @@ def top_k_list(df: DataFrame, order: list[Column], k: int, pos: str = "pos") ->
     w = Window.orderBy(*order)
     # the window runs over at most k rows (already reduced by the limit)
     return top.withColumn(pos, F.row_number().over(w).cast("long"))
+
+
+def merge_rows(*dfs: DataFrame) -> DataFrame:
+    """Put one-row DataFrames with disjoint columns side by side, without a join: union them with
+    NULLs for the missing columns and take ``max`` of each column (NULLs are ignored)."""
+    fields = {}
+    for df in dfs:
+        for f in df.schema.fields:
+            fields.setdefault(f.name, f.dataType)
+    parts = [df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in fields.items()])
+             for df in dfs]
+    u = parts[0]
+    for x in parts[1:]:
+        u = u.unionByName(x)
+    return u.agg(*[F.max(c).alias(c) for c in fields])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.order import exact_percentile
+from basketry.functions.order import exact_percentile, merge_rows
 from basketry.functions.windows import round_half_away, trailing_window
 
 # Cycle buckets (upper bound in days, label) and purchase-count segments.
@@ -40,12 +40,12 @@ def cycle_overall(tx: DataFrame) -> DataFrame:
     stats = uc.agg(F.count(F.lit(1)).alias("users"), F.avg("avg_cycle").alias("a"),
                    F.min("avg_cycle").alias("mn"), F.max("avg_cycle").alias("mx"),
                    F.stddev_samp("avg_cycle").alias("sd"))
-    return stats.select("users",
-                        round_half_away(F.col("a"), 2).alias("avg_cycle"),
-                        round_half_away(med.scalar(), 2).alias("median_cycle"),
-                        round_half_away(F.col("mn"), 2).alias("min_cycle"),
-                        round_half_away(F.col("mx"), 2).alias("max_cycle"),
-                        round_half_away(F.col("sd"), 2).alias("stddev_cycle"))
+    return merge_rows(stats, med).select(
+        "users", round_half_away(F.col("a"), 2).alias("avg_cycle"),
+        round_half_away(F.col("median_raw"), 2).alias("median_cycle"),
+        round_half_away(F.col("mn"), 2).alias("min_cycle"),
+        round_half_away(F.col("mx"), 2).alias("max_cycle"),
+        round_half_away(F.col("sd"), 2).alias("stddev_cycle"))
 
 
 def _bucket_cols(value, bounds, last_label):
@@ -112,5 +112,5 @@ def cycle_recent_users(tx: DataFrame, recent_days: int = 30) -> DataFrame:
     med = exact_percentile(by_gap, "gap", 0.5, method="histogram", alias="med", weight="n")
     stats = hist.agg(F.countDistinct("customer_id").alias("active_users"),
                      (F.sum(F.col("gap") * F.col("n")).cast("double") / F.sum("n")).alias("a"))
-    return stats.select("active_users", round_half_away(F.col("a"), 2).alias("avg_cycle"),
-                        round_half_away(med.scalar(), 2).alias("median_cycle"))
+    return merge_rows(stats, med).select("active_users", round_half_away(F.col("a"), 2).alias("avg_cycle"),
+                                         round_half_away(F.col("med"), 2).alias("median_cycle"))

@@ -13,6 +13,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files of global ranks are dropped once their DataFrames are garbage
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # min/max/count from Parquet footers where possible (window end dates)
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 

@@ -17,10 +17,15 @@ def plan(df):
 
 
 def test_scan_reads_only_needed_columns(spark):
-    p = E.queries()["user_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    # lineitem is read with the three columns the adapter needs, never the whole row
-    assert "l_returnflag" not in p and "l_shipdate" not in p
-    assert "l_partkey" in p
+    from basketry.operators import cycles as cyc
+    from basketry.operators import features as feat
+    from basketry.sources import load_tables
+    # the adapter reads lineitem with the three columns it needs, never the whole row
+    p = plan(feat.user_features(load_tables(spark, SF, materialize=False).tx))
+    assert "l_returnflag" not in p and "l_shipdate" not in p and "l_partkey" in p
+    # the written transactions table is pruned to the two columns the cycle analysis needs
+    p = plan(cyc.cycle_overall(load_tables(spark, SF).tx))
+    assert "ReadSchema: struct<customer_id:string,t_dat:date>" in p and "price" not in p
 
 
 @pytest.mark.parametrize("key", ["cf_candidates", "merged_candidates", "recent_seeds", "ranking_negatives"])
