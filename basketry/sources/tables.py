@@ -124,29 +124,33 @@ def responses_from_events(events: DataFrame) -> DataFrame:
     return events.select(e.alias("event_id"), text.alias("text"))
 
 
-_MATERIALIZED: dict[tuple[str, str], str] = {}
+_MATERIALIZED: dict[tuple[str, str, str], str] = {}
 
 
-def materialized_tx(spark: SparkSession, root: str, build) -> DataFrame:
-    """The transactions table written once per application under the checkpoint folder.
+def materialized(spark: SparkSession, root: str, name: str, build) -> DataFrame:
+    """A derived table written once per application under the checkpoint folder and read back.
 
-    The adapter is a ``lineitem`` ⋈ ``orders`` join; every operator (and every trailing-window max)
-    would otherwise re-run it. Writing it once gives a plain columnar fact table that survives
-    executor loss and that later scans read without the join; the location is the shared folder the
-    session names in ``spark.checkpoint.dir``.
+    Used for the ``lineitem`` ⋈ ``orders`` transactions adapter (every operator and every window max
+    would otherwise re-run the join) and for the feature tables that downstream operators read, as a
+    feature pipeline writes them once and serves them many times. The files live in the shared folder
+    the session names in ``spark.checkpoint.dir``, so they survive executor loss.
     """
     from basketry.session import ensure_checkpoint_dir
     app = spark.sparkContext.applicationId
-    key = (app, root)
+    key = (app, root, name)
     if key not in _MATERIALIZED:
         import hashlib
         tag = hashlib.md5(root.encode()).hexdigest()[:12]
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-tables/{app}/{tag}/tx"
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-tables/{app}/{tag}/{name}"
         build().write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(_MATERIALIZED[key])
 
 
+def materialized_tx(spark: SparkSession, root: str, build) -> DataFrame:
+    return materialized(spark, root, "tx", build)
+
+
 @dataclass
 class Tables:
     """The logical inputs of every operator, built lazily from one data directory.
@@ -174,6 +178,15 @@ class Tables:
             self._cache["tx"] = materialized_tx(self.spark, self.root, build)
         return self._cache["tx"]
 
+    def derived(self, name: str, build) -> DataFrame:
+        """A table derived from this directory, written once per application (or built lazily
+        when ``materialize`` is off). ``name`` must encode every parameter of ``build``."""
+        if not self.materialize:
+            return build()
+        if name not in self._cache:
+            self._cache[name] = materialized(self.spark, self.root, name, build)
+        return self._cache[name]
+
     @property
     def articles(self) -> DataFrame:
         return articles_from_tpch(self.raw("part"))
