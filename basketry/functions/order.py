@@ -27,10 +27,11 @@ def hash_key(*cols: Column | str, seed: str | int | None = None) -> Column:
     return F.md5(F.concat(*parts))
 
 
-def global_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+def global_row_number(df: DataFrame, order: list[Column], name: str = "rn", total: str | None = None) -> DataFrame:
     """Exact 1-based ``row_number() OVER (ORDER BY order)`` for the whole table, computed in parallel.
 
-    ``order`` must end in a unique key so the result is deterministic.
+    ``order`` must end in a unique key so the result is deterministic. ``total`` names an optional
+    column with the table's row count (the sum of the partition sizes, no extra pass).
     """
     ensure_checkpoint_dir(df.sparkSession)
     pos = (df.orderBy(*order)
@@ -42,10 +43,14 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> D
     offsets = sizes.select(
         "_pid",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
+                   F.lit(0)).alias("_off"),
+        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding,
+                                                              Window.unboundedFollowing)).alias("_total"))
     out = pos.join(F.broadcast(offsets), "_pid").withColumn(
         name, (F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33) + 1).cast("long"))
-    return out.drop("_pid", "_mid", "_off")
+    if total:
+        out = out.withColumnRenamed("_total", total)
+    return out.drop("_pid", "_mid", "_off", "_total")
 
 
 def exact_percentile(df: DataFrame, col: str, p: float = 0.5, method: str = "sort",
@@ -74,9 +79,8 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, method: str = "sor
             (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias(alias))
     if weight:
         raise ValueError("weights need method='histogram'")
-    ranked = global_row_number(vals.select("v"), [F.col("v").asc()], "rn")
-    n = ranked.select(F.count(F.lit(1))).scalar()
-    x = (n - 1) * F.lit(p)
+    ranked = global_row_number(vals.select("v"), [F.col("v").asc()], "rn", total="n")
+    x = (F.col("n") - 1) * F.lit(p)
     lo = F.floor(x) + 1
     hi = F.ceil(x) + 1
     return ranked.agg(F.max(F.when(F.col("rn") == lo, F.col("v"))).alias("vlo"),

@@ -86,8 +86,8 @@ def ranking_group_sizes(ds: DataFrame) -> DataFrame:
 def user_train_val_split(ds: DataFrame, val_ratio: float = 0.2, seed: int | str = 42) -> DataFrame:
     """Key 33: whole users to validation: the first ``int(val_ratio * n_users)`` in md5(id || seed) order."""
     users = ds.select("customer_id").distinct().withColumn("_h", hash_key("customer_id", seed=seed))
-    ranked = global_row_number(users, [F.col("_h").asc(), F.col("customer_id").asc()], "_r")
-    n_val = F.floor(ranked.select(F.count(F.lit(1))).scalar() * F.lit(float(val_ratio)))
+    ranked = global_row_number(users, [F.col("_h").asc(), F.col("customer_id").asc()], "_r", total="_n")
+    n_val = F.floor(F.col("_n") * F.lit(float(val_ratio)))
     return ranked.select("customer_id", F.when(F.col("_r") <= n_val, "val").otherwise("train").alias("split"))
 
 
