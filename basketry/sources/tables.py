@@ -13,6 +13,7 @@ the trailing-window filters through the ``lineitem`` ⋈ ``orders`` join to the
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,6 +126,7 @@ def responses_from_events(events: DataFrame) -> DataFrame:
 
 
 _MATERIALIZED: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.Lock()
 
 
 def materialized(spark: SparkSession, root: str, name: str, build) -> DataFrame:
@@ -138,12 +140,13 @@ def materialized(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     from basketry.session import ensure_checkpoint_dir
     app = spark.sparkContext.applicationId
     key = (app, root, name)
-    if key not in _MATERIALIZED:
-        import hashlib
-        tag = hashlib.md5(root.encode()).hexdigest()[:12]
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-tables/{app}/{tag}/{name}"
-        build().write.mode("overwrite").parquet(path)
-        _MATERIALIZED[key] = path
+    with _LOCK:  # one writer per table even when queries are submitted from several threads
+        if key not in _MATERIALIZED:
+            import hashlib
+            tag = hashlib.md5(root.encode()).hexdigest()[:12]
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-tables/{app}/{tag}/{name}"
+            build().write.mode("overwrite").parquet(path)
+            _MATERIALIZED[key] = path
     return spark.read.parquet(_MATERIALIZED[key])
 
 
