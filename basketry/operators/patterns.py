@@ -149,13 +149,16 @@ def shopping_patterns_json(tx: DataFrame, customers: DataFrame, articles: DataFr
     Each section is built from an already-aggregated table of a few dozen rows, so the
     ``collect_list`` calls are bounded by the number of bands × tiers/groups.
     """
+    # entries are sorted by key: collect_list order depends on task scheduling, the document must not
     def two_level(df, outer, inner):
         inner_maps = df.groupBy(outer).agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col(inner), F.col("pct")))).alias("_m"))
-        return inner_maps.agg(F.map_from_entries(F.collect_list(F.struct(F.col(outer), F.col("_m"))))).scalar()
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner), F.col("pct"))))).alias("_m"))
+        by_key = lambda a, b: F.when(a[outer] < b[outer], -1).when(a[outer] > b[outer], 1).otherwise(0)
+        return inner_maps.agg(F.map_from_entries(F.array_sort(
+            F.collect_list(F.struct(F.col(outer), F.col("_m"))), by_key))).scalar()
 
     def one_level(df, key):
-        return df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col("pct"))))).scalar()
+        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("pct")))))).scalar()
 
     ap = age_price_distribution(tx, customers)
     ac = age_category_distribution(tx, customers, articles, patterns)

@@ -126,7 +126,7 @@ def responses_from_events(events: DataFrame) -> DataFrame:
 
 
 _MATERIALIZED: dict[tuple[str, str, str], str] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # re-entrant: building one table may read another
 
 
 def materialized(spark: SparkSession, root: str, name: str, build) -> DataFrame:

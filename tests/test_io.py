@@ -53,3 +53,18 @@ def test_model_text_round_trip(spark):
     a = [r[0] for r in df.select(tree_score(SAVED_RANKER)).collect()]
     b = [r[0] for r in df.select(tree_score(m)).collect()]
     assert a == b
+
+
+def test_nested_write_once_tables_do_not_deadlock(spark):
+    import threading
+    t = load_tables(spark, SF + "/.")  # a fresh key: its transactions table is not written yet
+    out = {}
+
+    def work():
+        out["n"] = t.derived("nested_probe", lambda: t.tx.groupBy("customer_id").count()).count()
+
+    th = threading.Thread(target=work, daemon=True)
+    th.start()
+    th.join(180)
+    assert not th.is_alive(), "building a derived table that reads another one must not block"
+    assert out["n"] > 0

@@ -56,6 +56,7 @@ def test_global_row_number_is_exact_and_parallel(spark):
 
 
 @pytest.mark.parametrize("key", ["item_features", "cf_candidates", "merged_candidates", "cycle_overall",
+                                 "shopping_patterns_json",
                                  "user_train_val_split", "recommend"])
 def test_partition_count_does_not_change_results(spark, key):
     res = []
