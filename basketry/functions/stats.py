@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,5 +107,3 @@ def sample_size_mean_expr(sd: Column, mde: Column, za: float, zb: float) -> Colu
     """ceil(2 ((za+zb) sd / mde)²), NULL when mde is 0."""
     return F.when(mde != 0, F.ceil(2 * F.pow((F.lit(za + zb) * sd) / mde, 2))).cast("long")
 
-
-_ = np  # numpy is available to UDF workers; kept imported for vectorised extensions

@@ -147,12 +147,3 @@ def nodes_sql_values(model: TreeModel) -> tuple[str, str]:
         for i, v in enumerate(t.leaf_value):
             leaves.append(f"({ti}, {i}, {float(v)!r})")
     return ", ".join(nodes), ", ".join(leaves)
-
-
-def importance_rows(model: TreeModel, gains: list[list[float]] | None = None) -> list[tuple[str, int]]:
-    """Split counts per feature (gain needs the training statistics; see ``feature_importance``)."""
-    out: dict[str, int] = {}
-    for t in model.trees:
-        for f in t.split_feature:
-            out[model.feature_names[f]] = out.get(model.feature_names[f], 0) + 1
-    return sorted(out.items())
