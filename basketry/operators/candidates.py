@@ -222,13 +222,17 @@ def merged_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, total_k:
     cand = (cf_rows.unionByName(pop_rows).repartition("customer_id")
                    .groupBy("customer_id", "article_id")
                    .agg(F.min("c_pos").alias("c_pos"), F.min("e_pos").alias("e_pos")))
-    in_union = F.col("c_pos").isNotNull() | (F.col("e_pos") <= pop_top)
-    wu = Window.partitionBy("customer_id")
-    cand = cand.withColumn("n_union", F.sum(in_union.cast("long")).over(wu))
-    fill_w = Window.partitionBy("customer_id", in_union).orderBy(F.col("e_pos").asc())
-    cand = cand.withColumn("fill_rank", F.row_number().over(fill_w))
-    keep = in_union | (F.col("fill_rank") <= F.lit(int(total_k)) - F.col("n_union"))
-    cand = cand.filter(keep)
+    if int(total_k) > int(pop_top):
+        # the union may be shorter than total_k: keep the first (total_k - |union|) expansion items
+        in_union = F.col("c_pos").isNotNull() | (F.col("e_pos") <= pop_top)
+        wu = Window.partitionBy("customer_id")
+        cand = cand.withColumn("n_union", F.sum(in_union.cast("long")).over(wu))
+        fill_w = Window.partitionBy("customer_id", in_union).orderBy(F.col("e_pos").asc())
+        cand = cand.withColumn("fill_rank", F.row_number().over(fill_w))
+        keep = in_union | (F.col("fill_rank") <= F.lit(int(total_k)) - F.col("n_union"))
+        cand = cand.filter(keep)
+    # else: every pop-list item is in the union, so it already holds at least total_k items
+    # (or the whole popularity list), and no fill can happen
     cf_r = F.when(F.col("c_pos").isNotNull(), rrf(F.col("c_pos"), rrf_k)).otherwise(F.lit(0.0))
     # pop list members, and fill items (not in the CF list), score by their expanded-list position
     is_pop = (F.col("e_pos") <= pop_top) | (F.col("c_pos").isNull() & F.col("e_pos").isNotNull())

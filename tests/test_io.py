@@ -4,7 +4,7 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
+
 
 from basketry.functions.treemodel import SAVED_RANKER, model_text, parse_model_text, tree_score
 from basketry.operators import patterns as pat

@@ -37,3 +37,16 @@ def test_query_matches_oracle(spark, con, key):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "customer_id" in df.columns
+
+
+@pytest.mark.parametrize("total_k", [100, 300])
+def test_merged_candidates_both_paths(spark, con, total_k):
+    """total_k <= pop_top skips the fill windows; both paths must equal the SQL fusion."""
+    from basketry.operators import candidates as cand
+    from basketry.plans import oracle_candidates as oc
+    from basketry.plans import registry as R
+    t = R.load_tables(spark, SF)
+    sdf = cand.merged_candidates(R._uf(t).select("customer_id"), R._cfw(t, R.CF_WINDOW_LONG), R._itf(t),
+                                 total_k=total_k).toPandas()
+    sql = R.with_base(oc.merged_sql(total_k, cf="cf300"), R.MERGE_CTES)
+    assert compare(sdf, con.sql(sql).df()).startswith("OK")

@@ -1,7 +1,6 @@
 """Plan-shape tests: column pruning, pre-shuffle top-k, no Python on row paths, no single-task windows,
 and results independent of the shuffle partition count."""
 
-import os
 
 import pytest
 from pyspark.sql import functions as F
