@@ -181,7 +181,7 @@ def rrf_scores(ordered: DataFrame, k: int = 60, source: str | None = None) -> Da
     return out.withColumn("source", F.lit(source)) if source is not None else out
 
 
-def _list_array(lst: DataFrame, fields: list[str]) -> Column:
+def list_array(lst: DataFrame, fields: list[str]) -> Column:
     """A bounded list (a parameter-sized top-k) as one array value, computed once as a scalar subquery."""
     return lst.agg(F.array_sort(F.collect_list(F.struct(*fields)))).scalar()
 
@@ -213,7 +213,7 @@ def merged_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, total_k:
                            popularity_penalty_alpha, True, cooc_same_day_only, cooc_max_day_gap)
     cf_rows = (cf.join(spark_users, "customer_id", "left_semi")
                  .select("customer_id", "article_id", F.col("pos").alias("c_pos"), F.lit(None).cast("long").alias("e_pos")))
-    pop_arr = _list_array(exp_list, ["pos", "article_id"])
+    pop_arr = list_array(exp_list, ["pos", "article_id"])
     # every user gets the expanded popularity list positions; positions <= pop_top form the pop list,
     # the rest are only eligible as fill
     pop_rows = (spark_users.select("customer_id", F.explode(pop_arr).alias("p"))
@@ -294,7 +294,7 @@ def low_activity_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, ar
         return u.select("customer_id", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("article_id"),
                         F.lit(0.0).alias("score")).limit(0)
     trend = popularity_recency(itf, cfw, int(total_k * 1.5), recency_window_days, w_popularity, w_recency)
-    trend_arr = _list_array(trend, ["pos", "article_id", "score"])
+    trend_arr = list_array(trend, ["pos", "article_id", "score"])
     trend_rows = u.select("customer_id", F.explode(trend_arr).alias("t")).select(
         "customer_id", F.col("t.article_id").alias("article_id"), F.col("t.score").alias("s_trend"),
         F.lit(None).cast("double").alias("s_cat"))

@@ -9,7 +9,7 @@ from basketry.functions.order import global_row_number, hash_key, top_k_list
 from basketry.functions.treemodel import SAVED_RANKER, TreeModel, tree_score
 from basketry.functions.windows import trailing_window
 from basketry.operators.candidates import (
-    _list_array, cf_window, low_activity_candidates, merged_candidates, popularity_candidates,
+    list_array, cf_window, low_activity_candidates, merged_candidates, popularity_candidates,
 )
 from basketry.operators.features import frequency_encoded
 from basketry.operators.segments import ACTIVE, LOW_ACTIVITY
@@ -46,7 +46,7 @@ def ranking_negatives(tx: DataFrame, sampled: DataFrame, itf: DataFrame, pos_per
     The pool is a parameter-sized list; it reaches every user as one array (scalar subquery + explode),
     so the users keep their partitioning and the per-user limit runs without another exchange."""
     pool = popularity_candidates(itf, popularity_pool)
-    pool_arr = _list_array(pool, ["pos", "article_id"])
+    pool_arr = list_array(pool, ["pos", "article_id"])
     cand = sampled.select("customer_id", F.explode(pool_arr).alias("p")).select(
         "customer_id", F.col("p.article_id").alias("article_id"))
     bought = (trailing_window(tx.select("customer_id", "article_id", "t_dat"), window_days)
