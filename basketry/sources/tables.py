@@ -137,8 +137,8 @@ def materialized(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     feature pipeline writes them once and serves them many times. The files live in the shared folder
     the session names in ``spark.checkpoint.dir``, so they survive executor loss.
     """
-    from basketry.session import ensure_checkpoint_dir
-    app = spark.sparkContext.applicationId
+    from basketry.session import application_id, ensure_checkpoint_dir
+    app = application_id(spark)
     key = (app, root, name)
     with _LOCK:  # one writer per table even when queries are submitted from several threads
         if key not in _MATERIALIZED:
