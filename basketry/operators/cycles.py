@@ -110,7 +110,11 @@ def cycle_recent_users(tx: DataFrame, recent_days: int = 30) -> DataFrame:
     hist = gap_histogram(t)
     by_gap = hist.groupBy("gap").agg(F.sum("n").alias("n"))  # small: one row per distinct gap length
     med = exact_percentile(by_gap, "gap", 0.5, method="histogram", alias="med", weight="n")
-    stats = hist.agg(F.countDistinct("customer_id").alias("active_users"),
-                     (F.sum(F.col("gap") * F.col("n")).cast("double") / F.sum("n")).alias("a"))
+    # count and mean need no gaps: per customer, gaps sum to last - first and number rows - 1
+    per = (t.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("t_dat").alias("first"),
+                                        F.max("t_dat").alias("last"))
+            .filter(F.col("n_rows") >= 2))
+    stats = per.agg(F.count("customer_id").alias("active_users"),  # NULL customers are not counted as users
+                    (F.sum(F.datediff("last", "first")).cast("double") / F.sum(F.col("n_rows") - 1)).alias("a"))
     return merge_rows(stats, med).select("active_users", round_half_away(F.col("a"), 2).alias("avg_cycle"),
                                          round_half_away(F.col("med"), 2).alias("median_cycle"))
