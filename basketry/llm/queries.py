@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.llm import warc
 from basketry.llm.common import read_table
+from basketry.llm.mixing import systematic_copies
 from basketry.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +27,66 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash_groups(read_table(spark, sf_dir, "documents"), "doc_id", "text", k=4, max_bits=4)
     return g.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                     F.col("component").alias("component_id"))
+
+
+@query
+def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target."""
+    c = systematic_copies(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return c.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                    (F.col("copies") * F.col("size")).alias("taken"))
+
+
+# ranks by window; the targets as the first k sources, in the order in which they stop, for which
+# the rate of the others stops none of them
+ORACLE["op5_systematic_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || '7') AS h FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1]::DOUBLE AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, 2.0::DOUBLE * source_size AS most,
+         row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, encode(source)) AS k FROM s),
+p AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)
+             - coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM o),
+r AS (SELECT rate, k FROM p WHERE w * rate <= most ORDER BY k LIMIT 1),
+t AS (
+  SELECT source, source_size, CASE WHEN p.k < r.k THEN most ELSE w * r.rate END AS target FROM p, r),
+u AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS per,
+         ('0x' || substr(md5(coalesce(source, '') || (source IS NULL)::INT::VARCHAR || '7'), 1, 8))::BIGINT
+         / 4294967296.0::DOUBLE AS off FROM t),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, h, doc_id)::DOUBLE AS i FROM d)
+SELECT doc_id, size, source_size, target,
+       (least(floor(i * per + off) - floor((i - 1) * per + off), ceil(per))::BIGINT * size)::BIGINT AS taken
+FROM n JOIN u ON n.source IS NOT DISTINCT FROM u.source
+"""
+
+
+@query
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to an archive and read all of it back."""
+    index = warc.write(read_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# base32 of a hex SHA-1: every five hex digits are four letters
+ORACLE["op3_warc_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, strlen(html) AS n, sha1(html) AS x FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  ((('0x' || substr(x, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m
+"""
