@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import warc
-from basketry.llm.common import read_table
+from basketry.llm import langid, quality, toxicity, warc
+from basketry.llm.common import fold, read_table
 from basketry.llm.mixing import systematic_copies
 from basketry.llm.simhash import simhash_groups
 
@@ -90,3 +90,33 @@ SELECT page_id, n::BIGINT AS payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM m
 """
+
+
+@query
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    weights = toxicity.fit(docs.filter(fold("doc_id", 4) != 2), labels.filter(fold("id", 4) != 2), "doc_id", "text")
+    out = toxicity.score_toxicity(docs, weights, "doc_id", "text")
+    return out.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(fold("doc_id", 5) != 0), "text", "lang", F.xxhash64("doc_id", F.lit(3)))
+    out = langid.with_language(docs.select("doc_id", "text"), "text", model, "p")
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("p.lang").alias("lang_pred"),
+                      F.col("p.score").alias("score"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict of every document; strata are languages, holdouts the labelled ones."""
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
+    v = quality.quality_verdicts(read_table(spark, sf_dir, "documents"), labels, "doc_id", "text", "lang")
+    return v.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    "base_failed", "kept")
