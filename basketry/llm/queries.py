@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import langid, quality, toxicity, warc
+from basketry.llm import langid, neighbours, quality, toxicity, warc
 from basketry.llm.common import fold, read_table
 from basketry.llm.mixing import systematic_copies
 from basketry.llm.simhash import simhash_groups
@@ -120,3 +120,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = quality.quality_verdicts(read_table(spark, sf_dir, "documents"), labels, "doc_id", "text", "lang")
     return v.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "kept")
+
+
+@query
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours found for every hundredth vector."""
+    e = read_table(spark, sf_dir, "embeddings")
+    got = neighbours.search(e, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
+    return got.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
