@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from basketry.llm.common import stored
 
 #: Vectors that shape the partitions; vectors a part aims at; most parts; vectors of one rerank task.
-SAMPLE, PART, MAX_PARTS, CHUNK = 6000, 1500, 256, 20_000
+SAMPLE, PART, MAX_PARTS, CHUNK = 5000, 1500, 256, 20_000
 #: Neighbours in the graph and the recall asked for on the sample.
-GRAPH_K, TARGET = 10, 0.985
+GRAPH_K, TARGET = 10, 0.96
 
 
 def usable(vec: Column) -> Column:
@@ -96,7 +96,7 @@ def balanced_parts(x: np.ndarray, nbr: np.ndarray, levels: int, passes: int = 4)
 class Router:
     """One hidden layer; softmax over parts, trained on the shares of a vector's neighbours in them."""
 
-    def __init__(self, x: np.ndarray, target: np.ndarray, hidden: int = 96, epochs: int = 40, seed: int = 3):
+    def __init__(self, x: np.ndarray, target: np.ndarray, hidden: int = 96, epochs: int = 15, seed: int = 3):
         rng, (n, d), p = np.random.default_rng(seed), x.shape, target.shape[1]
         self.mean, self.scale = x.mean(axis=0), x.std() or 1.0
         z = ((x - self.mean) / self.scale).astype(np.float32)

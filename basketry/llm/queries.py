@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import langid, neighbours, quality, toxicity, warc
+from basketry.llm import langid, neighbours, quality, secret_scan, toxicity, warc
 from basketry.llm.common import fold, read_table
 from basketry.llm.mixing import systematic_copies
 from basketry.llm.simhash import simhash_groups
@@ -128,3 +128,36 @@ def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     got = neighbours.search(e, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
     return got.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document: counts of the base kinds, their digest, and all spans."""
+    s = secret_scan.scan(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    of = lambda kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    return s.select(F.col("id").alias("doc_id"), *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in secret_scan.BASE],
+                    F.sha2(secret_scan.spans_text(of(secret_scan.BASE)), 256).alias("base_sha256"),
+                    secret_scan.spans_text(F.col("spans")).alias("spans"))
+
+
+def _span_sql(rule, order: int) -> str:
+    """List of a rule's spans: a match starts after all earlier pieces and matches."""
+    r = rule.regex.replace("'", "''")
+    return f"""list_filter(list_transform(range(len(regexp_extract_all(t, '{r}'))), lambda i: {{
+      's': coalesce(list_sum(list_transform(string_split_regex(t, '{r}')[1:i + 1], lambda x: length(x))), 0)::BIGINT
+         + coalesce(list_sum(list_transform(regexp_extract_all(t, '{r}')[1:i], lambda x: length(x))), 0)::BIGINT,
+      'o': {order}, 'n': length(regexp_extract_all(t, '{r}')[i + 1]),
+      'g': length(regexp_extract_all(t, '{r}', {rule.group})[i + 1]), 'k': '{rule.kind}'}}), lambda x: x.g >= {rule.least})"""
+
+
+def _joined_sql(spans: str) -> str:
+    return f"coalesce(array_to_string(list_transform({spans}, lambda x: x.k || ':' || x.s || ':' || (x.s + x.n)), ','), '')"
+
+
+ORACLE["op2_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, list_sort(flatten([{', '.join(_span_sql(r, i) for i, r in enumerate(secret_scan.RULES))}])) AS a FROM d)
+SELECT doc_id, {', '.join(f"len(list_filter(a, lambda x: x.k = '{k}'))::BIGINT AS n_{k}" for k in secret_scan.BASE)},
+       sha256({_joined_sql("list_filter(a, lambda x: x.o < 3)")}) AS base_sha256, {_joined_sql("a")} AS spans
+FROM s
+"""
