@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import langid, neighbours, quality, secret_scan, toxicity, warc
+from basketry.llm import langid, lm, neighbours, quality, secret_scan, toxicity, warc
 from basketry.llm.common import fold, read_table
 from basketry.llm.mixing import systematic_copies
 from basketry.llm.simhash import simhash_groups
@@ -161,3 +161,10 @@ SELECT doc_id, {', '.join(f"len(list_filter(a, lambda x: x.k = '{k}'))::BIGINT A
        sha256({_joined_sql("list_filter(a, lambda x: x.o < 3)")}) AS base_sha256, {_joined_sql("a")} AS spans
 FROM s
 """
+
+
+@query
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and language-model score of every document, learned outside the held-out fold."""
+    s = lm.score(read_table(spark, sf_dir, "documents"), "doc_id", "text", fold("doc_id", 5) == 1)
+    return s.withColumnRenamed("id", "doc_id")
