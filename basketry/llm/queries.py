@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import langid, lm, neighbours, quality, secret_scan, toxicity, warc
+from basketry.llm import langid, lm, neighbours, pieces, quality, secret_scan, toxicity, warc
 from basketry.llm.common import fold, read_table
 from basketry.llm.mixing import systematic_copies
 from basketry.llm.simhash import simhash_groups
@@ -168,3 +168,13 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base and language-model score of every document, learned outside the held-out fold."""
     s = lm.score(read_table(spark, sf_dir, "documents"), "doc_id", "text", fold("doc_id", 5) == 1)
     return s.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's encoding, whether it decodes to the text, and two segmentations drawn without replacement."""
+    e = pieces.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", k=2)
+    return e.select(F.col("id").alias("doc_id"), F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+                    (pieces.decode(F.col("ids")) == F.col("text")).alias("round_trip"),
+                    F.transform("sampled", lambda x: F.size(x)).alias("sample_pieces"), F.transform("sampled", lambda x: F.xxhash64(x)).alias("sample_hashes"),
+                    "log_prob", "log_inclusion")
