@@ -26,6 +26,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from basketry.llm.common import fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units of one batch; log mass below the best region's at which a region can no longer be the next.
@@ -402,32 +405,39 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: str = MODEL) -> DataFrame:
-    """One row (id, text, ids, sampled, log_prob, log_inclusion) per row of ``df``.
+#: Columns that encoding adds.
+ADDED = (("ids", "array<int>"), ("sampled", "array<array<int>>"), ("log_prob", "array<double>"), ("log_inclusion", "array<double>"))
+
+
+def with_pieces(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: str = MODEL) -> DataFrame:
+    """``df`` with ids, sampled, log_prob and log_inclusion (an underscore follows a name that ``df`` has).
 
     ``ids`` is the library's encoding; ``sampled`` has up to ``k`` distinct segmentations drawn without
     replacement, best perturbed value first (fewer where fewer exist), with their log probabilities and log
-    inclusion scores. All decode to the text. A null text is empty: no ids and one empty sample. Null ids
-    and repeated rows stay rows; equal rows get equal samples; an empty table gives no rows; other columns are
-    ignored. Texts are encoded whole.
+    inclusion scores. All decode to the text. A null or empty text has no ids and one empty sample. Null ids
+    and repeated rows stay rows; rows of equal id and text get equal samples; an empty table gives no rows.
+    Texts are encoded whole.
     """
+    key, text, *names = fresh(df, "key", "plain", *[n for n, _ in ADDED])
+    width = len(df.columns)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab(model)
 
         def flush(rows: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-            keys = np.asarray(rows.column("key")).astype(np.int64).view(np.uint64)
+            keys = np.asarray(rows.column(width)).astype(np.int64).view(np.uint64)
             best, begin, got = encode_batch(texts, keys, k, v)
             each = [ids for g in got for ids, _, _ in g]
             outer = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
             return pa.RecordBatch.from_arrays([
-                rows.column("id"), rows.column("text"), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(best, pa.int32())),
+                *rows.columns[:width], pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(best, pa.int32())),
                 pa.ListArray.from_arrays(pa.array(outer), _lists(each, pa.int32())),
                 _lists([np.array([x[1] for x in g], np.float64) for g in got], pa.float64()),
                 _lists([np.array([x[2] for x in g], np.float64) for g in got], pa.float64())],
-                ["id", "text", "ids", "sampled", "log_prob", "log_inclusion"])
+                [*rows.schema.names[:width], *names])
 
         for b in it:
-            texts = [t or "" for t in b.column("text").to_pylist()]
+            texts = b.column(width + 1).to_pylist()
             begin, held = 0, 0
             for i, t in enumerate(texts):
                 held += t.count(" ") + t.count("\n") + 1
@@ -435,11 +445,15 @@ def encode(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: str = M
                     yield flush(b.slice(begin, i + 1 - begin), texts[begin:i + 1])
                     begin, held = i + 1, 0
 
+    rows = df.withColumns({key: F.xxhash64(id_col, text_col), text: F.coalesce(F.col(text_col).cast("string"), F.lit(""))})
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, (_, t) in zip(names, ADDED))).fields])
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: str = MODEL) -> DataFrame:
+    """``with_pieces`` of one row (id, text) per row of ``df``; a null text counts as empty, other columns are ignored."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("id", "text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text string, ids array<int>, sampled array<array<int>>, "
-                                "log_prob array<double>, log_inclusion array<double>")
+    return with_pieces(rows, "id", "text", k, model)
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:
