@@ -171,9 +171,10 @@ def trigram_query(regex: str) -> frozenset:
 
 def trigram_index(df: DataFrame, id_col: str, text_col: str, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, id, text_key), stored; ``trigrams`` are lower-case ASCII."""
-    low = F.lower(F.col(text_col))
-    post = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"),
-                     F.explode(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))).alias("trigram"))
+    # as a lambda's argument the lower-case text is made once, not once for each trigram
+    held = F.transform(F.array(F.lower(text_col)), lambda low: F.filter(
+        F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t)))[0]
+    post = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.explode(held).alias("trigram"))
     return stored(post.select("trigram", "id", "text_key"), "postings")
 
 
