@@ -95,12 +95,13 @@ def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def sample_size_proportion_expr(p1: Column, mde: Column, za: float, zb: float) -> Column:
-    """ceil((za*sqrt(2 p̄(1-p̄)) + zb*sqrt(p1(1-p1)+p2(1-p2)))² / mde²), NULL when mde is 0."""
+    """ceil((za*sqrt(2 p̄(1-p̄)) + zb*sqrt(p1(1-p1)+p2(1-p2)))² / mde²), NULL when mde is 0 or the expected
+    rate exceeds 1."""
     p2 = p1 + mde
     pbar = (p1 + p2) / 2
     num = F.pow(F.lit(za) * F.sqrt(2 * pbar * (1 - pbar)) + F.lit(zb) * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2)), 2)
     den = F.pow(p2 - p1, 2)
-    return F.when(den > 0, F.ceil(num / den)).cast("long")
+    return F.when((den > 0) & (p2 <= 1), F.ceil(num / den)).cast("long")
 
 
 def sample_size_mean_expr(sd: Column, mde: Column, za: float, zb: float) -> Column:

@@ -22,10 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.order import top_k_list
-from basketry.functions.windows import max_date, round_half_away, trailing_window
+from basketry.functions.windows import max_date, significant, trailing_window, twelve_digits
 
 NULL_RANK = 1e12  # score of an item without a rank: 1 / (1 + 1e12)
-SCORE_DIGITS = 10  # scores are summed in parallel; order and report them at this precision
 BASKET_SPLIT = 512  # distinct items per basket handled by one join key
 
 
@@ -72,21 +71,9 @@ def category_scored(itf: DataFrame, articles: DataFrame, top_k: int = 50,
              .select("category", "pos", "article_id", rank_score(F.col("popularity_rank")).alias("score")))
 
 
-DECAY_TABLE_DAYS = 400  # ages covered by the decay lookup table (the CF window sets the real bound)
-
-
-def decay(days: Column, half_life_days: int, max_days: int = DECAY_TABLE_DAYS) -> Column:
-    """``0.5 ** (days / half_life)``.
-
-    Ages inside the window come from a table built once from the half-life (one entry per day), so
-    every engine multiplies the same correctly rounded doubles (JVM and C ``pow`` can differ in the
-    last bit); older ages fall back to ``pow``.
-    """
-    hl = float(max(int(half_life_days), 1))
-    table = F.array(*[F.lit(0.5 ** (d / hl)) for d in range(int(max_days) + 1)])
-    d = days.cast("int")
-    exact = F.pow(F.lit(0.5), days.cast("double") / F.lit(hl))
-    return F.when((d >= 0) & (d <= int(max_days)), F.element_at(table, d + 1)).otherwise(exact)
+def decay(days: Column, half_life_days: int) -> Column:
+    """``0.5 ** (days / half_life)``, one rule for every age."""
+    return F.pow(F.lit(0.5), days.cast("double") / F.lit(float(max(int(half_life_days), 1))))
 
 
 def recent_seeds(cfw: DataFrame, recent_items: int = 10, half_life_days: int = 14) -> DataFrame:
@@ -109,65 +96,74 @@ def item_cooccurrence(cfw: DataFrame, cooc_same_day_only: bool = True, cooc_max_
                       basket_split: int = BASKET_SPLIT) -> DataFrame:
     """Key 20: ``C(seed, cand)`` = sum over same-customer row pairs (seed row, cand row, cand != seed)
     on the same day (or within ±gap days) of ``0.5^(age(cand row)/half_life)``; top N per seed by
-    score desc, cand asc. Columns: seed_item, cand_item, score, rr."""
+    score desc, cand asc. Columns: seed_item, cand_item, score, rr.
+
+    A basket with many items is split on both sides, so a task meets at most ``basket_split`` seeds and
+    about as many candidates of one basket."""
     m = _basket_counts(cfw)
     gap = 0 if cooc_same_day_only else max(int(cooc_max_day_gap), 0)
+    # parts of a basket: its own items on one side, the items of all days it meets on the other
     sizes = m.groupBy("customer_id", "t_dat").agg(F.count(F.lit(1)).alias("n_items"))
-    nsalt = F.greatest(F.lit(1), F.ceil(F.col("n_items") / F.lit(float(basket_split)))).cast("int")
-    sizes = sizes.select("customer_id", F.col("t_dat").alias("d1"), nsalt.alias("nsalt"))
+    days = F.sequence(F.lit(-gap), F.lit(gap))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(float(basket_split)))).cast("int")
+    if gap > 0:
+        met = (sizes.withColumn("d1", F.explode(F.transform(days, lambda o: F.date_add("t_dat", o))))
+                    .groupBy("customer_id", "d1").agg(F.sum("n_items").alias("met")))
+        sizes = sizes.select("customer_id", F.col("t_dat").alias("d1"), "n_items").join(met, ["customer_id", "d1"])
+    else:
+        sizes = sizes.select("customer_id", F.col("t_dat").alias("d1"), "n_items", F.col("n_items").alias("met"))
+    sizes = sizes.select("customer_id", "d1", parts(F.col("n_items")).alias("n1"), parts(F.col("met")).alias("n2"))
+    part = lambda item, n: F.pmod(F.xxhash64(item), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (m.select("customer_id", F.col("t_dat").alias("d1"), F.col("article_id").alias("seed_item"),
                      F.col("m").alias("m_seed"))
               .join(sizes, ["customer_id", "d1"])
-              .withColumn("salt", F.pmod(F.xxhash64("seed_item"), F.col("nsalt")).cast("int"))
-              .drop("nsalt"))
+              .withColumn("p1", part("seed_item", "n1")).withColumn("p2", every("n2")).drop("n1", "n2"))
     right = m.select("customer_id", F.col("t_dat").alias("d2"), F.col("article_id").alias("cand_item"),
                      F.col("m").alias("m_cand"), F.col("age").alias("age2"))
-    if gap > 0:
-        right = (right.withColumn("off", F.explode(F.sequence(F.lit(-gap), F.lit(gap))))
-                      .withColumn("d1", F.date_add(F.col("d2"), F.col("off"))).drop("off"))
-    else:
-        right = right.withColumn("d1", F.col("d2"))
+    right = (right.withColumn("d1", F.explode(F.transform(days, lambda o: F.date_add("d2", o)))) if gap > 0
+             else right.withColumn("d1", F.col("d2")))
     right = (right.join(sizes, ["customer_id", "d1"])
-                  .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)))
-                  .drop("nsalt"))
-    pairs = (left.join(right, ["customer_id", "d1", "salt"])
+                  .withColumn("p2", part("cand_item", "n2")).withColumn("p1", every("n1")).drop("n1", "n2"))
+    pairs = (left.join(right, ["customer_id", "d1", "p1", "p2"])
                  .filter(F.col("seed_item") != F.col("cand_item"))
                  .select("seed_item", "cand_item",
                          ((F.col("m_seed") * F.col("m_cand")).cast("double")
                           * decay(F.col("age2"), half_life_days)).alias("contrib")))
-    c = pairs.groupBy("seed_item", "cand_item").agg(F.sum("contrib").alias("raw"))
-    c = c.withColumn("score", round_half_away(F.col("raw"), SCORE_DIGITS))
-    w = Window.partitionBy("seed_item").orderBy(F.col("score").desc(), F.col("cand_item").asc())
+    c = pairs.groupBy("seed_item", "cand_item").agg(F.sum("contrib").alias("score"))
+    w = Window.partitionBy("seed_item").orderBy(significant(F.col("score")).desc(), F.col("cand_item").asc())
     return (c.withColumn("rr", F.row_number().over(w).cast("long")).filter(F.col("rr") <= cooc_top_per_seed)
-             .select("seed_item", "cand_item", "score", "rr", "raw"))
+             .select("seed_item", "cand_item", "score", "rr"))
 
 
 def cf_candidates(cfw: DataFrame, itf: DataFrame, top_k: int = 50, recent_items: int = 10,
                   cooc_top_per_seed: int = 200, half_life_days: int = 14, popularity_penalty_alpha: float = 0.20,
                   exclude_already_purchased: bool = True, cooc_same_day_only: bool = True,
-                  cooc_max_day_gap: int = 3, cooc: DataFrame | None = None) -> DataFrame:
+                  cooc_max_day_gap: int = 3, cooc: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
     """Key 21: per user, sum over seeds of pruned co-purchase scores × seed weight, divided by
     ``1 + alpha * ln(1 + rank)`` when the item is ranked; already-bought items dropped; top-k by
-    score desc, id asc. Columns: customer_id, pos, article_id, score_cf."""
-    seeds = recent_seeds(cfw, recent_items, half_life_days)
-    wsum = seeds.groupBy("customer_id", "seed_item").agg(F.sum("w_seed").alias("w"))
+    score desc, id asc. Columns: customer_id, pos, article_id, score_cf.
+
+    The penalty depends on the item alone, so it joins the matrix (items × list rows), not the users ×
+    list rows. ``users`` restricts the work to them; the matrix still counts all customers."""
     if cooc is None:
         cooc = item_cooccurrence(cfw, cooc_same_day_only, cooc_max_day_gap, cooc_top_per_seed, half_life_days)
-    raw = (wsum.join(cooc.select("seed_item", "cand_item", "raw"), "seed_item")
-               .groupBy("customer_id", F.col("cand_item").alias("article_id"))
-               .agg(F.sum(F.col("w") * F.col("raw")).alias("score_sum")))
-    ranked = raw.join(itf.select("article_id", "popularity_rank"), "article_id", "left")
-    pen = F.lit(1.0) + F.lit(float(popularity_penalty_alpha)) * F.log(F.lit(1.0) + F.col("popularity_rank").cast("double"))
-    scored = ranked.select("customer_id", "article_id",
-                           F.when(F.col("popularity_rank").isNull(), F.col("score_sum"))
-                           .otherwise(F.col("score_sum") / pen).alias("score_raw"))
+    mine = cfw if users is None else cfw.join(users.select("customer_id"), "customer_id", "left_semi")
+    wsum = recent_seeds(mine, recent_items, half_life_days).groupBy("customer_id", "seed_item").agg(
+        F.sum("w_seed").alias("w"))
+    rank = F.col("popularity_rank").cast("double")
+    pen = F.lit(1.0) + F.lit(float(popularity_penalty_alpha)) * F.log(F.lit(1.0) + rank)
+    matrix = cooc.select("seed_item", "cand_item", "score").join(
+        itf.select(F.col("article_id").alias("cand_item"), "popularity_rank"), "cand_item", "left").select(
+        "seed_item", F.col("cand_item").alias("article_id"), (F.col("score") / F.coalesce(pen, F.lit(1.0))).alias("gain"))
+    scored = (wsum.join(matrix, "seed_item").groupBy("customer_id", "article_id")
+                  .agg(F.sum(F.col("w") * F.col("gain")).alias("score_cf")))
     if exclude_already_purchased:
-        bought = cfw.select("customer_id", "article_id").distinct()
+        bought = mine.select("customer_id", "article_id").distinct()
         scored = scored.join(bought, ["customer_id", "article_id"], "left_anti")
-    scored = scored.withColumn("score_cf", round_half_away(F.col("score_raw"), SCORE_DIGITS))
-    w = Window.partitionBy("customer_id").orderBy(F.col("score_cf").desc(), F.col("article_id").asc())
+    w = Window.partitionBy("customer_id").orderBy(significant(F.col("score_cf")).desc(), F.col("article_id").asc())
     return (scored.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= top_k)
-                  .select("customer_id", "pos", "article_id", "score_cf"))
+                  .select("customer_id", "pos", "article_id", twelve_digits(F.col("score_cf")).alias("score_cf")))
 
 
 def rrf(pos: Column, k: int = 60) -> Column:
@@ -191,7 +187,7 @@ def merged_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, total_k:
                       cooc_top_per_seed: int = 200, half_life_days: int = 14,
                       popularity_penalty_alpha: float = 0.20, fallback_pop_expand: int = 1000, rrf_k: int = 60,
                       cooc_same_day_only: bool = True, cooc_max_day_gap: int = 0,
-                      cf: DataFrame | None = None) -> DataFrame:
+                      cf: DataFrame | None = None, cooc: DataFrame | None = None) -> DataFrame:
     """Key 23: per user, fuse the popularity list (``pop_top``) and the user's CF list (``cf_top``) by
     reciprocal rank; if the union is smaller than ``total_k`` fill from the expanded popularity list in
     order; sort by (final, cf, pop, id) all descending; keep ``total_k``.
@@ -210,18 +206,21 @@ def merged_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, total_k:
     exp_list = popularity_candidates(itf, expand)  # bounded by the parameters, not by the data
     if cf is None:
         cf = cf_candidates(cfw, itf, cf_top, recent_items, cooc_top_per_seed, half_life_days,
-                           popularity_penalty_alpha, True, cooc_same_day_only, cooc_max_day_gap)
-    cf_rows = (cf.join(spark_users, "customer_id", "left_semi")
-                 .select("customer_id", "article_id", F.col("pos").alias("c_pos"), F.lit(None).cast("long").alias("e_pos")))
-    pop_arr = list_array(exp_list, ["pos", "article_id"])
-    # every user gets the expanded popularity list positions; positions <= pop_top form the pop list,
-    # the rest are only eligible as fill
-    pop_rows = (spark_users.select("customer_id", F.explode(pop_arr).alias("p"))
-                           .select("customer_id", F.col("p.article_id").alias("article_id"),
-                                   F.lit(None).cast("long").alias("c_pos"), F.col("p.pos").alias("e_pos")))
-    cand = (cf_rows.unionByName(pop_rows).repartition("customer_id")
-                   .groupBy("customer_id", "article_id")
-                   .agg(F.min("c_pos").alias("c_pos"), F.min("e_pos").alias("e_pos")))
+                           popularity_penalty_alpha, True, cooc_same_day_only, cooc_max_day_gap, cooc, spark_users)
+    # One row per user is shuffled, with the CF list as an array (at most cf_top entries); it meets the
+    # constant popularity list in an expression, and the rows unfold after the shuffle. List positions
+    # <= pop_top form the pop list, the rest are only eligible as fill.
+    entry = lambda item, c, e: F.struct(item.alias("article_id"), c.cast("long").alias("c_pos"), e.cast("long").alias("e_pos"))
+    no = F.lit(None)
+    mine = cf.groupBy("customer_id").agg(F.collect_list(F.struct("pos", "article_id")).alias("cf_list"))
+    per_user = spark_users.join(mine, "customer_id", "left")
+    cf_part = F.transform(F.coalesce("cf_list", F.array().cast("array<struct<pos:bigint,article_id:string>>")),
+                          lambda c: entry(c["article_id"], c["pos"], no))
+    pop_part = list_array(exp_list.select(entry(F.col("article_id"), no, F.col("pos")).alias("e")).select("e.*"),
+                          ["article_id", "c_pos", "e_pos"])
+    cand = (per_user.select("customer_id", F.inline(F.concat(cf_part, pop_part)))
+                    .groupBy("customer_id", "article_id")
+                    .agg(F.min("c_pos").alias("c_pos"), F.min("e_pos").alias("e_pos")))
     if int(total_k) > int(pop_top):
         # the union may be shorter than total_k: keep the first (total_k - |union|) expansion items
         in_union = F.col("c_pos").isNotNull() | (F.col("e_pos") <= pop_top)
@@ -294,18 +293,18 @@ def low_activity_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, ar
         return u.select("customer_id", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("article_id"),
                         F.lit(0.0).alias("score")).limit(0)
     trend = popularity_recency(itf, cfw, int(total_k * 1.5), recency_window_days, w_popularity, w_recency)
-    trend_arr = list_array(trend, ["pos", "article_id", "score"])
-    trend_rows = u.select("customer_id", F.explode(trend_arr).alias("t")).select(
-        "customer_id", F.col("t.article_id").alias("article_id"), F.col("t.score").alias("s_trend"),
-        F.lit(None).cast("double").alias("s_cat"))
-    pref = preferred_category(cfw, articles, 10, category_col).join(u, "customer_id", "left_semi")
+    # one row per user is shuffled, with its category's list as an array; rows unfold after the shuffle
     cats = category_scored(itf, articles, total_k, category_col)  # categories × total_k rows
-    cat_rows = (pref.select("customer_id", F.col(category_col).alias("category"))
-                    .join(cats, "category")
-                    .select("customer_id", "article_id", F.lit(None).cast("double").alias("s_trend"),
-                            F.col("score").alias("s_cat")))
-    comb = (trend_rows.unionByName(cat_rows).groupBy("customer_id", "article_id")
-                      .agg(F.max("s_trend").alias("s_trend"), F.max("s_cat").alias("s_cat")))
+    cats = cats.groupBy(F.col("category").alias(category_col)).agg(F.collect_list(F.struct("article_id", "score")).alias("cat_list"))
+    pref = preferred_category(cfw.join(u, "customer_id", "left_semi"), articles, 10, category_col)
+    per_user = u.join(pref.join(cats, category_col).select("customer_id", "cat_list"), "customer_id", "left")
+    none = F.lit(None).cast("double")
+    trend_part = list_array(trend.select("article_id", F.col("score").alias("s_trend"), none.alias("s_cat")),
+                            ["article_id", "s_trend", "s_cat"])
+    cat_part = F.transform(F.coalesce("cat_list", F.array().cast("array<struct<article_id:string,score:double>>")),
+                           lambda c: F.struct(c["article_id"].alias("article_id"), none.alias("s_trend"), c["score"].alias("s_cat")))
+    comb = (per_user.select("customer_id", F.inline(F.concat(trend_part, cat_part)))
+                    .groupBy("customer_id", "article_id").agg(F.max("s_trend").alias("s_trend"), F.max("s_cat").alias("s_cat")))
     score = F.coalesce(F.col("s_trend"), F.lit(0.0)) + F.coalesce(F.col("s_cat"), F.lit(0.0)) * F.lit(float(w_category))
     w = Window.partitionBy("customer_id").orderBy(F.col("score").desc(), F.col("article_id").asc())
     return (comb.withColumn("score", score).withColumn("pos", F.row_number().over(w).cast("long"))

@@ -15,6 +15,7 @@ from basketry.functions.stats import (
 )
 
 SIGNIFICANCE = 0.05
+P_DIGITS = 9  # decimals of reported p-values
 
 
 def experiment_user_sample(users: DataFrame, num_users: int, seed: int | str = 42) -> DataFrame:
@@ -29,31 +30,33 @@ def experiment_assignment(users: DataFrame, experiment: str = "exp1") -> DataFra
     return users.select("customer_id", F.when(F.substring(h, 1, 1) < "8", "A").otherwise("B").alias("grp"))
 
 
-def ab_basic_stats(log: DataFrame) -> DataFrame:
-    """Key 62: units and CTR per group, difference, relative lift (%) and mean purchases per group."""
-    clk = F.col("clicked").cast("double")
-    pur = F.col("purchase_count").cast("double")
-    a = F.col("grp") == "A"
-    b = F.col("grp") == "B"
-    s = log.agg(F.count(F.lit(1)).alias("total_users"),
-                F.count(F.when(a, 1)).alias("group_a_size"), F.count(F.when(b, 1)).alias("group_b_size"),
-                F.avg(F.when(a, clk)).alias("group_a_ctr"), F.avg(F.when(b, clk)).alias("group_b_ctr"),
-                F.avg(F.when(a, pur)).alias("group_a_avg_purchases"),
-                F.avg(F.when(b, pur)).alias("group_b_avg_purchases"))
-    diff = F.col("group_b_ctr") - F.col("group_a_ctr")
-    lift = F.when(F.col("group_a_ctr") > 0, diff / F.col("group_a_ctr") * 100.0).otherwise(F.lit(0.0))
-    return s.select("total_users", "group_a_size", "group_b_size", "group_a_ctr", "group_b_ctr",
+def _group_sums(log: DataFrame, metric: str = "purchase_count", ts: str | None = None) -> DataFrame:
+    """One row with everything the readouts need, from one pass over the log."""
+    clk, x = F.col("clicked").cast("double"), F.col(metric).cast("double")
+    out = [F.count(F.lit(1)).alias("n")]
+    for g in ("A", "B"):
+        on, k = F.col("grp") == g, g.lower()
+        out += [F.count(F.when(on, 1)).alias(f"n_{k}"), F.avg(F.when(on, clk)).alias(f"ctr_{k}"),
+                F.count(F.when(on & F.col("clicked"), 1)).alias(f"click_{k}"),
+                F.count(F.when(on & ~F.col("clicked"), 1)).alias(f"noclick_{k}"),
+                F.avg(F.when(on, x)).alias(f"mean_{k}"), F.var_samp(F.when(on, x)).alias(f"var_{k}")]
+    if ts is not None:
+        out += [F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")]
+    return log.agg(*out)
+
+
+def _basic(s: DataFrame) -> DataFrame:
+    diff = F.col("ctr_b") - F.col("ctr_a")
+    lift = F.when(F.col("ctr_a") > 0, diff / F.col("ctr_a") * 100.0).otherwise(F.lit(0.0))
+    return s.select(F.col("n").alias("total_users"), F.col("n_a").alias("group_a_size"), F.col("n_b").alias("group_b_size"),
+                    F.col("ctr_a").alias("group_a_ctr"), F.col("ctr_b").alias("group_b_ctr"),
                     diff.alias("ctr_difference"), lift.alias("ctr_lift"),
-                    "group_a_avg_purchases", "group_b_avg_purchases")
+                    F.col("mean_a").alias("group_a_avg_purchases"), F.col("mean_b").alias("group_b_avg_purchases"))
 
 
-def ab_chi_square(log: DataFrame) -> DataFrame:
-    """Key 63: group × clicked contingency table, chi-square with Yates' correction (2×2), dof."""
-    c = F.col("clicked")
-    t = log.agg(F.count(F.when((F.col("grp") == "A") & c, 1)).alias("a_click"),
-                F.count(F.when((F.col("grp") == "A") & ~c, 1)).alias("a_noclick"),
-                F.count(F.when((F.col("grp") == "B") & c, 1)).alias("b_click"),
-                F.count(F.when((F.col("grp") == "B") & ~c, 1)).alias("b_noclick"))
+def _chi(s: DataFrame) -> DataFrame:
+    t = s.select(F.col("click_a").alias("a_click"), F.col("noclick_a").alias("a_noclick"),
+                 F.col("click_b").alias("b_click"), F.col("noclick_b").alias("b_noclick"))
     ra = F.col("a_click") + F.col("a_noclick")
     rb = F.col("b_click") + F.col("b_noclick")
     cc = F.col("a_click") + F.col("b_click")
@@ -68,23 +71,39 @@ def ab_chi_square(log: DataFrame) -> DataFrame:
     for o, r, k in cells:
         term = yates_term(o.cast("double"), r.cast("double") * k.cast("double") / n.cast("double"))
         stat = term if stat is None else stat + term
-    return t.select(F.when(dof > 0, stat).otherwise(F.lit(0.0)).alias("chi2"), dof.alias("dof"),
-                    "a_click", "a_noclick", "b_click", "b_noclick")
+    t = t.select(F.when(dof > 0, stat).otherwise(F.lit(0.0)).alias("chi2"), dof.alias("dof"),
+                 "a_click", "a_noclick", "b_click", "b_noclick")
+    return _with_p(t, chi2_p_value(F.col("chi2"), F.col("dof")))
+
+
+def _t(s: DataFrame) -> DataFrame:
+    dof = F.col("n_a") + F.col("n_b") - 2
+    sp2 = ((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / dof
+    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(sp2 * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
+    out = s.select(t.alias("t_stat"), dof.cast("long").alias("dof"), F.col("mean_a").alias("group_a_mean"),
+                   F.col("mean_b").alias("group_b_mean"), (F.col("mean_b") - F.col("mean_a")).alias("difference"))
+    return _with_p(out, t_p_value(F.col("t_stat"), F.col("dof").cast("double")))
+
+
+def _with_p(df: DataFrame, p) -> DataFrame:
+    """p-value (reported with P_DIGITS decimals) and whether it is below the significance level."""
+    return df.withColumn("p", p).withColumn("significant", F.col("p") < SIGNIFICANCE).withColumn(
+        "p_value", F.round("p", P_DIGITS)).drop("p")
+
+
+def ab_basic_stats(log: DataFrame) -> DataFrame:
+    """Key 62: users and CTR per group, difference, relative lift (%) and mean purchases per group."""
+    return _basic(_group_sums(log))
+
+
+def ab_chi_square(log: DataFrame) -> DataFrame:
+    """Key 63: group × clicked contingency table, chi-square with Yates' correction (2×2), dof, p-value, significance."""
+    return _chi(_group_sums(log))
 
 
 def ab_t_test(log: DataFrame, metric: str = "purchase_count") -> DataFrame:
-    """Key 64: pooled-variance two-sample t (A minus B) on ``metric``; difference is B − A."""
-    x = F.col(metric).cast("double")
-    a = F.col("grp") == "A"
-    b = F.col("grp") == "B"
-    s = log.agg(F.count(F.when(a, 1)).alias("na"), F.count(F.when(b, 1)).alias("nb"),
-                F.avg(F.when(a, x)).alias("group_a_mean"), F.avg(F.when(b, x)).alias("group_b_mean"),
-                F.var_samp(F.when(a, x)).alias("va"), F.var_samp(F.when(b, x)).alias("vb"))
-    dof = F.col("na") + F.col("nb") - 2
-    sp2 = ((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / dof
-    t = (F.col("group_a_mean") - F.col("group_b_mean")) / F.sqrt(sp2 * (1.0 / F.col("na") + 1.0 / F.col("nb")))
-    return s.select(t.alias("t_stat"), dof.cast("long").alias("dof"), "group_a_mean", "group_b_mean",
-                    (F.col("group_b_mean") - F.col("group_a_mean")).alias("difference"))
+    """Key 64: pooled-variance two-sample t (A minus B) on ``metric``; difference is B − A; p-value, significance."""
+    return _t(_group_sums(log, metric))
 
 
 def experiment_log_span(log: DataFrame, ts: str = "first_ts") -> DataFrame:
@@ -96,24 +115,21 @@ def experiment_log_span(log: DataFrame, ts: str = "first_ts") -> DataFrame:
 
 
 def ab_report(log: DataFrame, ts: str = "first_ts") -> DataFrame:
-    """Key 65: every readout as (section, metric, value) rows, p-values included."""
-    basic = ab_basic_stats(log)
-    chi = ab_chi_square(log).withColumn("p_value", chi2_p_value(F.col("chi2"), F.col("dof")))
-    tt = ab_t_test(log).withColumn("p_value", t_p_value(F.col("t_stat"), F.col("dof").cast("double")))
-    span = experiment_log_span(log, ts)
-
-    def melt(df, section, cols):
-        return df.select(F.explode(F.array(*[
-            F.struct(F.lit(section).alias("section"), F.lit(c).alias("metric"),
-                     F.col(c).cast("double").alias("value")) for c in cols])).alias("r")).select("r.*")
-
-    sig_chi = chi.select((F.col("p_value") < SIGNIFICANCE).cast("double").alias("significant"), "*")
-    sig_t = tt.select((F.col("p_value") < SIGNIFICANCE).cast("double").alias("significant"), "*")
-    return (melt(basic, "basic_stats", basic.columns)
-            .unionByName(melt(sig_chi, "chi_square_test", ["chi2", "p_value", "dof", "significant"]))
-            .unionByName(melt(sig_t, "t_test_purchases",
-                              ["t_stat", "p_value", "significant", "group_a_mean", "group_b_mean", "difference"]))
-            .unionByName(melt(span, "data_summary", ["records", "minutes"])))
+    """Key 65: every readout as (section, metric, value) rows, from one pass over the log."""
+    s = _group_sums(log, ts=ts).withColumnsRenamed({"first_ts": "from_ts", "last_ts": "to_ts"})
+    micros = F.timestamp_diff("MICROSECOND", F.col("from_ts"), F.col("to_ts"))
+    # one row throughout: all readouts as structs of the same row, then unfolded
+    keep = s.withColumns({"records": F.col("n"), "minutes": micros.cast("double") / 60e6})
+    parts = {"basic_stats": (_basic, None), "chi_square_test": (_chi, ["chi2", "p_value", "dof", "significant"]),
+             "t_test_purchases": (_t, ["t_stat", "p_value", "significant", "group_a_mean", "group_b_mean", "difference"]),
+             "data_summary": (lambda x: x.select("records", "minutes"), None)}
+    out = None
+    for section, (read, cols) in parts.items():
+        df = read(keep)
+        rows = df.select(F.inline(F.array(*[F.struct(F.lit(section).alias("section"), F.lit(c).alias("metric"),
+                                                    F.col(c).cast("double").alias("value")) for c in cols or df.columns])))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def sample_size_proportion(log: DataFrame, seg_col, relative_lift: float = 0.05, alpha: float = 0.05,

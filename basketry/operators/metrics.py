@@ -1,8 +1,8 @@
 """Ranking metrics per user (DCG, NDCG, hit rate, precision, recall, MRR) and their means.
 
 One window pass ranks every user's rows by score; one aggregate per user computes all metrics for all
-k at once. The ideal DCG needs no second sort: with 0/1 labels it is the discount prefix sum up to
-``min(k, positives)``. Discounts ``1 / log2(i + 1)`` come from a small table built from the largest k.
+k at once. The ideal DCG of graded labels ranks the same rows by label in a second window over the same
+partitioning. Discounts ``1 / log2(i + 1)`` come from a small table built from the largest k.
 """
 
 from __future__ import annotations
@@ -18,36 +18,32 @@ K_VALUES = [5, 10, 20, 50]
 METRIC_DIGITS = 12
 
 
-def _disc_tables(max_k: int):
-    disc = [1.0 / math.log2(i + 1) for i in range(1, max_k + 1)]
-    prefix, s = [0.0], 0.0
-    for d in disc:
-        s += d
-        prefix.append(s)
-    return disc, prefix
+def _discounts(max_k: int) -> list[float]:
+    return [1.0 / math.log2(i + 1) for i in range(1, max_k + 1)]
 
 
 def per_user_metrics(rows: DataFrame, k_values: list[int] = K_VALUES, score: str = "score",
                      label: str = "label", item: str = "article_id", user: str = "customer_id") -> DataFrame:
     """Long table (customer_id, metric, k, value) for metric in dcg, ndcg, hit_rate, precision, recall, mrr."""
     max_k = max(k_values)
-    disc, prefix = _disc_tables(max_k)
-    disc_arr = F.array(*[F.lit(x) for x in disc])
-    pre_arr = F.array(*[F.lit(x) for x in prefix])
+    disc_arr = F.array(*[F.lit(x) for x in _discounts(max_k)])
     w = Window.partitionBy(user).orderBy(F.col(score).desc(), F.col(item).asc(), F.col(label).desc())
-    r = rows.select(user, F.col(label).cast("long").alias("_l"), F.row_number().over(w).alias("_p"))
-    aggs = [F.sum("_l").alias("_npos"), F.min(F.when(F.col("_l") > 0, F.col("_p"))).alias("_first")]
+    ideal = Window.partitionBy(user).orderBy(F.col(label).desc(), F.col(score).desc(), F.col(item).asc())
+    r = rows.select(user, F.col(label).cast("long").alias("_l"), F.row_number().over(w).alias("_p"),
+                    F.row_number().over(ideal).alias("_i"))
+    gain = lambda place, k: F.sum(F.when(place <= k, F.col("_l") * F.element_at(disc_arr, place)))
+    aggs = [F.sum(F.when(F.col("_l") > 0, 1).otherwise(0)).alias("_npos"), F.min(F.when(F.col("_l") > 0, F.col("_p"))).alias("_first")]
     for k in k_values:
         top = F.col("_p") <= k
-        aggs.append(F.sum(F.when(top, F.col("_l") * F.element_at(disc_arr, F.col("_p")))).alias(f"_dcg{k}"))
-        aggs.append(F.sum(F.when(top, F.col("_l"))).alias(f"_hit{k}"))
+        aggs += [gain(F.col("_p"), k).alias(f"_dcg{k}"), gain(F.col("_i"), k).alias(f"_idcg{k}"),
+                 F.sum(F.when(top & (F.col("_l") > 0), 1).otherwise(0)).alias(f"_hit{k}")]
     g = r.groupBy(user).agg(*aggs)
     npos = F.col("_npos")
     out = []
     for k in k_values:
         dcg = F.coalesce(F.col(f"_dcg{k}"), F.lit(0.0))
         hits = F.coalesce(F.col(f"_hit{k}"), F.lit(0)).cast("double")
-        idcg = F.element_at(pre_arr, F.least(npos, F.lit(k)).cast("int") + 1)
+        idcg = F.coalesce(F.col(f"_idcg{k}"), F.lit(0.0))
         vals = {
             "dcg": dcg,
             "ndcg": F.when(idcg > 0, dcg / idcg).otherwise(F.lit(0.0)),

@@ -184,7 +184,11 @@ PROFILE_JSON_SCHEMA = T.StructType([
 ])
 
 
-def salvage_json_column(responses: DataFrame, text: str = "text", key: str = "event_id") -> DataFrame:
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def salvage_json_column(responses: DataFrame, text: str = "text", key: str | list[str] = "event_id") -> DataFrame:
     """Key 82: take the first '{' .. last '}' of each reply, parse it, force enums to their defaults,
     keep at most 3 categories; unparseable replies get the defaults and ``rejected = true``."""
     body = F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0)
@@ -198,29 +202,29 @@ def salvage_json_column(responses: DataFrame, text: str = "text", key: str = "ev
     cats = parsed.getField("categories")
     cats = F.when(ok & cats.isNotNull() & (F.size(cats) >= 1), F.slice(cats, 1, MAX_CATEGORIES)).otherwise(
         F.array(*[F.lit(c) for c in DEFAULT_CATEGORIES]))
-    return responses.select(key, enum("style", STYLES, DEFAULT_STYLE).alias("style"),
+    return responses.select(*_names(key), enum("style", STYLES, DEFAULT_STYLE).alias("style"),
                             enum("frequency", FREQUENCIES, DEFAULT_FREQUENCY).alias("frequency"),
                             enum("budget", BUDGETS, DEFAULT_BUDGET).alias("budget"),
                             F.array_join(cats, ",").alias("categories"), (~ok).alias("rejected"))
 
 
 def rating_reply_parse(responses: DataFrame, n_items: int = 10, text: str = "text",
-                       key: str = "event_id") -> DataFrame:
+                       key: str | list[str] = "event_id") -> DataFrame:
     """Key 83: ``Purchase: N`` capped at n (default 0), ``Satisfaction: N`` clamped to 1..5 (default 3)."""
     p = F.regexp_extract(F.col(text), r"Purchase:\s*(\d+)", 1)
     s = F.regexp_extract(F.col(text), r"Satisfaction:\s*(\d+)", 1)
 
-    def as_int(d):  # digits only; very long numbers saturate instead of overflowing
+    def as_int(d):  # digits only; a number of more than 18 digits counts as 10^18: both results are clamped far below
         return F.when(F.length(d) > 18, F.lit(10 ** 18)).otherwise(d.try_cast("long"))
 
     purchase = F.when(p != "", F.least(as_int(p), F.lit(n_items))).otherwise(F.lit(0)).cast("long")
     sat = F.when(s != "", F.greatest(F.lit(1), F.least(as_int(s), F.lit(5)))).otherwise(F.lit(3)).cast("long")
-    return responses.select(key, purchase.alias("purchase"), sat.alias("satisfaction"),
+    return responses.select(*_names(key), purchase.alias("purchase"), sat.alias("satisfaction"),
                             ((p == "") | (s == "")).alias("defaulted"))
 
 
-def yes_no_reply_parse(responses: DataFrame, text: str = "text", key: str = "event_id") -> DataFrame:
+def yes_no_reply_parse(responses: DataFrame, text: str = "text", key: str | list[str] = "event_id") -> DataFrame:
     """Key 84: trimmed, lower-cased reply starting with yes / no, else undecided."""
     t = F.lower(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""))
     ans = F.when(t.startswith("yes"), "yes").when(t.startswith("no"), "no").otherwise("undecided")
-    return responses.select(key, ans.alias("answer"))
+    return responses.select(*_names(key), ans.alias("answer"))

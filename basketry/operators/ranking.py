@@ -18,10 +18,12 @@ FEATURES = ["purchase_count", "recency", "purchase_frequency_encoded", "populari
 
 
 # --------------------------------------------------------------------------- dataset 28-33
-def ranking_user_sample(tx: DataFrame, sample_users: int = 10000, window_days: int = 28,
+def ranking_user_sample(tx: DataFrame, sample_users: int | None = 10000, window_days: int = 28,
                         seed: int | str = 42) -> DataFrame:
-    """Key 28: ``sample_users`` users active in the window, in md5(id || seed) order (repeatable)."""
+    """Key 28: ``sample_users`` users active in the window, in md5(id || seed) order (repeatable); None: all."""
     users = trailing_window(tx.select("customer_id", "t_dat"), window_days).select("customer_id").distinct()
+    if sample_users is None:
+        return users
     keyed = users.select("customer_id", hash_key("customer_id", seed=seed).alias("_h"))
     return top_k_list(keyed, [F.col("_h").asc(), F.col("customer_id").asc()], sample_users).select("customer_id")
 
@@ -43,24 +45,23 @@ def ranking_negatives(tx: DataFrame, sampled: DataFrame, itf: DataFrame, pos_per
     """Key 30: per sampled user, ``negative_per_user * pos_per_user`` items from the popularity pool
     that the user did not buy in the window, in md5(user || item || seed) order.
 
-    The pool is a parameter-sized list; it reaches every user as one array (scalar subquery + explode),
-    so the users keep their partitioning and the per-user limit runs without another exchange."""
-    pool = popularity_candidates(itf, popularity_pool)
-    pool_arr = list_array(pool, ["pos", "article_id"])
-    cand = sampled.select("customer_id", F.explode(pool_arr).alias("p")).select(
-        "customer_id", F.col("p.article_id").alias("article_id"))
+    The pool is a parameter-sized list; it reaches every user as one array (scalar subquery), and only
+    the kept items unfold."""
+    n = int(negative_per_user) * int(pos_per_user)
+    pool = list_array(popularity_candidates(itf, popularity_pool), ["article_id"])
+    # a user's purchases as a set; the pool stays one constant array and never unfolds to users x pool rows
     bought = (trailing_window(tx.select("customer_id", "article_id", "t_dat"), window_days)
               .join(sampled.select("customer_id"), "customer_id", "left_semi")
-              .select("customer_id", "article_id").distinct())
-    cand = cand.join(bought, ["customer_id", "article_id"], "left_anti")
-    w = Window.partitionBy("customer_id").orderBy(hash_key("customer_id", "article_id", seed=seed).asc(),
-                                                  F.col("article_id").asc())
-    n = int(negative_per_user) * int(pos_per_user)
-    return (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+              .groupBy("customer_id").agg(F.collect_set(F.struct("article_id")).alias("bought")))
+    rest = (sampled.select("customer_id").join(bought, "customer_id", "left")
+            .select("customer_id", F.array_except(pool, F.coalesce("bought", F.array().cast("array<struct<article_id:string>>"))).alias("rest")))
+    hashed = F.transform("rest", lambda x: F.struct(
+        F.md5(F.concat(F.col("customer_id").cast("string"), x["article_id"], F.lit(str(seed)))).alias("h"), x["article_id"].alias("article_id")))
+    return (rest.select("customer_id", F.inline(F.slice(F.array_sort(hashed), 1, n)))
                 .select("customer_id", "article_id", F.lit(0).cast("int").alias("label")))
 
 
-def ranking_dataset(tx: DataFrame, uf: DataFrame, itf: DataFrame, sample_users: int = 10000,
+def ranking_dataset(tx: DataFrame, uf: DataFrame, itf: DataFrame, sample_users: int | None = 10000,
                     pos_per_user: int = 3, negative_per_user: int = 50, window_days: int = 28,
                     popularity_pool: int = 2000, seed: int | str = 42) -> DataFrame:
     """Key 31: positives ∪ negatives, inner-joined to user and item features."""
@@ -201,7 +202,7 @@ def rerank_topk(candidates: DataFrame, uf: DataFrame, itf: DataFrame, top_k: int
 
 def recommend(users: DataFrame, tx: DataFrame, uf: DataFrame, itf: DataFrame, articles: DataFrame,
               segments: DataFrame, top_k: int = 10, candidate_k: int = 300, cf_window_days: int = 28,
-              model: TreeModel | None = SAVED_RANKER) -> DataFrame:
+              model: TreeModel | None = SAVED_RANKER, cooc: DataFrame | None = None) -> DataFrame:
     """Key 39: active users → fused candidates + model rerank (``cf_ranker``); everyone else →
     popularity/recency/category blend (``enhanced_fallback``). Both branches are plans over all users;
     the result is their union. Columns: customer_id, pos, article_id, score, segment, strategy, fallback."""
@@ -211,7 +212,7 @@ def recommend(users: DataFrame, tx: DataFrame, uf: DataFrame, itf: DataFrame, ar
     active = segs.filter(F.col("segment") == ACTIVE).select("customer_id")
     low = segs.filter(F.col("segment") != ACTIVE).select("customer_id")
     cfw = cf_window(tx, cf_window_days)
-    cands = merged_candidates(active, cfw, itf, total_k=candidate_k)
+    cands = merged_candidates(active, cfw, itf, total_k=candidate_k, cooc=cooc)
     a = rerank_topk(cands.select("customer_id", "pos", "article_id"), uf, itf, top_k, model).select(
         "customer_id", "pos", "article_id", "score", F.lit(ACTIVE).alias("segment"),
         F.lit("cf_ranker").alias("strategy"), "fallback")

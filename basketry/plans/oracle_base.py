@@ -20,14 +20,9 @@ exposures AS (
          CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS purchase_count,
          CAST(count(*) AS BIGINT) AS num_items, min(ts) AS first_ts
   FROM events GROUP BY user_id, CAST(ts AS DATE)),
-responses AS (
-  SELECT event_id, CASE event_id % 8
-    WHEN 0 THEN 'no json here'
-    WHEN 1 THEN 'Here: {"style":"casual","frequency":"weekly","budget":"low","categories":["a","b","c","d"]} ok'
-    WHEN 2 THEN '{"style":"punk","budget":"high"}'
-    WHEN 3 THEN '{broken'
-    WHEN 4 THEN 'Purchase: ' || CAST(event_id % 15 AS VARCHAR) || ', Satisfaction: ' || CAST(event_id % 9 AS VARCHAR)
-    WHEN 5 THEN '  Yes, I would' WHEN 6 THEN 'NO.' ELSE 'maybe' END AS text FROM events)
+log AS (
+  SELECT user_id, grp, bool_or(clicked) AS clicked, CAST(sum(purchase_count) AS BIGINT) AS purchase_count, min(day) AS day
+  FROM exposures GROUP BY user_id, grp)
 """
 
 

@@ -5,34 +5,29 @@ from basketry.functions.treemodel import SAVED_RANKER, nodes_sql_values
 FEATS = ["purchase_count", "recency", "purchase_frequency_encoded", "popularity_rank", "sales_count"]
 
 
-def dataset_ctes(sample: int, pos: int, neg: int, window: int, pool: int, seed: int) -> str:
+def dataset_ctes(sample: int | None, pos: int, neg: int, window: int, pool: int, seed: int) -> str:
+    """Everything per user as lists: purchases newest first, and the popularity pool without them in
+    hash order; positives and negatives are heads of these lists. ``sample`` None takes all users."""
+    some = f"[1:{int(sample)}]" if sample is not None else ""
     n_neg = int(neg) * int(pos)
     return f"""
-rwin AS (SELECT * FROM tx WHERE t_dat >= (SELECT max(t_dat) - {int(window)} FROM tx)),
-rsample AS (SELECT customer_id FROM (SELECT DISTINCT customer_id FROM rwin)
-            ORDER BY md5(customer_id || '{seed}'), customer_id LIMIT {int(sample)}),
-rpos_raw AS (SELECT * FROM (SELECT customer_id, article_id,
-                    CAST(row_number() OVER (PARTITION BY customer_id ORDER BY t_dat DESC, article_id ASC) AS BIGINT) AS rn
-             FROM rwin WHERE customer_id IN (SELECT customer_id FROM rsample)) WHERE rn <= {int(pos)}),
-rpos AS (SELECT customer_id, rn, article_id, 1 AS label FROM rpos_raw
-         WHERE customer_id IN (SELECT customer_id FROM rpos_raw GROUP BY 1 HAVING count(*) = {int(pos)})),
-rpool AS (SELECT * FROM (SELECT article_id,
-                 row_number() OVER (ORDER BY popularity_rank ASC NULLS LAST, article_id ASC) AS pos FROM itf)
-          WHERE pos <= {int(pool)}),
-rbought AS (SELECT DISTINCT customer_id, article_id FROM rwin WHERE customer_id IN (SELECT customer_id FROM rsample)),
-rneg AS (SELECT customer_id, article_id, 0 AS label FROM (
-           SELECT s.customer_id, p.article_id,
-                  row_number() OVER (PARTITION BY s.customer_id
-                                     ORDER BY md5(s.customer_id || p.article_id || '{seed}'), p.article_id) AS r
-           FROM rsample s JOIN rpool p ON true
-           WHERE NOT EXISTS (SELECT 1 FROM rbought b WHERE b.customer_id = s.customer_id AND b.article_id = p.article_id))
-         WHERE r <= {n_neg}),
-rds AS (SELECT s.customer_id, s.article_id, s.label, uf.purchase_count, uf.recency,
-               CAST(CASE uf.purchase_frequency WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 0 END
-                    AS BIGINT) AS purchase_frequency_encoded,
+history AS (SELECT customer_id, list(article_id ORDER BY t_dat DESC, article_id) AS items FROM tx
+            WHERE t_dat + {int(window)} >= (SELECT max(t_dat) FROM tx) GROUP BY customer_id),
+chosen AS (SELECT unnest(list(customer_id ORDER BY md5(customer_id || '{seed}'), customer_id){some}) AS customer_id FROM history),
+rsample AS (SELECT customer_id FROM chosen),
+rpos AS (SELECT customer_id, CAST(i AS BIGINT) AS rn, items[i] AS article_id, 1 AS label
+         FROM (SELECT customer_id, items, unnest(range(1, {int(pos)} + 1)) AS i FROM history SEMI JOIN chosen USING (customer_id)
+               WHERE len(items) >= {int(pos)})),
+offer AS (SELECT list(article_id ORDER BY popularity_rank NULLS LAST, article_id)[1:{int(pool)}] AS pool FROM itf),
+rneg AS (SELECT customer_id, unnest(list_transform(list_sort(list_transform(
+                  list_filter(pool, lambda x: NOT list_contains(items, x)),
+                  lambda x: {{'h': md5(customer_id || x || '{seed}'), 'a': x}}))[1:{n_neg}], lambda x: x.a)) AS article_id, 0 AS label
+         FROM history SEMI JOIN chosen USING (customer_id), offer),
+rds AS (SELECT customer_id, article_id, label, uf.purchase_count, uf.recency,
+               CAST(coalesce(list_position(['medium', 'high'], uf.purchase_frequency), 0) AS BIGINT) AS purchase_frequency_encoded,
                itf.popularity_rank, itf.sales_count
-        FROM (SELECT customer_id, article_id, label FROM rpos UNION ALL SELECT * FROM rneg) s
-        JOIN uf ON s.customer_id = uf.customer_id JOIN itf ON s.article_id = itf.article_id)"""
+        FROM (SELECT customer_id, article_id, label FROM rpos UNION ALL FROM rneg)
+             JOIN uf USING (customer_id) JOIN itf USING (article_id))"""
 
 
 def split_cte(seed: int, ratio: float = 0.2, src: str = "rds") -> str:

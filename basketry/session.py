@@ -44,8 +44,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, reading ``spark.checkpoint.dir`` from the session.
 
-    A cluster names a shared folder there; we only invent one (a fresh local temp folder) when
-    nothing is configured, which is the local-test case.
+    A cluster must name a shared folder there; only a ``local[...]`` master, where driver and executor
+    are one process, gets a fresh temp folder when nothing is configured.
     """
     try:
         sc = spark.sparkContext
@@ -56,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.environ.get("TMPDIR", "/tmp")
         conf_dir = tempfile.mkdtemp(prefix="basketry-ckpt-", dir=base)
     sc.setCheckpointDir(conf_dir)

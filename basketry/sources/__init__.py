@@ -1,6 +1,6 @@
 from basketry.sources.tables import (  # noqa: F401
     Tables, load_tables, tx_from_tpch, articles_from_tpch, customers_from_tpch,
-    exposures_from_events, responses_from_events, read_transactions_csv, read_articles_csv,
+    exposures_from_events, read_transactions_csv, read_articles_csv,
     read_customers_csv,
 )
 from basketry.sources.sinks import write_csv, write_json, write_parquet  # noqa: F401,E402

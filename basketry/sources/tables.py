@@ -5,7 +5,7 @@ Two families:
 * native retail files (transactions, articles, customers as CSV or Parquet) read with an explicit
   schema, never inferred; ids stay strings because every tie-break on ``article_id`` is lexicographic;
 * adapters that derive the same four logical tables (``tx``, ``articles``, ``customers``,
-  ``exposures``) plus free-text ``responses`` from the TPC-H-style test tables.
+  ``exposures``) and the text replies from the test tables.
 
 All adapters are lazy projections/joins, so Catalyst prunes columns into the Parquet scans and pushes
 the trailing-window filters through the ``lineitem`` ⋈ ``orders`` join to the ``orders`` side.
@@ -108,21 +108,32 @@ def exposures_from_events(events: DataFrame, experiment: str = "exp1") -> DataFr
                       (F.col("_clk") == 1).alias("clicked"), "purchase_count", "num_items", "first_ts"))
 
 
-def responses_from_events(events: DataFrame) -> DataFrame:
-    """Free-text replies (JSON profiles, rating lines, yes/no answers) keyed by event_id."""
-    e = F.col("event_id")
-    m = e % 8
-    text = (F.when(m == 0, F.lit("no json here"))
-            .when(m == 1, F.lit('Here: {"style":"casual","frequency":"weekly","budget":"low",'
-                                '"categories":["a","b","c","d"]} ok'))
-            .when(m == 2, F.lit('{"style":"punk","budget":"high"}'))
-            .when(m == 3, F.lit("{broken"))
-            .when(m == 4, F.concat(F.lit("Purchase: "), (e % 15).cast("string"),
-                                   F.lit(", Satisfaction: "), (e % 9).cast("string")))
-            .when(m == 5, F.lit("  Yes, I would"))
-            .when(m == 6, F.lit("NO."))
-            .otherwise(F.lit("maybe")))
-    return events.select(e.alias("event_id"), text.alias("text"))
+def experiment_log(exposures: DataFrame) -> DataFrame:
+    """One row per user, the unit of every test: clicked on any day, purchases and items of all days, and
+    the first day seen (used for segments)."""
+    return exposures.groupBy("user_id", "grp").agg(
+        F.max("clicked").alias("clicked"), F.sum("purchase_count").alias("purchase_count"),
+        F.sum("num_items").alias("num_items"), F.min("day").alias("day"), F.min("first_ts").alias("first_ts"))
+
+
+def input_fingerprint(spark: SparkSession, root: str) -> str:
+    """Names, sizes and times of the files under ``root``, so that changed input gets new derived tables.
+
+    Read through the store's own listing in the JVM; where there is none (Spark Connect), the path alone counts."""
+    import hashlib
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:  # Spark Connect has no JVM gateway
+        return hashlib.md5(root.encode()).hexdigest()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs, seen, todo = path.getFileSystem(conf), [], [path]
+    while todo:
+        for f in fs.listStatus(todo.pop()):
+            if f.isDirectory():
+                todo.append(f.getPath())
+            else:
+                seen.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.md5("\n".join([root, *sorted(seen)]).encode()).hexdigest()
 
 
 _MATERIALIZED: dict[tuple[str, str, str], str] = {}
@@ -139,12 +150,11 @@ def materialized(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     """
     from basketry.session import application_id, ensure_checkpoint_dir
     app = application_id(spark)
-    key = (app, root, name)
+    mark = input_fingerprint(spark, root)
+    key = (app, mark, name)
     with _LOCK:  # one writer per table even when queries are submitted from several threads
         if key not in _MATERIALIZED:
-            import hashlib
-            tag = hashlib.md5(root.encode()).hexdigest()[:12]
-            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-tables/{app}/{tag}/{name}"
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-tables/{app}/{mark[:16]}/{name}"
             build().write.mode("overwrite").parquet(path)
             _MATERIALIZED[key] = path
     return spark.read.parquet(_MATERIALIZED[key])
@@ -203,8 +213,18 @@ class Tables:
         return exposures_from_events(self.raw("events"))
 
     @property
-    def responses(self) -> DataFrame:
-        return responses_from_events(self.raw("events"))
+    def experiment_log(self) -> DataFrame:
+        return experiment_log(self.exposures)
+
+    @property
+    def profile_replies(self) -> DataFrame:
+        """Text that should hold a JSON profile: (event_id, text)."""
+        return self.raw("events").select("event_id", F.col("props").alias("text"))
+
+    @property
+    def replies(self) -> DataFrame:
+        """Free-text replies: (conv_id, turn, text)."""
+        return self.raw("conversations").select("conv_id", "turn", "text")
 
 
 def load_tables(spark: SparkSession, root: str, materialize: bool = True) -> Tables:

@@ -113,6 +113,75 @@ def test_day_gap(mk):
     assert rows(gap.filter("seed_item = 'a'"), "cand_item", "score") == [("b", 1.0)]
 
 
+def test_tiny_scores_keep_their_order(mk):
+    """Scores far below 1e-10 neither vanish nor lose their order, and equal scores go by id."""
+    old = [("w", "a", "2020-01-01", 0.01), ("w", "c", "2020-01-01", 0.01), ("w", "d", "2020-01-01", 0.01),
+           ("x", "a", "2020-01-02", 0.01), ("x", "b", "2020-01-02", 0.01), ("end", "z", "2020-02-10", 0.01)]
+    c = cand.item_cooccurrence(cand.cf_window(mk(TX, old), 60), half_life_days=1)
+    assert rows(c.filter("seed_item = 'a'").orderBy("rr"), "cand_item", "score", "rr") == [
+        ("b", 0.5 ** 39, 1), ("c", 0.5 ** 40, 2), ("d", 0.5 ** 40, 3)]
+    assert 0.5 ** 40 < 1e-12
+    tx = mk(TX, [*old, ("u", "a", "2020-01-01", 0.01)])
+    cf = cand.cf_candidates(cand.cf_window(tx, 60), mk(ITF, [("zz", 1)]), top_k=10, half_life_days=1).filter("customer_id = 'u'")
+    got = rows(cf.orderBy("pos"), "article_id", "score_cf")
+    assert [a for a, _ in got] == ["b", "c", "d"] and all(0 < v < 1e-20 for _, v in got)
+
+
+def test_fill_bound_at_the_edge(mk):
+    """total_k = pop_top + 1 with a CF list that equals the first expansion items: the fill still finds its item."""
+    users, cfw, itf, cf = _merge_inputs(mk, [(f"p{i}", i) for i in range(1, 9)], [("u", 1, "p3"), ("u", 2, "p4")])
+    out = cand.merged_candidates(users, cfw, itf, total_k=5, pop_top=2, cf_top=2, cf=cf, fallback_pop_expand=8)
+    assert {r.article_id for r in out.collect()} == {"p1", "p2", "p3", "p4", "p5"}
+
+
+def test_basket_split_with_day_gap_is_exact(mk):
+    data = [("big", f"i{j:02d}", f"2020-01-{28 + j % 3}", 0.01) for j in range(30)] + [("s", "i00", "2020-01-31", 0.01)]
+    cfw = cand.cf_window(mk(TX, data), 28)
+    cols = ("seed_item", "cand_item", "score", "rr")
+    assert rows(cand.item_cooccurrence(cfw, False, 2, basket_split=10_000), *cols) == rows(
+        cand.item_cooccurrence(cfw, False, 2, basket_split=4), *cols)
+
+
+def test_graded_labels_ndcg(mk):
+    r = mk("customer_id string, article_id string, label int, score double",
+           [("u", "a", 1, 0.9), ("u", "b", 3, 0.8), ("u", "c", 0, 0.7), ("u", "d", 2, 0.1)])
+    got = met.metric_at_k(r, "ndcg", [3]).collect()[0].value
+    log = math.log2
+    assert math.isclose(got, (1 + 3 / log(3)) / (3 + 2 / log(3) + 1 / log(4)), rel_tol=1e-9)
+
+
+def test_experiment_log_has_one_row_per_user(mk):
+    from basketry.sources.tables import experiment_log, exposures_from_events
+    ev = mk("user_id long, ts timestamp, event_type string", [])
+    import datetime as dt
+    spark = ev.sparkSession
+    ev = spark.createDataFrame([(1, dt.datetime(2020, 1, 1), "view"), (1, dt.datetime(2020, 1, 2), "click"),
+                                (1, dt.datetime(2020, 1, 2, 5), "purchase"), (2, dt.datetime(2020, 1, 3), "view")],
+                               "user_id long, ts timestamp, event_type string")
+    log = experiment_log(exposures_from_events(ev)).orderBy("user_id").collect()
+    assert [(r.user_id, r.clicked, r.purchase_count, r.num_items) for r in log] == [("1", True, 1, 3), ("2", False, 0, 1)]
+
+
+def test_changed_input_gets_new_tables(spark, tmp_path):
+    from basketry.sources import load_tables
+    root = str(tmp_path)
+    for n, t in (("orders", "o_orderkey long, o_custkey long, o_orderdate date"), ("lineitem", "l_orderkey long, l_partkey long, l_extendedprice double")):
+        import datetime as dt
+        rows_ = [(1, 2, dt.date(2020, 1, 1))] if n == "orders" else [(1, 3, 5.0)]
+        spark.createDataFrame(rows_, t).write.parquet(f"{root}/{n}.parquet")
+    assert load_tables(spark, root).tx.count() == 1
+    spark.createDataFrame([(1, 4, 6.0)], "l_orderkey long, l_partkey long, l_extendedprice double").write.mode("append").parquet(f"{root}/lineitem.parquet")
+    assert load_tables(spark, root).tx.count() == 2
+
+
+def test_two_refreshes_before_reading(spark):
+    from basketry.plans.registry import QUERIES
+    a = QUERIES["refresh_features"](spark, "/root/testdata/sf0.001")
+    b = QUERIES["refresh_features"](spark, "/root/testdata/sf0.01")
+    na, nb = ({r.table_name: r.row_count for r in x.collect()} for x in (a, b))
+    assert na["item_features"] < nb["item_features"]
+
+
 def test_basket_salting_is_exact(mk):
     day = "2020-01-31"
     data = [("big", f"i{j:03d}", day, 0.01) for j in range(40)] + [("s", "i000", day, 0.01), ("s", "i001", day, 0.01)]

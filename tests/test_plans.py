@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from basketry.functions.order import global_row_number
+from basketry.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,19 +28,46 @@ def test_scan_reads_only_needed_columns(spark):
     assert "ReadSchema: struct<customer_id:string,t_dat:date>" in p and "price" not in p
 
 
-@pytest.mark.parametrize("key", ["cf_candidates", "merged_candidates", "recent_seeds", "ranking_negatives"])
+@pytest.mark.parametrize("key", ["cf_candidates", "merged_candidates", "recent_seeds"])
 def test_per_user_top_k_is_limited_before_the_shuffle(spark, key):
     p = E.queries()[key](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in p
 
 
-@pytest.mark.parametrize("key", [k for k in E.queries() if k not in (
-    "ab_report", "train_ranker", "tune_ranker", "feature_importance", "refresh_features")])
+# the tests' p-values are computed by a UDF over one row; the text operators choose their own style
+@pytest.mark.parametrize("key", [k for k in QUERIES if k not in (
+    "ab_chi_square", "ab_t_test", "ab_report", "train_ranker", "tune_ranker", "feature_importance", "refresh_features")])
 def test_no_python_on_row_paths(spark, key):
     p = plan(E.queries()[key](spark, SF))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
+def _above(p, low, high):
+    """Whether a line with ``low`` stands below (is an input of) one with ``high`` in a plan's text."""
+    lines = p.splitlines()
+    first = next(i for i, x in enumerate(lines) if high in x)
+    return any(low in x for x in lines[first:])
+
+
+def test_lists_unfold_after_the_shuffle(spark):
+    """Users x list rows are made by the last Generate; no exchange stands above it."""
+    for key in ["merged_candidates", "low_activity_candidates", "ranking_negatives"]:
+        lines = E.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+        unfold = next(i for i, x in enumerate(lines) if "Generate inline" in x)
+        assert not any("Exchange" in x and "SinglePartition" not in x for x in lines[:unfold]), key
+
+
+def test_requested_users_restrict_seeds(spark):
+    """The users asked for are joined below the seed window, not after CF for everyone."""
+    from basketry.operators import candidates as cand
+    from basketry.plans import registry as R
+    t = R.load_tables(spark, SF)
+    some = t.customers.limit(3).select("customer_id")
+    p = cand.cf_candidates(R._cfw(t), R._itf(t), cooc=R._cooc(t), users=some)._jdf.queryExecution().optimizedPlan().toString()
+    window = next(x for x in p.splitlines() if "Window [" in x and "row_number" in x and "t_dat" in x)
+    assert window and _above(p, "LeftSemi", window.strip())
+
+
 def test_no_cartesian_products(spark):
     for key in ["merged_candidates", "ranking_negatives", "low_activity_candidates", "recommend"]:
         p = plan(E.queries()[key](spark, SF))
