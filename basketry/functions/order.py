@@ -58,8 +58,8 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, method: str = "sor
     """Exact ``percentile_cont(p)`` of ``col`` over the whole table as a one-row DataFrame.
 
     ``method='histogram'`` groups equal values first (right for integer days: the distinct-value table
-    is small; ``weight`` names a column of row multiplicities); ``method='sort'`` uses
-    ``global_row_number`` for arbitrary doubles.
+    is small); ``method='sort'`` groups them too and ranks the distinct values across all partitions, for
+    arbitrary doubles. ``weight`` names a column of row multiplicities.
     """
     alias = alias or f"p{int(p * 100)}_{col}"
     w_col = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
@@ -77,18 +77,29 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, method: str = "sor
         pick = lambda pos: F.max(F.when((F.col("start") <= pos) & (pos < F.col("cum")), F.col("v")))
         return hist.agg(pick(lo).alias("vlo"), pick(hi).alias("vhi"), F.max(F.col("x") - lo).alias("frac")).select(
             (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias(alias))
-    if weight:
-        raise ValueError("weights need method='histogram'")
-    ranked = global_row_number(vals.select("v"), [F.col("v").asc()], "rn", total="n")
+    # equal values become one row first, so a value that many rows share never meets in one range
+    runs = global_running_sum(vals.groupBy("v").agg(F.sum("_w").alias("c")), [F.col("v").asc()], "c", "end", "n")
     x = (F.col("n") - 1) * F.lit(p)
-    lo = F.floor(x) + 1
-    hi = F.ceil(x) + 1
-    return ranked.agg(F.max(F.when(F.col("rn") == lo, F.col("v"))).alias("vlo"),
-                      F.max(F.when(F.col("rn") == hi, F.col("v"))).alias("vhi"),
-                      F.max(x - F.floor(x)).alias("frac")).select(
+    pick = lambda pos: F.max(F.when((F.col("end") - F.col("c") < pos) & (pos <= F.col("end")), F.col("v")))
+    return runs.agg(pick(F.floor(x) + 1).alias("vlo"), pick(F.ceil(x) + 1).alias("vhi"),
+                    F.max(x - F.floor(x)).alias("frac")).select(
         (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias(alias))
 
 
+def global_running_sum(df: DataFrame, order: list[Column], value: str, name: str, total: str) -> DataFrame:
+    """Exact ``sum(value) OVER (ORDER BY order)`` and the total, computed in parallel like
+    ``global_row_number``: running sums per range partition plus the sums of earlier partitions."""
+    ensure_checkpoint_dir(df.sparkSession)
+    pos = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    offsets = pos.groupBy("_pid").agg(F.sum(value).alias("_s")).select(
+        "_pid", F.coalesce(F.sum("_s").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_s").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
+    # a window per range partition: bounded by the partition's size
+    inside = F.sum(value).over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return pos.withColumn(name, inside).join(F.broadcast(offsets), "_pid").withColumn(
+        name, F.col(name) + F.col("_off")).drop("_pid", "_off")
+
+
 def top_k_list(df: DataFrame, order: list[Column], k: int, pos: str = "pos") -> DataFrame:
     """First ``k`` rows in ``order`` with a 1-based position column.
 

@@ -99,8 +99,9 @@ def age_category_distribution(tx: DataFrame, customers: DataFrame, articles: Dat
                               patterns=DEFAULT_CATEGORY_PATTERNS) -> DataFrame:
     """Key 54: purchases per (age band, category group), ``other`` excluded, percent within the band."""
     items = category_groups(articles, patterns).filter(F.col("category_group") != OTHER)
-    per_user = (tx.select("customer_id", "article_id").join(items, "article_id")
-                  .groupBy("customer_id", "category_group").agg(F.count(F.lit(1)).alias("c")))
+    # purchases are counted by (customer, item) before they meet the items
+    bought = tx.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("n"))
+    per_user = bought.join(items, "article_id").groupBy("customer_id", "category_group").agg(F.sum("n").alias("c"))
     g = (per_user.join(adult_users(customers), "customer_id")
                  .groupBy("age_group", "category_group").agg(F.sum("c").alias("cnt")))
     return g.select("age_group", "category_group", "cnt", _pct_within(g, "age_group").alias("pct"))
@@ -142,6 +143,22 @@ def category_distribution(tx: DataFrame, articles: DataFrame, patterns=DEFAULT_C
     return g.select("category_group", "cnt", (F.col("cnt").cast("double") * 100.0 / total).alias("pct"))
 
 
+def shopping_patterns_rows(tx: DataFrame, customers: DataFrame, articles: DataFrame,
+                           patterns=DEFAULT_CATEGORY_PATTERNS) -> DataFrame:
+    """Key 58 as rows: (section, outer_key, inner_key, pct) of every distribution."""
+    parts = [("age_price_distribution", age_price_distribution(tx, customers), "age_group", "price_tier"),
+             ("age_category_distribution", age_category_distribution(tx, customers, articles, patterns), "age_group", "category_group"),
+             ("price_frequency_distribution", price_frequency_distribution(tx), "price_tier", "frequency"),
+             ("purchase_frequency_distribution", purchase_frequency_distribution(tx), None, "frequency"),
+             ("category_distribution", category_distribution(tx, articles, patterns), None, "category_group")]
+    out = None
+    for section, df, outer, inner in parts:
+        rows = df.select(F.lit(section).alias("section"), (F.col(outer) if outer else F.lit(None).cast("string")).alias("outer_key"),
+                         F.col(inner).alias("inner_key"), "pct")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def shopping_patterns_json(tx: DataFrame, customers: DataFrame, articles: DataFrame,
                            patterns=DEFAULT_CATEGORY_PATTERNS) -> DataFrame:
     """Key 58: all distributions in one JSON document (plus the input sizes).

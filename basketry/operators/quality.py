@@ -137,18 +137,18 @@ def sparse_users(tx: DataFrame, articles: DataFrame, min_count: int = 2, max_cou
                  window_days: int = 60) -> DataFrame:
     """Key 78: users with ``min..max`` purchases strictly after max − N days, with their categories.
 
-    The category list is only built for users that pass the count filter (at most ``max_count`` items
-    each): counts are computed first, then the lists for the surviving users.
+    Purchases are counted by (customer, item) before they meet the items, then by category, so a user is
+    one short list of (category, count); it is spelled out only for users that pass the count filter.
     """
     from basketry.functions.windows import trailing_window
     recent = trailing_window(tx.select("customer_id", "article_id", "t_dat"), window_days, strict=True)
-    joined = recent.join(articles.select("article_id", "product_group_name"), "article_id")
-    counts = joined.groupBy("customer_id").agg(F.count(F.lit(1)).alias("cnt")).filter(
-        F.col("cnt").between(min_count, max_count))
-    cats = (joined.join(counts.select("customer_id"), "customer_id", "left_semi")
-                  .groupBy("customer_id")
-                  .agg(F.array_join(F.sort_array(F.collect_list("product_group_name")), ",").alias("cats")))
-    return counts.join(cats, "customer_id")
+    bought = recent.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("n"))
+    per_cat = (bought.join(articles.select("article_id", F.col("product_group_name").alias("cat")), "article_id")
+                     .groupBy("customer_id", "cat").agg(F.sum("n").alias("n")))
+    users = per_cat.groupBy("customer_id").agg(F.sum("n").alias("cnt"), F.sort_array(F.collect_list(F.struct("cat", "n"))).alias("list"))
+    spelled = F.flatten(F.transform(F.filter("list", lambda x: x["cat"].isNotNull()),
+                                    lambda x: F.array_repeat(x["cat"], x["n"].cast("int"))))
+    return users.filter(F.col("cnt").between(min_count, max_count)).select("customer_id", "cnt", F.array_join(spelled, ",").alias("cats"))
 
 
 def distribution_drift(tx: DataFrame, articles: DataFrame, split_days: int = 365,
@@ -156,10 +156,11 @@ def distribution_drift(tx: DataFrame, articles: DataFrame, split_days: int = 365
     """Key 81: category share (%) before vs within the last ``split_days`` days, and the difference."""
     from basketry.functions.windows import max_date
     start = F.date_sub(max_date(tx), int(split_days))
-    per = (tx.select("article_id", "t_dat").join(articles.select("article_id", category_col), "article_id")
-             .groupBy(F.col(category_col).alias("category"))
-             .agg(F.count(F.when(F.col("t_dat") < start, 1)).alias("na"),
-                  F.count(F.when(F.col("t_dat") >= start, 1)).alias("nb")))
+    # items are counted before they meet the catalogue
+    per_item = tx.groupBy("article_id").agg(F.count(F.when(F.col("t_dat") < start, 1)).alias("na"),
+                                            F.count(F.when(F.col("t_dat") >= start, 1)).alias("nb"))
+    per = (per_item.join(articles.select("article_id", category_col), "article_id")
+                   .groupBy(F.col(category_col).alias("category")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")))
     from pyspark.sql import Window
     w = Window.partitionBy(F.lit(1))  # one row per category
     share_a = F.col("na").cast("double") * 100.0 / F.sum("na").over(w)

@@ -205,7 +205,8 @@ def recommend(users: DataFrame, tx: DataFrame, uf: DataFrame, itf: DataFrame, ar
               model: TreeModel | None = SAVED_RANKER, cooc: DataFrame | None = None) -> DataFrame:
     """Key 39: active users → fused candidates + model rerank (``cf_ranker``); everyone else →
     popularity/recency/category blend (``enhanced_fallback``). Both branches are plans over all users;
-    the result is their union. Columns: customer_id, pos, article_id, score, segment, strategy, fallback."""
+    the result is their union. A user with an empty list has one row with NULL pos and article_id and
+    ``fallback`` true. Columns: customer_id, pos, article_id, score, segment, strategy, fallback."""
     u = users.select("customer_id").distinct()
     segs = u.join(segments.select("customer_id", "segment"), "customer_id", "left").select(
         "customer_id", F.coalesce(F.col("segment"), F.lit(LOW_ACTIVITY)).alias("segment"))
@@ -220,7 +221,14 @@ def recommend(users: DataFrame, tx: DataFrame, uf: DataFrame, itf: DataFrame, ar
         "customer_id", "pos", "article_id", F.lit(None).cast("double").alias("score"),
         F.lit(LOW_ACTIVITY).alias("segment"), F.lit("enhanced_fallback").alias("strategy"),
         F.lit(False).alias("fallback"))
-    return a.unionByName(b)
+    both = a.unionByName(b)
+    # a user whose list came out empty still gets an answer: one row without an item, marked as fallback
+    none = segs.join(both.select("customer_id"), "customer_id", "left_anti").select(
+        "customer_id", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("article_id"),
+        F.lit(None).cast("double").alias("score"), "segment",
+        F.when(F.col("segment") == ACTIVE, "cf_ranker").otherwise("enhanced_fallback").alias("strategy"),
+        F.lit(True).alias("fallback"))
+    return both.unionByName(none)
 
 
 def batch_recommend(recs: DataFrame, sampled: DataFrame) -> DataFrame:

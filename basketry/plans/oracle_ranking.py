@@ -111,4 +111,7 @@ arecs AS (SELECT * FROM (
 lrecs AS (SELECT customer_id, pos, article_id, CAST(NULL AS DOUBLE) AS score, 'low_activity' AS segment,
                  'enhanced_fallback' AS strategy, false AS fallback
           FROM ({low_activity_sql(low_total_k, 'lusers')})),
-recs AS (SELECT * FROM arecs UNION ALL SELECT * FROM lrecs)"""
+listed AS (SELECT * FROM arecs UNION ALL SELECT * FROM lrecs),
+recs AS (SELECT * FROM listed UNION ALL
+         SELECT customer_id, NULL, NULL, NULL, segment, CASE segment WHEN 'active' THEN 'cf_ranker' ELSE 'enhanced_fallback' END, true
+         FROM segs WHERE customer_id NOT IN (SELECT customer_id FROM listed))"""
