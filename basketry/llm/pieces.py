@@ -31,10 +31,13 @@ from pyspark.sql import types as T
 from basketry.llm.common import fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units of one batch; log mass below the best region's at which a region can no longer be the next.
-BATCH, FAINT = 400_000, 60.0
+#: Units of one batch; units whose encoding a worker keeps; log mass below the best region's at which a
+#: region can no longer be the next.
+BATCH, KEPT, FAINT = 400_000, 100_000, 45.0
 BLANK = "▁"
 NONE, BYTES = 0xFFFF, 0xFFFE
+#: Most states have no longer piece than this; they are summed apart from the others.
+NARROW = 5
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -43,6 +46,10 @@ class Vocab:
 
     def __init__(self, path: str):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.kept: dict[str, list[int]] = {}
+        # whether the model keeps characters as they are; if not, every unit beyond ASCII is checked
+        probe = "é é Ａ ﬁ ① 漢 \u00a0 ß İ"
+        self.lossless = sp.decode(sp.encode(probe)) == probe
         n = sp.get_piece_size()
         self.raw, self.weight = [b""] * n, np.full(0x10000, -np.inf)
         self.byte = np.zeros(256, np.int64)
@@ -59,17 +66,23 @@ class Vocab:
         self.byte_weight = -np.log(2.0 * n)
         self.longest = max(map(len, normal))
         self.blank = normal[BLANK]
-        prefix = {p[:k] for p in normal for k in range(1, len(p) + 1)}
-        self.bits = (4 * len(prefix)).bit_length()
+        hashes = {"": 0}  # of every prefix of a piece, by the same step as ``extend``
+        for p in normal:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in hashes:
+                    h = hashes[p[:k - 1]]
+                    hashes[p[:k]] = (((h ^ (ord(p[k - 1]) + 1)) * _MIX[0]) + (h >> 29) + 1) % 2**64
+        del hashes[""]
+        self.bits = (4 * len(hashes)).bit_length()
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, NONE, np.uint16)
-        for p in prefix:
-            h = np.zeros(1, np.uint64)
-            for c in p:
-                h = self.extend(h, np.array([ord(c)], np.uint64))
-            at = int(self.slot(h)[0])
-            while self.keys[at]:
+        slots = self.slot(np.fromiter(hashes.values(), np.uint64, len(hashes))).tolist()
+        taken = {}
+        for at, (p, h) in zip(slots, hashes.items()):
+            while at in taken:
                 at = (at + 1) & ((1 << self.bits) - 1)
-            self.keys[at], self.ids[at] = h[0], normal.get(p, NONE)
+            taken[at] = h
+            self.ids[at] = normal.get(p, NONE)
+        self.keys[list(taken)] = np.fromiter(taken.values(), np.uint64, len(taken))
 
     @staticmethod
     def extend(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -94,14 +107,23 @@ class Vocab:
         return hit, ids
 
     def encode_units(self, keys: list[str]) -> list[list[int]]:
-        """The library's ids of units given by their keys; units it cannot give back are spelled in bytes."""
+        """The library's ids of units given by their keys; those seen lately are kept."""
+        new = [k for k in keys if k not in self.kept]
+        if len(self.kept) + len(new) > KEPT:
+            self.kept.clear()
+            new = keys
+        self.kept.update(zip(new, self._encode(new)))
+        return list(map(self.kept.__getitem__, keys))
+
+    def _encode(self, keys: list[str]) -> list[list[int]]:
+        """Ids of units; units that the library cannot give back are spelled in bytes."""
         out = self.sp.encode(keys, num_threads=1)
         for i, (key, ids) in enumerate(zip(keys, out)):
             if not key:
                 out[i] = [self.blank]
             elif key[0] == "\n":
                 out[i] = ids = ids[1:]  # the blank that the library puts in front
-            if not key.isascii():
+            if BLANK in key or not (self.lossless or key.isascii()):
                 raw = unit(key).encode()
                 if b"".join(map(self.raw.__getitem__, ids)) != raw:
                     word = raw.lstrip(b" ")
@@ -168,8 +190,8 @@ def uniform(x: np.ndarray) -> np.ndarray:
 class Lattice:
     """Lattices of distinct units, one state per character.
 
-    ``cum[s, l - 1]`` is the probability that the next piece from state s has at most l characters, ``pid``
-    the piece; ``start`` has each unit's first state.
+    ``cum[s, l - 1]`` is the probability that the next piece from state s has at most l characters, ``pid`` the
+    piece; ``start`` has each unit's first state.
     """
 
     def __init__(self, distinct: list[str], v: Vocab):
@@ -180,7 +202,7 @@ class Lattice:
         own = cps == ord(BLANK)
         cps = np.where(cps == 32, np.uint64(ord(BLANK)), np.where(own, np.uint64(0x110000), cps))
         left = np.repeat(self.start[1:], size) - np.arange(n)
-        pid, live, h = [], np.arange(n), np.zeros(n, np.uint64)
+        pid, live, h, longest = [], np.arange(n), np.zeros(n, np.uint64), np.ones(n, np.int64)
         for k in range(v.longest):
             ok = left[live] > k
             live, h = live[ok], h[ok]
@@ -188,7 +210,9 @@ class Lattice:
                 break
             h = v.extend(h, cps[live + k])
             hit, ids = v.find(h)
-            if k == 0 or (ids != NONE).any():
+            piece = ids != NONE
+            longest[live[piece]] = k + 1
+            if k == 0 or piece.any():
                 while len(pid) < k:
                     pid.append(np.full(n, NONE, np.uint16))
                 col = np.full(n, NONE, np.uint16)
@@ -204,25 +228,27 @@ class Lattice:
         order = np.argsort(left, kind="stable")
         edge = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
         beta = np.zeros(n + wide)
-        is_end = np.zeros(n + wide, bool)
-        is_end[self.start[1:]] = True
         self.cum = np.ones((n, wide))
         for d in range(1, len(edge)):
-            rows = order[edge[d - 1]:edge[d]]
-            w = min(wide, d)
-            val = v.weight[self.pid[rows, :w]]
-            val[lone[rows], 0] = v.byte_weight * self.n_bytes[rows[lone[rows]]]
-            for j in range(w - (d == w)):
-                val[:, j] += beta[rows + j + 1]
-            top = val.max(axis=1)
-            p = np.exp(val - top[:, None])
-            total = p.sum(axis=1)
-            beta_rows = top + np.log(total)
-            self.cum[rows, :w] = np.cumsum(p / total[:, None], axis=1)
-            # the start of the next unit shares its state number with this unit's end
-            beta[rows] = beta_rows
-            last = w - 1 - np.argmax((p > 0)[:, ::-1], axis=1)
-            self.cum[rows[:, None], np.maximum(last[:, None], np.arange(wide)[None, :])] = 1.0
+            group = order[edge[d - 1]:edge[d]]
+            few = longest[group] <= NARROW
+            for rows, w in ((group[few], min(NARROW, wide, d)), (group[~few], min(wide, d))):
+                if not len(rows):
+                    continue
+                val = v.weight[self.pid[rows, :w]]
+                odd = np.flatnonzero(lone[rows])
+                val[odd, 0] = v.byte_weight * self.n_bytes[rows[odd]]
+                for j in range(w - (d == w)):
+                    val[:, j] += beta[rows + j + 1]
+                top = val.max(axis=1)
+                p = np.exp(val - top[:, None])
+                total = p.sum(axis=1)
+                p /= total[:, None]
+                cum = np.cumsum(p, axis=1)
+                cum[np.arange(w) >= longest[rows, None] - 1] = 1.0
+                self.cum[rows, :w] = cum
+                # the start of the next unit shares its state number with this unit's end
+                beta[rows] = top + np.log(total)
 
     def probability(self, state: int) -> np.ndarray:
         return np.diff(self.cum[state], prepend=0.0)
@@ -259,14 +285,12 @@ def sample(lat: Lattice, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
         base = seed + np.uint64(turn * 0xA0761D6478BD642F % 2**64)
         while len(act):
             r = uniform(base[act] + np.uint64(step * 0xE7037ED1A0B428DB % 2**64))
-            row = lat.cum[st]
-            l = np.minimum((r[:, None] >= row).sum(axis=1), row.shape[1] - 1)
-            i = np.arange(len(l))
+            l = np.count_nonzero(r[:, None] >= lat.cum[st], axis=1)
             g = st + shift[act]
             path.length[g] = l + 1
-            path.p[g] = row[i, l] - np.where(l > 0, row[i, l - 1], 0)
+            path.p[g] = lat.cum[st, l] - np.where(l > 0, lat.cum[st, l - 1], 0)
             st = st + l + 1
-            ok = st < end
+            ok = np.flatnonzero(st < end)
             act, st, end, step = act[ok], st[ok], end[ok], step + 1
 
     queues: list[list] = [[] for _ in range(n_docs)]
@@ -276,18 +300,16 @@ def sample(lat: Lattice, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
     def leave(d: int, turn: int, value: float, at: np.ndarray, logs: np.ndarray, prefix: np.ndarray) -> None:
         """Queue the regions that leave path ``turn`` of text ``d`` at one of the characters ``at``."""
         nonlocal tie
-        rest = 1.0 - np.exp(logs)
-        with np.errstate(divide="ignore"):
-            mass = prefix + np.log(np.maximum(rest, 0))
+        rest = -np.expm1(logs)
+        mass = prefix + np.log(np.maximum(rest, 1e-300))
         use = np.flatnonzero((rest > 1e-14) & (mass > mass.max() - FAINT)) if len(mass) else []
         if not len(use):
             return
         u = uniform(keys[d] + np.uint64((turn + 1) * 0x8EBC6AF09C88C6E3 % 2**64) + (at[use] - ends[d]).astype(np.uint64) * np.uint64(0x589965CC75374CC3))
-        g = mass[use] - np.log(-np.log(u))
-        cut = -np.logaddexp(-value, -g)
-        for i in np.argsort(-cut)[:k + 1]:
+        cut = -np.logaddexp(-value, np.log(-np.log(u)) - mass[use])
+        for i in np.argsort(-cut)[:k + 1].tolist():
             j, tie = use[i], tie + 1
-            heapq.heappush(queues[d], (-cut[i], tie, turn, int(at[j]), (), float(prefix[j])))
+            heapq.heappush(queues[d], (-float(cut[i]), tie, turn, int(at[j]), (), float(prefix[j])))
 
     def settle(turn: int, live: list[int], start: dict[int, tuple]) -> None:
         """Log probabilities of the new paths, and the regions that leave them."""
@@ -400,26 +422,39 @@ def encode_batch(texts: list[str], keys: np.ndarray, k: int, v: Vocab):
     return best, begin[docs], samples
 
 
+def round_trips(texts: list[str], ids: np.ndarray, begin: np.ndarray, v: Vocab) -> list[bool]:
+    """Whether each text's ids decode to it; all texts at once if they do."""
+    every = ids.tolist()
+    if b"".join(map(v.raw.__getitem__, every)) == "".join(" " + t for t in texts if t).encode():
+        return [True] * len(texts)
+    return [v.decode(every[a:b]) == t.encode() for t, a, b in zip(texts, begin, begin[1:])]
+
+
 def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
     off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
 
 
 #: Columns that encoding adds.
-ADDED = (("ids", "array<int>"), ("sampled", "array<array<int>>"), ("log_prob", "array<double>"), ("log_inclusion", "array<double>"))
+ADDED = (("ids", "array<int>"), ("sampled", "array<array<int>>"), ("log_prob", "array<double>"), ("log_inclusion", "array<double>"),
+         ("round_trip", "boolean"))
 
 
-def with_pieces(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: str = MODEL) -> DataFrame:
-    """``df`` with ids, sampled, log_prob and log_inclusion (an underscore follows a name that ``df`` has).
+def with_pieces(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: str = MODEL,
+                keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all) of ``df`` with ids, sampled, log_prob, log_inclusion and round_trip (an underscore follows a name that
+    ``df`` has).
 
     ``ids`` is the library's encoding; ``sampled`` has up to ``k`` distinct segmentations drawn without
     replacement, best perturbed value first (fewer where fewer exist), with their log probabilities and log
-    inclusion scores. All decode to the text. A null or empty text has no ids and one empty sample. Null ids
+    inclusion scores. ``round_trip`` tells whether ``ids`` decode to the text, which they always should; the
+    samples do by construction, as each edge of the lattice spells its characters. A null or empty text has no ids and one empty sample. Null ids
     and repeated rows stay rows; rows of equal id and text get equal samples; an empty table gives no rows.
     Texts are encoded whole.
     """
     key, text, *names = fresh(df, "key", "plain", *[n for n, _ in ADDED])
-    width = len(df.columns)
+    kept = df.select(*(df.columns if keep is None else keep))
+    width = len(kept.columns)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab(model)
@@ -433,7 +468,8 @@ def with_pieces(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: st
                 *rows.columns[:width], pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(best, pa.int32())),
                 pa.ListArray.from_arrays(pa.array(outer), _lists(each, pa.int32())),
                 _lists([np.array([x[1] for x in g], np.float64) for g in got], pa.float64()),
-                _lists([np.array([x[2] for x in g], np.float64) for g in got], pa.float64())],
+                _lists([np.array([x[2] for x in g], np.float64) for g in got], pa.float64()),
+                pa.array(round_trips(texts, best, begin, v))],
                 [*rows.schema.names[:width], *names])
 
         for b in it:
@@ -445,15 +481,15 @@ def with_pieces(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: st
                     yield flush(b.slice(begin, i + 1 - begin), texts[begin:i + 1])
                     begin, held = i + 1, 0
 
-    rows = df.withColumns({key: F.xxhash64(id_col, text_col), text: F.coalesce(F.col(text_col).cast("string"), F.lit(""))})
-    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, (_, t) in zip(names, ADDED))).fields])
+    rows = df.select(*kept.columns, F.xxhash64(id_col, text_col).alias(key), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, (_, t) in zip(names, ADDED))).fields])
     return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: str = MODEL) -> DataFrame:
-    """``with_pieces`` of one row (id, text) per row of ``df``; a null text counts as empty, other columns are ignored."""
+    """``with_pieces`` of one row (id) per row of ``df``; a null text counts as empty, other columns are ignored."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return with_pieces(rows, "id", "text", k, model)
+    return with_pieces(rows, "id", "text", k, model, keep=["id"])
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:

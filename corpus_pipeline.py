@@ -50,9 +50,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, two sampled segmentations, and whether the ids decode to the text."""
-    e = pieces.with_pieces(docs.select("doc_id", "text", "lang", "source", "n_chars"), "doc_id", "text", k=2)
-    back = pieces.decode(F.col("ids")) == F.coalesce("text", F.lit(""))
-    return e.withColumn("round_trip", back).drop("text", "log_prob", "log_inclusion")
+    e = pieces.with_pieces(docs, "doc_id", "text", k=2, keep=["doc_id", "lang", "source", "n_chars"])
+    return e.drop("log_prob", "log_inclusion")
 
 
 STAGES = [("language_id", language_id), ("simhash_dedup", simhash_dedup), ("secret_redaction", secret_redaction),

@@ -92,16 +92,24 @@ def test_long_unit():
 def test_edge_cases(spark, docs):
     rows = [(1, None), (2, ""), (None, "null id"), (4, "same row"), (4, "same row"), (5, "word " * 50_000), (6, "a▁b ▁ c")]
     df = docs(rows, extra="ids")
-    e = pieces.encode(df, "doc_id", "text", k=2).withColumn("back", pieces.decode(pieces.F.col("ids")))
-    got = e.collect()
+    e = pieces.with_pieces(df.drop("ids").withColumnsRenamed({"doc_id": "id"}), "id", "text", k=2, keep=["id", "text"])
+    got = e.withColumn("back", pieces.decode(pieces.F.col("ids"))).collect()
+    assert pieces.with_pieces(df, "doc_id", "text").columns == [*df.columns, "ids_", "sampled", "log_prob", "log_inclusion", "round_trip"]
     assert len(got) == len(rows)
     for r in got:
-        assert r.back == r.text and len(r.sampled) == len(r.log_prob) == len(r.log_inclusion) >= 1
+        assert r.back == (r.text or "") and r.round_trip and len(r.sampled) == len(r.log_prob) == len(r.log_inclusion) >= 1
     assert len({str((r.sampled, r.log_inclusion)) for r in got if r.id == 4}) == 1
     assert [r.sampled for r in got if r.id in (1, 2)] == [[[]], [[]]]
     assert pieces.encode(docs([]), "doc_id", "text").count() == 0
 
 
+def test_round_trips_find_a_wrong_text():
+    v = vocab(MODEL)
+    best, begin, _ = encode_batch(["ab", "cd", ""], np.arange(3, dtype=np.uint64), 1, v)
+    assert pieces.round_trips(["ab", "cd", ""], best, begin, v) == [True] * 3
+    assert pieces.round_trips(["ab", "cx", ""], best, begin, v) == [True, False, True]
+
+
 def test_query(spark):
     from basketry.llm.queries import op6_piece_sampling
     sf = "/root/testdata/sf0.001"
