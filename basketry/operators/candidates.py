@@ -161,7 +161,7 @@ def cf_candidates(cfw: DataFrame, itf: DataFrame, top_k: int = 50, recent_items:
     if exclude_already_purchased:
         bought = mine.select("customer_id", "article_id").distinct()
         scored = scored.join(bought, ["customer_id", "article_id"], "left_anti")
-    w = Window.partitionBy("customer_id").orderBy(significant(F.col("score_cf")).desc(), F.col("article_id").asc())
+    w = Window.partitionBy("customer_id").orderBy(twelve_digits(F.col("score_cf")).desc(), F.col("article_id").asc())
     return (scored.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= top_k)
                   .select("customer_id", "pos", "article_id", twelve_digits(F.col("score_cf")).alias("score_cf")))
 
