@@ -76,7 +76,10 @@ def families(means: np.ndarray, count: int) -> list[list[int]]:
 
 
 class Pairwise:
-    """One SVM per pair of classes; a class's probability is its mean win over the others, normalised."""
+    """One SVM per pair of classes; the class with the most wins is chosen, its least win is how certain it is.
+
+    The least win is the probability against the nearest rival: 1 for a certain choice and at most 0.5 for a
+    guess, whatever the number of classes."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, k: int):
         self.k, self.pairs = k, list(combinations(range(k), 2))
@@ -87,15 +90,18 @@ class Pairwise:
         self.w = np.array([g[0] for g in got], np.float32).reshape(len(got), x.shape[1])
         self.b, self.a = np.array([g[1] for g in got]), np.array([g[2] for g in got])
 
-    def proba(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.k))
+    def choose(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen class of each row and its certainty."""
         if self.k == 1:
-            return out + 1
+            return np.zeros(len(x), int), np.ones(len(x))
+        wins, least = np.zeros((len(x), self.k)), np.ones((len(x), self.k))
         p = 1 / (1 + np.exp(-np.clip(self.a * (x @ self.w.T + self.b), -40, 40)))
         for c, (i, j) in enumerate(self.pairs):
-            out[:, i] += p[:, c]
-            out[:, j] += 1 - p[:, c]
-        return out / out.sum(axis=1, keepdims=True)
+            for k, q in ((i, p[:, c]), (j, 1 - p[:, c])):
+                wins[:, k] += q
+                least[:, k] = np.minimum(least[:, k], q)
+        best = wins.argmax(axis=1)
+        return best, least[np.arange(len(x)), best]
 
 
 class LanguageModel:
@@ -111,16 +117,15 @@ class LanguageModel:
         self.inner = [Pairwise(x[fam == f], np.searchsorted(g, code[fam == f]), len(g)) for f, g in enumerate(self.families)]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        pf = self.top.proba(x)
-        fam = pf.argmax(axis=1)
+        """Language and score: the certainty of the family times that of the language inside it."""
+        fam, sure = self.top.choose(x)
         lang, score = np.empty(len(x), object), np.empty(len(x))
         for f, members in enumerate(self.families):
             at = np.flatnonzero(fam == f)
             if len(at):
-                p = self.inner[f].proba(x[at])
-                best = p.argmax(axis=1)
+                best, own = self.inner[f].choose(x[at])
                 lang[at] = [self.names[members[i]] for i in best]
-                score[at] = pf[at, f] * p[np.arange(len(at)), best]
+                score[at] = sure[at] * own
         return list(lang), score
 
 

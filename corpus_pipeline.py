@@ -15,7 +15,8 @@ from basketry.llm.common import fold, fresh, read_table, stored
 from basketry.llm.mixing import mix
 from basketry.llm.simhash import keep_one
 
-#: A document whose language is less certain than this goes; a guess between two languages has 0.25.
+#: A document whose language is less certain than this goes. For any number of languages a certain one has 1, and
+#: a guess both between families and between the languages of one has at most 0.25.
 LEAST_LANGUAGE_SCORE = 0.3
 
 

@@ -52,3 +52,29 @@ def test_held_out_accuracy(spark):
     j = op7_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert j.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
     assert j.filter("score < 0 or score > 1 or score is null").count() == 0
+
+
+def many_languages(n, docs_each=12, seed=0):
+    """Texts of n made-up languages, each with words of its own."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for lang in range(n):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(12)]
+        out += [(f"l{lang:02d}", " ".join(rng.choice(words, 60))) for _ in range(docs_each)]
+    return out
+
+
+def test_certain_languages_score_high_for_any_number_of_languages():
+    for n in (2, 5, 7, 13, 20, 45):
+        got = many_languages(n)
+        x, y = np.array([langid.features(t.encode()) for _, t in got]), [v for v, _ in got]
+        lang, score = langid.LanguageModel(x, y).predict(x)
+        assert lang == y and score.min() > 0.95 and score.max() <= 1, n
+
+
+def test_a_guess_has_half_for_any_number_of_classes():
+    x = np.eye(8, langid.DIM, dtype=np.float32)
+    for k in (2, 3, 8):
+        p = langid.Pairwise(x[:k], np.arange(k), k)
+        p.w[:], p.b[:] = 0, 0
+        assert np.allclose(p.choose(x)[1], 0.5)

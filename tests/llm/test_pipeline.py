@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import sentencepiece
+from test_langid import many_languages
 from test_secret_scan import plain as plain_spans
 from test_simhash import plain_fp, plain_groups
 
@@ -95,5 +96,12 @@ def test_odd_rows_pass_every_stage(spark, docs):
     assert langid.fit(none, "text", "lang", cp.F.xxhash64("doc_id")) is None
 
 
+def test_language_id_keeps_certain_documents_of_many_languages(spark, docs):
+    """Twenty languages: every document of a clear language stays, one without letters goes."""
+    texts = many_languages(20)
+    df = docs([(i, t, lang, "s") for i, (lang, t) in enumerate(texts)] + [(9999, "12 34 " * 50, None, "s")], extra="language").drop("language")
+    assert {r.doc_id for r in cp.language_id(spark, df, SF).collect()} == set(range(len(texts)))
+
+
 def test_run(spark):
     assert cp.run(spark, SF).count() > 100
