@@ -6,6 +6,7 @@ Features are a text's distinct words, word pairs and pairs with one or two words
 
 from __future__ import annotations
 
+from math import log
 from zlib import crc32
 
 import numpy as np
@@ -62,9 +63,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, epochs: in
     """Sparse weights learned from a bounded sample of labelled rows, or None without labels of both classes.
 
     ``labels`` (id, label: 1 or 0; null ids and labels are ignored; of several labels the largest counts).
+    The classes are sampled apart, so the bias is moved by the logit of their shares among all labels less
+    that in the sample: a score is the probability at the labels' own rate, whatever the size of the table.
     """
     one = labels.filter("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").cast("int").alias("label"))
     one = one.withColumn("o", F.xxhash64("id", F.lit(seed)))
+    ones, zeros = one.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)).first()
     pick = stored(one.filter("label = 1").orderBy("o").limit(POSITIVES).unionAll(
         one.filter("label <> 1").orderBy("o").limit(NEGATIVES)), "toxic-sample")
     rows = df.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
@@ -84,7 +88,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, epochs: in
     for _ in range(epochs):
         for i in rng.permutation(len(data)):
             model.learn(*data[i])
-    return model.sparse()
+    at, w, bias = model.sparse()
+    return at, w, bias + log(max(1.0, ones / POSITIVES)) - log(max(1.0, zeros / NEGATIVES))
 
 
 def score_column(df: DataFrame, text_col: str, weights) -> Column:

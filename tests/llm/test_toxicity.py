@@ -69,6 +69,16 @@ def test_learn_and_edge_cases(spark, docs):
     assert toxicity.score_toxicity(docs([]), w, "doc_id", "text").count() == 0
 
 
+def test_score_is_at_the_labels_rate_for_any_sample(spark, docs, monkeypatch):
+    """Texts that tell nothing score the rate of toxic labels, also where the classes are sampled apart."""
+    df, labels = docs([(i, "") for i in range(1500)]), spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1500)], "id long, label int")
+    for most in ((3000, 6000), (100, 200), (100, 100), (150, 200)):
+        monkeypatch.setattr(toxicity, "POSITIVES", most[0])
+        monkeypatch.setattr(toxicity, "NEGATIVES", most[1])
+        w = toxicity.fit(df, labels, "doc_id", "text")
+        assert abs(toxicity.score_toxicity(df, w, "doc_id", "text").first().score - 0.1) < 0.04, most
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
