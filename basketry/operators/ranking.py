@@ -15,6 +15,8 @@ from basketry.operators.features import frequency_encoded
 from basketry.operators.segments import ACTIVE, LOW_ACTIVITY
 
 FEATURES = ["purchase_count", "recency", "purchase_frequency_encoded", "popularity_rank", "sales_count"]
+#: Most boosting rounds of a ranker, and the rounds without a lower validation loss that end its training.
+ROUNDS, PATIENCE = 500, 30
 
 
 # --------------------------------------------------------------------------- dataset 28-33
@@ -115,18 +117,38 @@ def _positive_prob(pred: DataFrame) -> DataFrame:
     return pred.withColumn("score", vector_to_array(F.col("probability")).getItem(1))
 
 
-def train_ranker(ds: DataFrame, split: DataFrame, max_iter: int = 20, max_depth: int = 5, seed: int = 42,
-                 k_values: list[int] = [5, 10, 20]):
-    """Key 34: pointwise gradient-boosted trees (Spark ML) on the 5 features, evaluated per user on the
-    validation users with the ranking metrics. Returns (model, metrics DataFrame(model, metric, value))."""
+def _fit_gbt(data: DataFrame, max_iter: int, **params):
+    """Boosted trees learned from the training users: the rounds up to the least loss on the validation users,
+    found when PATIENCE more rounds, or ``max_iter`` in all, do not lower it. Without validation users all rounds.
+
+    Spark ML stops at the first rise, so the fit is repeated with twice the rounds (equal seeds grow equal
+    trees) until the least loss lies far enough back; that costs at most about twice the last fit."""
     from pyspark.ml.classification import GBTClassifier
+    fit = lambda n: GBTClassifier(featuresCol="features", labelCol="label", maxIter=n, **params).fit(train)
+    train, val = (data.filter(F.col("split") == s).cache() for s in ("train", "val"))
+    try:
+        if val.isEmpty():
+            return fit(max_iter)
+        rounds = min(max_iter, 2 * PATIENCE)
+        while True:
+            model = fit(rounds)
+            loss = model.evaluateEachIteration(val)
+            best = 1 + min(range(len(loss)), key=loss.__getitem__)
+            if best + PATIENCE <= rounds or rounds == max_iter:
+                return model if best == rounds else fit(best)
+            rounds = min(max_iter, 2 * rounds)
+    finally:
+        train.unpersist(), val.unpersist()
+
+
+def train_ranker(ds: DataFrame, split: DataFrame, max_iter: int = ROUNDS, max_depth: int = 5, seed: int = 42,
+                 k_values: list[int] = [5, 10, 20]):
+    """Key 34: pointwise gradient-boosted trees (Spark ML) on the 5 features, stopped early on and evaluated
+    per user on the validation users with the ranking metrics. Returns (model, metrics DataFrame(model, metric, value))."""
     from basketry.operators.metrics import evaluate_ranking
     data = _assemble(ds.join(split, "customer_id"))
-    train = data.filter(F.col("split") == "train")
     val = data.filter(F.col("split") == "val")
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth,
-                        seed=seed, stepSize=0.1)
-    model = gbt.fit(train)
+    model = _fit_gbt(data, max_iter, maxDepth=max_depth, seed=seed, stepSize=0.1)
     scored = _positive_prob(model.transform(val))
     ev = evaluate_ranking(scored, k_values)
     rows = ev.select(F.lit("gbt").alias("model"), F.concat("metric", F.lit("@"), F.col("k").cast("string")).alias("metric"),
@@ -137,19 +159,19 @@ def train_ranker(ds: DataFrame, split: DataFrame, max_iter: int = 20, max_depth:
 def tune_ranker(ds: DataFrame, split: DataFrame, grid: dict | None = None, seed: int = 42) -> DataFrame:
     """Key 35: grid search over GBT parameters on the same user split, scored by validation NDCG@10.
 
-    Each grid point is an ordinary distributed fit; the grid itself is a handful of parameter sets."""
+    Each grid point is an ordinary distributed fit with early stopping (at most ROUNDS, or the point's own
+    ``maxIter``); the grid itself is a handful of parameter sets."""
     from itertools import product
-    from pyspark.ml.classification import GBTClassifier
     from basketry.operators.metrics import evaluate_ranking
-    grid = grid or {"maxDepth": [3, 5], "maxIter": [10, 20]}
+    grid = grid or {"maxDepth": [3, 5], "stepSize": [0.05, 0.1]}
     data = _assemble(ds.join(split, "customer_id")).cache()
-    train = data.filter(F.col("split") == "train")
     val = data.filter(F.col("split") == "val")
     out = None
     keys = sorted(grid)
     for values in product(*[grid[k] for k in keys]):
         params = dict(zip(keys, values))
-        model = GBTClassifier(featuresCol="features", labelCol="label", seed=seed, **params).fit(train)
+        model = _fit_gbt(data, params.get("maxIter", ROUNDS), seed=seed,
+                         **{k: v for k, v in params.items() if k != "maxIter"})
         ev = evaluate_ranking(_positive_prob(model.transform(val)), [10], ("ndcg",))
         row = ev.select(F.lit(",".join(f"{k}={v}" for k, v in params.items())).alias("params"),
                         F.col("value").alias("ndcg_10"))
