@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import langid, lm, neighbours, pieces, quality, secret_scan, toxicity, warc
+from basketry.llm import fim, langid, lm, neighbours, pieces, quality, secret_scan, toxicity, warc
 from basketry.llm.common import fold, read_table
 from basketry.llm.mixing import systematic_copies
 from basketry.llm.simhash import simhash_groups
@@ -178,3 +178,33 @@ def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "round_trip",
                     F.transform("sampled", lambda x: F.size(x)).alias("sample_pieces"), F.transform("sampled", lambda x: F.xxhash64(x)).alias("sample_hashes"),
                     "log_prob", "log_inclusion")
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix, its rewritten text and the text restored from it."""
+    f = fim.fill_in_middle(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return f.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+                    F.sha2("output", 256).alias("output_sha256"),
+                    F.sha2(fim.restore("output", "form"), 256).alias("restored_sha256"))
+
+
+# lists of units and their slices in place of a counted match; the restored text is the text
+ORACLE["op11_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+r AS (SELECT doc_id, t, u, len(u) AS n, list_transform(range(4), lambda i: ('0x' || substr(h, (8 * i + 1)::INT, 8))::BIGINT) AS x FROM d),
+c AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 50 THEN 'plain'
+                 WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b FROM r),
+p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid,
+         coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""

@@ -9,7 +9,7 @@ from basketry.llm.queries import ORACLE, QUERIES
 
 def views(sf):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return con
 
