@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import fim, langid, lm, neighbours, pieces, quality, secret_scan, toxicity, warc
+from basketry.llm import fim, langid, lm, neighbours, packing, pieces, quality, secret_scan, toxicity, warc
 from basketry.llm.common import fold, read_table
 from basketry.llm.mixing import systematic_copies
 from basketry.llm.simhash import simhash_groups
@@ -208,3 +208,10 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)
               ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2,048 tokens, all full."""
+    p = packing.pack_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return p.withColumnRenamed("id", "doc_id")
