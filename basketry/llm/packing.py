@@ -40,7 +40,7 @@ CACHED, LONGEST = 300_000, 48
 
 _UNIT = re.compile(r"[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+")
 #: White space (or what some engine may take for it) beyond ASCII: such a text is encoded in one piece.
-_WIDE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
 class Encoder(dict):
