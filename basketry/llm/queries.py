@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import fim, langid, lm, neighbours, packing, pieces, quality, secret_scan, toxicity, warc
+from basketry.llm import fim, langid, lm, neighbours, packing, pieces, quality, secret_scan, toxicity, turns, warc
 from basketry.llm.common import fold, read_table
 from basketry.llm.mixing import systematic_copies
 from basketry.llm.simhash import simhash_groups
@@ -215,3 +215,73 @@ def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 2,048 tokens, all full."""
     p = packing.pack_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     return p.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the cheapest edits that make it legal, and their result."""
+    r = turns.repair_damaged(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return r.withColumnsRenamed({"conv": "conv_id", "sha": "repaired_sha256"})
+
+
+def _repair_sql() -> str:
+    """A fold over the rows that keeps, for each state, the least cost (nine digits) with its audit as one text."""
+    more = lambda s, cost, letter: f"(lpad((substr({s}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({s}, 10) || '{letter}')"
+    a = [f"a[{i}]" for i in range(1, 5)]
+    # states before a row is kept or gets a new role, after inserts
+    c = [a[0], a[1], f"least({a[2]}, {more(a[0], 2, 'I')}, {more(a[1], 2, 'I')}, {more(a[3], 2, 'I')})",
+         f"least({a[3]}, {more(a[2], 2, 'I')}, {more(a[0], 4, 'II')}, {more(a[1], 4, 'II')})"]
+    d = [more(s, 3, "D") for s in a]
+    keep = lambda initial, s: f"CASE WHEN x[2] = '{initial}' THEN {more(s, 'x[3]::INT', 'K')} END"
+    role = lambda s: more(s, "(2 + x[3]::INT)", "R")
+    row = [d[0], f"least({d[1]}, {keep('s', c[0])})",
+           "least(" + ", ".join([d[2], *[keep("u", c[i]) for i in (0, 1, 3)], *[role(c[i]) for i in (0, 1, 3)]]) + ")",
+           f"least({d[3]}, {keep('a', c[2])}, {role(c[2])})"]
+    end = f"least({a[0]}, {a[3]}, {more(a[2], 2, 'I')}, {more(a[1], 4, 'II')})"
+    return f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+k AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+m AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295] || list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i::INT, 1))::BIGINT),
+                         lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM k, crc),
+r AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM m WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM r)),
+f AS (
+  SELECT *, substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+              WHEN regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated'
+              ELSE '' END AS fault FROM o),
+g AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal,
+         list([(fault IN ('blank', 'duplicate'))::INT::VARCHAR, c, (fault = 'truncated')::INT::VARCHAR] ORDER BY i) AS items,
+         list({{'r': role, 't': text}} ORDER BY i) AS kept FROM f GROUP BY conv_id),
+s AS (
+  SELECT *, list_reduce([['000000000', NULL, NULL, NULL]] || items, lambda a, x:
+    CASE WHEN x[1] = '1' THEN [{', '.join(d)}] ELSE [{', '.join(row)}] END) AS a FROM g),
+e AS (SELECT *, substr({end}, 1, 9)::BIGINT AS cost, substr({end}, 10) AS audit FROM s),
+p AS (
+  SELECT *, list_transform(list_filter(range(1, length(audit) + 1), lambda j: substr(audit, j::INT, 1) <> 'D'), lambda j: {{
+    'l': substr(audit, j::INT, 1), 'i': length(replace(substr(audit, 1, j::INT), 'I', '')),
+    'left': length(replace(substr(audit, j::INT + 1), 'D', ''))}}) AS w FROM e),
+q AS (
+  SELECT *, coalesce(array_to_string(list_transform(w, lambda x:
+    CASE WHEN x.l = 'K' THEN kept[x.i].r WHEN x.left % 2 = 0 THEN 'assistant' ELSE 'user' END || ':'
+    || CASE WHEN x.l = 'I' THEN '' ELSE kept[x.i].t END), chr(10)), '') AS lines FROM p)
+SELECT a.conv_id, {', '.join(f"coalesce(q.{c}, 0)::BIGINT AS {c}" for c in turns.COUNTS)}, coalesce(q.audit, '') AS audit,
+       sha256(coalesce(q.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN q ON a.conv_id IS NOT DISTINCT FROM q.conv_id
+"""
+
+
+ORACLE["op13_conversation_repair"] = _repair_sql()
