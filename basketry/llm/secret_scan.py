@@ -51,6 +51,8 @@ BASE = ("assign", "access", "hex")
 #: A query is a set of conjunctions, each a set of trigrams; one empty conjunction is always true.
 ALWAYS = frozenset({frozenset()})
 MOST_STRINGS, MOST_TERMS = 16, 64
+#: Values that a running sum or a cut through a text takes at a time.
+BLOCK = 256
 
 
 def _either(a, b):
@@ -200,19 +202,41 @@ def candidates(index: DataFrame, queries: dict[str, frozenset]) -> DataFrame:
     return sets.select("id", "text_key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+def running(values: Column, op, zero: Column) -> Column:
+    """Inclusive running ``op`` (associative, with neutral ``zero``) over an array, in blocks of BLOCK values, so that
+    a growing array is copied a bounded number of times; an empty array stays empty."""
+    kind = lambda x: F.array(x)
+
+    def grow(part: Column, start: Column) -> Column:
+        first = F.struct(start.alias("acc"), F.slice(kind(start), 1, 0).alias("out"))
+        return F.aggregate(part, first, lambda a, x: F.struct(op(a["acc"], x).alias("acc"), F.concat(a["out"], kind(op(a["acc"], x))).alias("out")))["out"]
+
+    def over(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / F.lit(float(BLOCK))).cast("int") - 1),
+                             lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        return _let(blocks, lambda bs: F.flatten(F.zip_with(
+            bs, F.concat(kind(zero), grow(F.transform(F.slice(bs, 1, F.size(bs) - 1), lambda p: F.aggregate(p, zero, op)), zero)),
+            grow)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, over(v)).otherwise(F.slice(kind(zero), 1, 0)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value made once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, order, stop, kind>> of the rule's matches; code points, stop exclusive."""
     found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, rule.regex, -1)
-    n = F.transform(found, F.length)
-    at = F.aggregate(
-        F.arrays_zip(n.alias("n"), F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap")),
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["pos"] + x["gap"] + x["n"]).alias("pos"),
-                                F.concat(acc["starts"], F.array(acc["pos"] + x["gap"])).alias("starts")))["starts"]
-    spans = F.transform(F.arrays_zip(at.alias("s"), n.alias("n"), F.transform(sized, F.length).alias("g")), lambda x: F.when(
-        x["g"] >= rule.least, F.struct(x["s"].alias("start"), F.lit(order).alias("order"), (x["s"] + x["n"]).alias("stop"), F.lit(rule.kind).alias("kind"))))
+    lengths = F.zip_with(F.transform(found, F.length), F.transform(sized, F.length), lambda n, g: F.struct(n.alias("n"), g.alias("g")))
+    parts = F.zip_with(lengths, F.transform(F.slice(gaps, 1, F.size(found)), F.length),
+                       lambda x, gap: F.struct(x["n"].alias("n"), x["g"].alias("g"), (x["n"] + gap).alias("move")))
+    spans = _let(parts, lambda ps: F.zip_with(ps, running(F.transform(ps, lambda p: p["move"]), lambda a, x: a + x, F.lit(0)),
+                 lambda p, stop: F.when(p["g"] >= rule.least, F.struct((stop - p["n"]).alias("start"), F.lit(order).alias("order"),
+                                                                       stop.alias("stop"), F.lit(rule.kind).alias("kind")))))
     return F.array_compact(spans)
 
 
@@ -253,19 +277,41 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
+def without_spans(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each run of overlapping ``spans`` (sorted by start) replaced by one ``mark``.
+
+    A run begins where a span starts at or behind all earlier stops. The text is cut first into blocks of runs and
+    these into pieces, so a piece is never looked for from the text's beginning."""
+    def cut(found: Column) -> Column:
+        return _let(running(F.transform(found, lambda s: s["stop"]), lambda a, x: F.greatest(a, x), F.lit(0)), lambda reach: behind(F.filter(
+            F.zip_with(found, F.concat(F.array(F.lit(0)), reach), lambda s, r: F.struct(s["start"].alias("start"), r.alias("reach"))),
+            lambda x: x["start"] >= x["reach"]), F.element_at(reach, -1)))
+
+    def behind(runs: Column, last: Column) -> Column:
+        """The pieces before each run, and the rest behind ``last``."""
+        return _let(runs, lambda rs: F.concat(
+            F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.size(rs) / F.lit(float(BLOCK))).cast("int") - 1),
+                                  lambda b: _let(F.slice(rs, b * BLOCK + 1, F.lit(BLOCK)), pieces))),
+            F.array(F.substring(text, last + 1, F.length(text)))))
+
+    def pieces(part: Column) -> Column:
+        begin = part[0]["reach"]
+        return _let(F.substring(text, begin + 1, F.element_at(part, -1)["start"] - begin), lambda t: F.transform(
+            part, lambda r: F.substring(t, r["reach"] - begin + 1, r["start"] - r["reach"])))
+
+    return F.when(F.size(spans) > 0, F.array_join(cut(spans), mark)).otherwise(text)
+
+
 def redact(df: DataFrame, id_col: str, text_col: str, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with every found span replaced by ``mark`` (overlapping spans by one); all rows stay."""
+    """``df`` with every found span replaced by ``mark`` (overlapping spans by one); all rows stay.
+
+    A null text stays null; null ids and repeated rows stay as they are; any column names are allowed; an empty
+    table gives no rows."""
     key, of, of_key, spans = fresh(df, "text_key", "of", "of_key", "spans")
     hit = scan(df, id_col, text_col, rules).filter(F.size("spans") > 0).dropDuplicates(["id", "text_key"])
     hit = stored(hit.select(F.col("id").alias(of), F.col("text_key").alias(of_key), F.col("spans").alias(spans)), "spans")
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col(spans), start, lambda a, s: F.struct(
-        F.greatest(a["pos"], s["stop"]).alias("pos"),
-        F.when(s["start"] >= a["pos"], F.concat(a["out"], F.substring(text, a["pos"] + 1, s["start"] - a["pos"]), F.lit(mark)))
-        .otherwise(a["out"]).alias("out")))
     j = df.withColumn(key, F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))).join(
         hit, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(key) == F.col(of_key)), "left")
-    j = j.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(
-        F.concat(clean["out"], F.substring(text, clean["pos"] + 1, F.length(text)))))
+    j = j.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(without_spans(text, F.col(spans), mark)))
     return j.select(*df.columns)

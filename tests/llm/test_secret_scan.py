@@ -78,3 +78,33 @@ def test_redact(spark, docs):
 
 def test_oracle(spark):
     same(spark, "op2_secret_scan", "/root/testdata/sf0.01")
+
+
+def test_many_secrets_in_long_texts(spark, docs):
+    """Spans and redaction of a megabyte of secrets, in a time that does not grow with the square of their number."""
+    import time
+    words = [f"{'%016x' % (i * 7919)} token={'k' * 12}{i} ok" if i % 3 else f"AKIA{'%016d' % i}" for i in range(22_000)]
+    texts = {1: " ".join(words), 2: "token=abcdefabcdefabcdef0123", 3: "x" * 300 + "".join(f" {'%032x' % i}" for i in range(1000))}
+    df = docs([(i, t, "en", "s") for i, t in texts.items()], extra="spans")
+    began = time.time()
+    got = {r.doc_id: r.text for r in sc.redact(df, "doc_id", "text").collect()}
+    assert time.time() - began < 60
+    for i, t in texts.items():
+        want, pos = "", 0
+        for s, _, e, _ in plain(t):
+            if s >= pos:
+                want += t[pos:s] + "[SECRET]"
+            pos = max(pos, e)
+        assert got[i] == want + t[pos:]
+    assert got[2] == "[SECRET]" and len(texts[1]) > 700_000
+
+
+def test_running_values(spark):
+    from pyspark.sql import functions as F
+    n = 3 * sc.BLOCK + 5
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i * 37) % 101).cast("array<int>").alias("v"),
+                               F.array().cast("array<int>").alias("none"))
+    r = df.select(sc.running(F.col("v"), lambda a, x: a + x, F.lit(0)), sc.running(F.col("v"), lambda a, x: F.greatest(a, x), F.lit(0)),
+                  sc.running(F.col("none"), lambda a, x: a + x, F.lit(0))).first()
+    v = [(i * 37) % 101 for i in range(1, n + 1)]
+    assert r[0] == [sum(v[:i + 1]) for i in range(n)] and r[1] == [max(v[:i + 1]) for i in range(n)] and r[2] == []
