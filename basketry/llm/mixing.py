@@ -47,20 +47,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def systematic_copies(df: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS,
-                      share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+                      share: float = SHARE, cap: float = CAP, seed: int = SEED, row_col: str | None = None) -> DataFrame:
     """One row per row of ``df``: id, text_key, source, size, source_size, target, copies.
 
-    ``text_key`` (xxhash64 of the text) tells rows of one id apart. A null text has size 0; a null source
+    ``text_key`` (xxhash64 of the text) tells rows of one id apart; ``row_col``, a column that tells all rows apart,
+    is carried along as ``row``. A null text has size 0; a null source
     is a source of its own and comes last; a null id is ordered as the empty text; repeated rows are
     separate rows; a source without words has target 0 and no copies; an empty table gives no rows; other
     columns are ignored. The same rows give the same copies whatever the partitions.
     """
-    rows = stored(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"),
-                            F.col(source_col).alias("source"), n_words(text_col).alias("size")), "sizes")
+    own = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = stored(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"),
+                            n_words(text_col).alias("size"), own.alias("row")), "sizes")
     targets = source_targets(rows, weights, share, cap)
     h = hash_key(F.coalesce(F.col("id").cast("string"), F.lit("")), seed=seed)
     ranked = global_row_number(rows, [F.col("source").isNull(), F.col("source"), F.col("size"), h, F.col("id"),
-                                      F.col("text_key")], "rn")
+                                      F.col("text_key"), F.col("row")], "rn")  # the row number also parts equal rows
     first = stored(ranked.groupBy("source").agg((F.min("rn") - 1).alias("before")), "first")
     u = F.conv(F.substring(hash_key(F.coalesce("source", F.lit("")), F.col("source").isNull().cast("int"),
                                     seed=seed), 1, 8), 16, 10).cast("double") / 2.0 ** 32
@@ -72,20 +74,19 @@ def systematic_copies(df: DataFrame, id_col: str, text_col: str, source_col: str
     k = (F.col("rn") - F.col("before")).cast("double")
     copies = F.floor(k * F.col("rate") + F.col("u")) - F.floor((k - 1) * F.col("rate") + F.col("u"))
     return j.select("id", "text_key", "source", "size", "source_size", "target",
-                    F.least(copies, F.ceil("rate")).cast("long").alias("copies"))
+                    F.least(copies, F.ceil("rate")).cast("long").alias("copies"), *(["row"] if row_col else []))
 
 
 def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, share: float = SHARE,
         cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """The mix itself: every row of ``df`` as often as ``systematic_copies`` says, with its columns."""
-    key, copies, n = fresh(df, "text_key", "copies", "copy")
-    per = systematic_copies(df, id_col, text_col, source_col, weights, share, cap, seed)
-    # equal rows (same id, text and source) share one total, so each key joins once
-    per = per.filter("copies > 0").groupBy("id", "text_key", "source").agg(F.sum("copies").alias("n"))
-    per = stored(per, "copies").select(F.col("id").alias("of_id"), F.col("text_key").alias("of_key"),
-                                       F.col("source").alias("of_source"), F.col("n").alias(copies))
-    marked = df.withColumn(key, F.xxhash64(text_col))
-    j = marked.join(per, marked[id_col].eqNullSafe(per["of_id"]) & (marked[key] == per["of_key"])
-                    & marked[source_col].eqNullSafe(per["of_source"])).drop("of_id", "of_key", "of_source")
-    one = j.dropDuplicates([id_col, key, source_col])
-    return one.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*df.columns)
+    """The mix itself: every row of ``df`` as often as ``systematic_copies`` says, with its columns.
+
+    Nulls, repeated rows and empty tables are treated as there; any column names are allowed. The rows are written
+    once with a row number, by which they meet their copies: no key is shared by two rows, so copies of a text
+    stay spread over the tasks."""
+    row, of, copies, n = fresh(df, "row", "of", "copies", "copy")
+    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    per = systematic_copies(numbered, id_col, text_col, source_col, weights, share, cap, seed, row)
+    per = stored(per.filter("copies > 0").select(F.col("row").alias(of), F.col("copies").alias(copies)), "copies")
+    j = numbered.join(per, F.col(row) == F.col(of))
+    return j.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*df.columns)

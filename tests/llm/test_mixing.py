@@ -51,3 +51,21 @@ def test_copies_and_mix(spark, docs):
 
 def test_oracle(spark):
     same(spark, "op5_systematic_mix", "/root/testdata/sf0.01")
+
+
+def test_mix_with_clashing_names_and_a_thousand_equal_rows(spark, docs):
+    """Any column names; the copies of equal rows are made in several tasks."""
+    from pyspark.sql import functions as F
+    df = docs([(5, "one two three four", "en", "s")] * 1000 + [(6, "other words", "en", "t")] * 5, extra="of_id")
+    for c in ("of_key", "of_source", "row", "of", "copies", "copy", "text_key", "id", "size"):
+        df = df.withColumn(c, F.lit(c))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = mix(df.repartition(4), "doc_id", "text", "source")
+        per_task = out.filter("doc_id = 5").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.columns == df.columns
+    copies = systematic_copies(df, "doc_id", "text", "source").filter("id = 5").agg(F.sum("copies")).first()[0]
+    assert sum(r[1] for r in per_task) == copies >= 1000 and len(per_task) >= 3 and max(r[1] for r in per_task) < copies / 2
+    assert out.first()["of_key"] == "of_key"
