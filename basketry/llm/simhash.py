@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import stored, utf8
+from basketry.llm.common import fresh, stored, utf8
 from basketry.llm.components import connected_components
 
 #: Fingerprints a shard aims at; rows of a shard beyond CHUNK are dealt to a grid of tasks.
@@ -259,18 +259,18 @@ def simhash_groups(df: DataFrame, id_col: str, text_col: str, k: int = 4, max_bi
 
 def keep_one(df: DataFrame, id_col: str, text_col: str, k: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``df`` with one row of each near-duplicate group: that with the smallest id
-    (null ids last; of equal ids the smallest text)."""
-    from basketry.llm.common import fresh
-
-    fp, row, order, text_order = fresh(df, "fp", "row", "order", "text_order")
-    marked = with_fingerprint(df, text_col, fp, k)
-    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
-    # one row per fingerprint, chosen map-side before the only shuffle of texts
-    reps = stored(marked.groupBy(fp).agg(F.min_by(F.struct(*df.columns), rank).alias(row)), "representatives")
-    narrow = reps.select(F.col(fp).alias("fp"), F.col(row)[id_col].isNull().alias("no_id"),
-                         F.col(row)[id_col].alias("id"), F.xxhash64(F.col(row)[text_col]).alias("t"))
-    comp = fingerprint_components(narrow.select("fp"), max_bits)
-    linked = stored(narrow.join(comp, "fp"), "linked")
-    kept = linked.groupBy("comp").agg(F.min_by("fp", F.struct("no_id", "id", "t", "fp")).alias("fp"))
-    gone = linked.join(kept.select("fp"), "fp", "left_anti").select(F.col("fp").alias(fp))
-    return reps.join(gone, fp, "left_anti").select(F.col(f"{row}.*"))
+    (null ids last; of equal ids the text with the smallest xxhash64; of equal rows any one).
+
+    Null and empty texts are one group; an empty table gives no rows. Texts are written once with a row number and
+    its fingerprint; groups and their keepers are chosen on narrow rows, and the texts meet only the keepers' numbers.
+    """
+    fp, row, order = fresh(df, "fp", "row", "order")
+    marked = stored(with_fingerprint(df, text_col, fp, k).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col(row))
+    reps = stored(marked.select(F.col(fp).alias("fp"), rank.alias("rank"), F.col(row).alias("row")).groupBy("fp").agg(
+        F.min("rank").alias("rank"), F.min_by("row", "rank").alias("row")), "representatives")
+    linked = stored(reps.join(fingerprint_components(reps.select("fp"), max_bits), "fp"), "linked")
+    keepers = linked.groupBy("comp").agg(F.min_by("row", "rank").alias("row")).select("row")
+    alone = reps.join(linked.select("fp"), "fp", "left_anti").select("row")
+    kept = alone.unionAll(keepers).select(F.col("row").alias(order))
+    return marked.join(kept, F.col(row) == F.col(order), "left_semi").select(*df.columns)
