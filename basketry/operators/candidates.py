@@ -18,11 +18,14 @@ Plan shapes (see README, "Scale"):
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.order import top_k_list
-from basketry.functions.windows import max_date, significant, trailing_window, twelve_digits
+from basketry.functions.windows import max_date, significant, trailing_window
 
 NULL_RANK = 1e12  # score of an item without a rank: 1 / (1 + 1e12)
 BASKET_SPLIT = 512  # distinct items per basket handled by one join key
@@ -32,10 +35,10 @@ def cf_window(tx: DataFrame, cf_window_days: int = 28) -> DataFrame:
     """Key 15: rows with ``t_dat >= max - cf_window_days`` (duplicates kept).
 
     The window carries its end date as a constant column ``dmax`` (the same scalar subquery that
-    defines the window, evaluated once), so seeds, decay and trending need no further max."""
+    defines the window, evaluated once), so seeds, decay and trending need no further max, and its length as ``span``."""
     dmax = max_date(tx)
-    return trailing_window(tx.select("customer_id", "article_id", "t_dat"), cf_window_days, dmax=dmax).withColumn(
-        "dmax", dmax)
+    return trailing_window(tx.select("customer_id", "article_id", "t_dat"), cf_window_days, dmax=dmax).withColumns(
+        {"dmax": dmax, "span": F.lit(int(cf_window_days))})
 
 
 def _window_end(cfw: DataFrame) -> Column:
@@ -76,19 +79,58 @@ def decay(days: Column, half_life_days: int) -> Column:
     return F.pow(F.lit(0.5), days.cast("double") / F.lit(float(max(int(half_life_days), 1))))
 
 
+#: Bits of a decay weight below one half-life, and the most halvings at which a weight keeps all of them.
+DECAY_BITS, MOST_HALVINGS = 40, 62
+
+
+def _halvings(cfw: DataFrame, half_life_days: int) -> Column:
+    """Whole half-lives in the window (at most MOST_HALVINGS): the scale of ``decay_units`` is 2^(DECAY_BITS + this)."""
+    span = F.col("span") if "span" in cfw.columns else cfw.select(F.datediff(_window_end(cfw), F.min("t_dat"))).scalar()
+    return F.least(F.floor(span / F.lit(max(int(half_life_days), 1))).cast("int"), F.lit(MOST_HALVINGS))
+
+
+def decay_units(days: Column, half_life_days: int, halvings: Column) -> Column:
+    """``decay`` as a whole number (decimal) of units: sums of it are exact in any order, and ages that lie whole half-lives
+    apart weigh exact powers of two. The fraction of a half-life has DECAY_BITS bits."""
+    hl = max(int(half_life_days), 1)
+    part = F.round(F.pow(F.lit(0.5), (days % hl).cast("double") / F.lit(float(hl))) * F.lit(2.0 ** DECAY_BITS)).cast("long")
+    shift = (halvings - F.floor(days / F.lit(hl))).cast("int")
+    power = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(shift, F.lit(0)))
+    late = F.call_function("shiftright", part, F.least(-shift, F.lit(63)))
+    return F.when(shift >= 0, part.cast("decimal(19,0)") * power.cast("decimal(19,0)")).otherwise(late.cast("decimal(38,0)"))
+
+
+def from_units(units: Column, halvings: Column) -> Column:
+    """Units as a double, rounded once."""
+    return units.cast("double") / F.pow(F.lit(2.0), F.lit(DECAY_BITS) + halvings)
+
+
 def recent_seeds(cfw: DataFrame, recent_items: int = 10, half_life_days: int = 14) -> DataFrame:
     """Key 19: each user's last N purchase rows (date desc, id asc) with weight 0.5^(age/half_life)."""
-    dmax = _window_end(cfw)
+    age = F.datediff(_window_end(cfw), F.col("t_dat"))
+    return _last_rows(cfw, recent_items).select("customer_id", "rnk", F.col("article_id").alias("seed_item"),
+                                                F.col("t_dat").alias("seed_date"), decay(age, half_life_days).alias("w_seed"))
+
+
+def _last_rows(cfw: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("customer_id").orderBy(F.col("t_dat").desc(), F.col("article_id").asc())
-    return (cfw.withColumn("rnk", F.row_number().over(w).cast("long")).filter(F.col("rnk") <= recent_items)
-               .select("customer_id", "rnk", F.col("article_id").alias("seed_item"), F.col("t_dat").alias("seed_date"),
-                       decay(F.datediff(dmax, F.col("t_dat")), half_life_days).alias("w_seed")))
+    return cfw.withColumn("rnk", F.row_number().over(w).cast("long")).filter(F.col("rnk") <= n)
+
+
+def _seed_weights(cfw: DataFrame, recent_items: int, half_life_days: int) -> DataFrame:
+    """(customer_id, seed_item, w, nth): a user's seeds with the exact sum of their rows' weights, numbered by id."""
+    halvings = _halvings(cfw, half_life_days)
+    units = decay_units(F.datediff(_window_end(cfw), F.col("t_dat")), half_life_days, halvings)
+    seeds = _last_rows(cfw, recent_items).groupBy("customer_id", F.col("article_id").alias("seed_item")).agg(
+        F.sum(units).alias("units"), F.first(halvings).alias("halvings"))
+    nth = F.row_number().over(Window.partitionBy("customer_id").orderBy("seed_item"))
+    return seeds.select("customer_id", "seed_item", from_units(F.col("units"), F.col("halvings")).alias("w"), nth.alias("nth"))
 
 
 def _basket_counts(cfw: DataFrame) -> DataFrame:
-    """(customer, day, item) row counts, with the day's age in days (a function of the day)."""
+    """(customer, day, item) row counts, with the day's age in days (a function of the day) and the window's halvings."""
     age = F.datediff(_window_end(cfw), F.col("t_dat"))
-    return cfw.groupBy("customer_id", "t_dat", "article_id", age.alias("age")).agg(F.count(F.lit(1)).alias("m"))
+    return cfw.groupBy("customer_id", "t_dat", "article_id", age.alias("age"), "_halvings").agg(F.count(F.lit(1)).alias("m"))
 
 
 def item_cooccurrence(cfw: DataFrame, cooc_same_day_only: bool = True, cooc_max_day_gap: int = 3,
@@ -98,9 +140,11 @@ def item_cooccurrence(cfw: DataFrame, cooc_same_day_only: bool = True, cooc_max_
     on the same day (or within ±gap days) of ``0.5^(age(cand row)/half_life)``; top N per seed by
     score desc, cand asc. Columns: seed_item, cand_item, score, rr.
 
-    A basket with many items is split on both sides, so a task meets at most ``basket_split`` seeds and
+    Scores are exact sums of whole units, divided once, and rank unrounded: equal sums tie whatever the order in which
+    they were added. A basket with many items is split on both sides, so a task meets at most ``basket_split`` seeds and
     about as many candidates of one basket."""
-    m = _basket_counts(cfw)
+    halvings = _halvings(cfw, half_life_days)
+    m = _basket_counts(cfw.withColumn("_halvings", halvings)).withColumn("_w", decay_units(F.col("age"), half_life_days, F.col("_halvings")))
     gap = 0 if cooc_same_day_only else max(int(cooc_max_day_gap), 0)
     # parts of a basket: its own items on one side, the items of all days it meets on the other
     sizes = m.groupBy("customer_id", "t_dat").agg(F.count(F.lit(1)).alias("n_items"))
@@ -120,50 +164,53 @@ def item_cooccurrence(cfw: DataFrame, cooc_same_day_only: bool = True, cooc_max_
               .join(sizes, ["customer_id", "d1"])
               .withColumn("p1", part("seed_item", "n1")).withColumn("p2", every("n2")).drop("n1", "n2"))
     right = m.select("customer_id", F.col("t_dat").alias("d2"), F.col("article_id").alias("cand_item"),
-                     F.col("m").alias("m_cand"), F.col("age").alias("age2"))
+                     (F.col("m").cast("decimal(19,0)") * F.col("_w")).cast("decimal(38,0)").alias("w_cand"), F.col("_halvings").alias("halvings"))
     right = (right.withColumn("d1", F.explode(F.transform(days, lambda o: F.date_add("d2", o)))) if gap > 0
              else right.withColumn("d1", F.col("d2")))
     right = (right.join(sizes, ["customer_id", "d1"])
                   .withColumn("p2", part("cand_item", "n2")).withColumn("p1", every("n1")).drop("n1", "n2"))
     pairs = (left.join(right, ["customer_id", "d1", "p1", "p2"])
                  .filter(F.col("seed_item") != F.col("cand_item"))
-                 .select("seed_item", "cand_item",
-                         ((F.col("m_seed") * F.col("m_cand")).cast("double")
-                          * decay(F.col("age2"), half_life_days)).alias("contrib")))
-    c = pairs.groupBy("seed_item", "cand_item").agg(F.sum("contrib").alias("score"))
-    w = Window.partitionBy("seed_item").orderBy(significant(F.col("score")).desc(), F.col("cand_item").asc())
+                 .select("seed_item", "cand_item", (F.col("w_cand") * F.col("m_seed").cast("decimal(19,0)")).cast("decimal(38,0)").alias("units"),
+                         "halvings"))
+    c = pairs.groupBy("seed_item", "cand_item").agg(F.sum("units").alias("units"), F.first("halvings").alias("halvings"))
+    w = Window.partitionBy("seed_item").orderBy(F.col("units").desc(), F.col("cand_item").asc())
     return (c.withColumn("rr", F.row_number().over(w).cast("long")).filter(F.col("rr") <= cooc_top_per_seed)
-             .select("seed_item", "cand_item", "score", "rr"))
+             .select("seed_item", "cand_item", from_units(F.col("units"), F.col("halvings")).alias("score"), "rr"))
 
 
 def cf_candidates(cfw: DataFrame, itf: DataFrame, top_k: int = 50, recent_items: int = 10,
                   cooc_top_per_seed: int = 200, half_life_days: int = 14, popularity_penalty_alpha: float = 0.20,
                   exclude_already_purchased: bool = True, cooc_same_day_only: bool = True,
-                  cooc_max_day_gap: int = 3, cooc: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+                  cooc_max_day_gap: int = 3, cooc: DataFrame | None = None, users: DataFrame | None = None,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     """Key 21: per user, sum over seeds of pruned co-purchase scores × seed weight, divided by
     ``1 + alpha * ln(1 + rank)`` when the item is ranked; already-bought items dropped; top-k by
     score desc, id asc. Columns: customer_id, pos, article_id, score_cf.
 
-    The penalty depends on the item alone, so it joins the matrix (items × list rows), not the users ×
-    list rows. ``users`` restricts the work to them; the matrix still counts all customers."""
+    The products of a user's seeds are added in the order of the seeds' ids, so the sum is one number whatever the
+    partitions; it ranks unrounded and is reported with about ten digits. The penalty depends on the item alone, so it
+    joins the matrix (items × list rows), not the users × list rows. ``users`` restricts the work to them; the matrix still counts all customers."""
     if cooc is None:
         cooc = item_cooccurrence(cfw, cooc_same_day_only, cooc_max_day_gap, cooc_top_per_seed, half_life_days)
     mine = cfw if users is None else cfw.join(users.select("customer_id"), "customer_id", "left_semi")
-    wsum = recent_seeds(mine, recent_items, half_life_days).groupBy("customer_id", "seed_item").agg(
-        F.sum("w_seed").alias("w"))
+    wsum = _seed_weights(mine, recent_items, half_life_days)
     rank = F.col("popularity_rank").cast("double")
     pen = F.lit(1.0) + F.lit(float(popularity_penalty_alpha)) * F.log(F.lit(1.0) + rank)
-    matrix = cooc.select("seed_item", "cand_item", "score").join(
-        itf.select(F.col("article_id").alias("cand_item"), "popularity_rank"), "cand_item", "left").select(
-        "seed_item", F.col("cand_item").alias("article_id"), (F.col("score") / F.coalesce(pen, F.lit(1.0))).alias("gain"))
-    scored = (wsum.join(matrix, "seed_item").groupBy("customer_id", "article_id")
-                  .agg(F.sum(F.col("w") * F.col("gain")).alias("score_cf")))
+    items = itf.select(F.col("article_id").alias("cand_item"), *dict.fromkeys(("popularity_rank", *carry)))
+    matrix = cooc.select("seed_item", "cand_item", "score").join(items, "cand_item", "left").select(
+        "seed_item", F.col("cand_item").alias("article_id"), (F.col("score") / F.coalesce(pen, F.lit(1.0))).alias("gain"), *carry)
+    # one column for each seed (at most ``recent_items``), so that the order of the additions is fixed
+    parts = [F.max(F.when(F.col("nth") == i, F.col("w") * F.col("gain"))).alias(f"_s{i}") for i in range(1, int(recent_items) + 1)]
+    total = reduce(add, [F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(1, int(recent_items) + 1)], F.lit(0.0))
+    scored = wsum.join(matrix, "seed_item").groupBy("customer_id", "article_id").agg(
+        *parts, *[F.max(c).alias(c) for c in carry]).select("customer_id", "article_id", total.alias("score_cf"), *carry)
     if exclude_already_purchased:
         bought = mine.select("customer_id", "article_id").distinct()
         scored = scored.join(bought, ["customer_id", "article_id"], "left_anti")
-    w = Window.partitionBy("customer_id").orderBy(twelve_digits(F.col("score_cf")).desc(), F.col("article_id").asc())
+    w = Window.partitionBy("customer_id").orderBy(F.col("score_cf").desc(), F.col("article_id").asc())
     return (scored.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= top_k)
-                  .select("customer_id", "pos", "article_id", twelve_digits(F.col("score_cf")).alias("score_cf")))
+                  .select("customer_id", "pos", "article_id", significant(F.col("score_cf"), 20).alias("score_cf"), *carry))
 
 
 def rrf(pos: Column, k: int = 60) -> Column:
@@ -187,40 +234,44 @@ def merged_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, total_k:
                       cooc_top_per_seed: int = 200, half_life_days: int = 14,
                       popularity_penalty_alpha: float = 0.20, fallback_pop_expand: int = 1000, rrf_k: int = 60,
                       cooc_same_day_only: bool = True, cooc_max_day_gap: int = 0,
-                      cf: DataFrame | None = None, cooc: DataFrame | None = None) -> DataFrame:
+                      cf: DataFrame | None = None, cooc: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Key 23: per user, fuse the popularity list (``pop_top``) and the user's CF list (``cf_top``) by
     reciprocal rank; if the union is smaller than ``total_k`` fill from the expanded popularity list in
-    order; sort by (final, cf, pop, id) all descending; keep ``total_k``.
-    Columns: customer_id, pos, article_id, final_score, cf_rrf, pop_rrf."""
+    order; sort by (final, cf, pop, id) all descending; keep ``total_k``. ``carry`` names number columns of ``itf`` that
+    travel inside the lists, so a reader need not join users × list rows with the items (a given ``cf`` must have them).
+    Columns: customer_id, pos, article_id, final_score, cf_rrf, pop_rrf, and those carried."""
     spark_users = users.select("customer_id").distinct()
     if total_k <= 0:
         return spark_users.select("customer_id", F.lit(0).cast("long").alias("pos"),
                                   F.lit(None).cast("string").alias("article_id"),
                                   F.lit(0.0).alias("final_score"), F.lit(0.0).alias("cf_rrf"),
-                                  F.lit(0.0).alias("pop_rrf")).limit(0)
+                                  F.lit(0.0).alias("pop_rrf"), *[F.lit(None).cast("long").alias(c) for c in carry]).limit(0)
     # Every pop-list item is in the union, so a user lacks at most total_k - pop_top items, and at most
     # cf_top expansion items can be skipped (already in the CF list): positions beyond
     # total_k + cf_top can never be used. With total_k <= pop_top no fill is possible at all.
     need = int(pop_top) if int(total_k) <= int(pop_top) else int(total_k) + int(cf_top)
     expand = min(max(int(fallback_pop_expand), int(pop_top)), max(need, int(pop_top)))
-    exp_list = popularity_candidates(itf, expand)  # bounded by the parameters, not by the data
+    # bounded by the parameters, not by the data
+    exp_list = top_k_list(itf.select("article_id", *dict.fromkeys(("popularity_rank", *carry))),
+                          [F.col("popularity_rank").asc_nulls_last(), F.col("article_id").asc()], expand)
     if cf is None:
         cf = cf_candidates(cfw, itf, cf_top, recent_items, cooc_top_per_seed, half_life_days,
-                           popularity_penalty_alpha, True, cooc_same_day_only, cooc_max_day_gap, cooc, spark_users)
+                           popularity_penalty_alpha, True, cooc_same_day_only, cooc_max_day_gap, cooc, spark_users, carry)
     # One row per user is shuffled, with the CF list as an array (at most cf_top entries); it meets the
     # constant popularity list in an expression, and the rows unfold after the shuffle. List positions
     # <= pop_top form the pop list, the rest are only eligible as fill.
-    entry = lambda item, c, e: F.struct(item.alias("article_id"), c.cast("long").alias("c_pos"), e.cast("long").alias("e_pos"))
+    entry = lambda item, c, e, more: F.struct(item.alias("article_id"), c.cast("long").alias("c_pos"), e.cast("long").alias("e_pos"),
+                                              *[x.cast("long").alias(n) for n, x in zip(carry, more)])
     no = F.lit(None)
-    mine = cf.groupBy("customer_id").agg(F.collect_list(F.struct("pos", "article_id")).alias("cf_list"))
+    mine = cf.groupBy("customer_id").agg(F.collect_list(F.struct("pos", "article_id", *carry)).alias("cf_list"))
     per_user = spark_users.join(mine, "customer_id", "left")
-    cf_part = F.transform(F.coalesce("cf_list", F.array().cast("array<struct<pos:bigint,article_id:string>>")),
-                          lambda c: entry(c["article_id"], c["pos"], no))
-    pop_part = list_array(exp_list.select(entry(F.col("article_id"), no, F.col("pos")).alias("e")).select("e.*"),
-                          ["article_id", "c_pos", "e_pos"])
+    empty = F.array().cast("array<struct<" + ",".join(["pos:bigint", "article_id:string", *[f"{c}:bigint" for c in carry]]) + ">>")
+    cf_part = F.transform(F.coalesce("cf_list", empty), lambda c: entry(c["article_id"], c["pos"], no, [c[x] for x in carry]))
+    pop_part = list_array(exp_list.select(entry(F.col("article_id"), no, F.col("pos"), [F.col(c) for c in carry]).alias("e")).select("e.*"),
+                          ["article_id", "c_pos", "e_pos", *carry])
     cand = (per_user.select("customer_id", F.inline(F.concat(cf_part, pop_part)))
                     .groupBy("customer_id", "article_id")
-                    .agg(F.min("c_pos").alias("c_pos"), F.min("e_pos").alias("e_pos")))
+                    .agg(F.min("c_pos").alias("c_pos"), F.min("e_pos").alias("e_pos"), *[F.max(c).alias(c) for c in carry]))
     if int(total_k) > int(pop_top):
         # the union may be shorter than total_k: keep the first (total_k - |union|) expansion items
         in_union = F.col("c_pos").isNotNull() | (F.col("e_pos") <= pop_top)
@@ -236,12 +287,12 @@ def merged_candidates(users: DataFrame, cfw: DataFrame, itf: DataFrame, total_k:
     # pop list members, and fill items (not in the CF list), score by their expanded-list position
     is_pop = (F.col("e_pos") <= pop_top) | (F.col("c_pos").isNull() & F.col("e_pos").isNotNull())
     pop_r = F.when(is_pop, rrf(F.col("e_pos"), rrf_k)).otherwise(F.lit(0.0))
-    scored = cand.select("customer_id", "article_id", cf_r.alias("cf_rrf"), pop_r.alias("pop_rrf"))
+    scored = cand.select("customer_id", "article_id", cf_r.alias("cf_rrf"), pop_r.alias("pop_rrf"), *carry)
     scored = scored.withColumn("final_score", F.lit(float(w_pop)) * F.col("pop_rrf") + F.lit(float(w_cf)) * F.col("cf_rrf"))
     w = Window.partitionBy("customer_id").orderBy(F.col("final_score").desc(), F.col("cf_rrf").desc(),
                                                   F.col("pop_rrf").desc(), F.col("article_id").desc())
     return (scored.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= total_k)
-                  .select("customer_id", "pos", "article_id", "final_score", "cf_rrf", "pop_rrf"))
+                  .select("customer_id", "pos", "article_id", "final_score", "cf_rrf", "pop_rrf", *carry))
 
 
 def trending_items(cfw: DataFrame, top_n: int = 200, recency_window_days: int = 30) -> DataFrame:

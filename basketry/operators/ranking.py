@@ -9,12 +9,13 @@ from basketry.functions.order import global_row_number, hash_key, top_k_list
 from basketry.functions.treemodel import SAVED_RANKER, TreeModel, tree_score
 from basketry.functions.windows import trailing_window
 from basketry.operators.candidates import (
-    list_array, cf_window, low_activity_candidates, merged_candidates, popularity_candidates,
+    cf_window, low_activity_candidates, merged_candidates, popularity_candidates,
 )
 from basketry.operators.features import frequency_encoded
 from basketry.operators.segments import ACTIVE, LOW_ACTIVITY
 
 FEATURES = ["purchase_count", "recency", "purchase_frequency_encoded", "popularity_rank", "sales_count"]
+ITEM_FEATURES = ["popularity_rank", "sales_count"]
 #: Most boosting rounds of a ranker, and the rounds without a lower validation loss that end its training.
 ROUNDS, PATIENCE = 500, 30
 
@@ -50,16 +51,17 @@ def ranking_negatives(tx: DataFrame, sampled: DataFrame, itf: DataFrame, pos_per
     The pool is a parameter-sized list; it reaches every user as one array (scalar subquery), and only
     the kept items unfold."""
     n = int(negative_per_user) * int(pos_per_user)
-    pool = list_array(popularity_candidates(itf, popularity_pool), ["article_id"])
-    # a user's purchases as a set; the pool stays one constant array and never unfolds to users x pool rows
+    pool = popularity_candidates(itf, popularity_pool).agg(F.sort_array(F.collect_list("article_id"))).scalar()
+    # a user's purchases as a set; the pool stays one constant array and never unfolds to users x pool rows. Sets of
+    # strings are told apart by hash, and structs of strings are sorted by value: both cost no more than their length
     bought = (trailing_window(tx.select("customer_id", "article_id", "t_dat"), window_days)
               .join(sampled.select("customer_id"), "customer_id", "left_semi")
-              .groupBy("customer_id").agg(F.collect_set(F.struct("article_id")).alias("bought")))
+              .groupBy("customer_id").agg(F.collect_set("article_id").alias("bought")))
     rest = (sampled.select("customer_id").join(bought, "customer_id", "left")
-            .select("customer_id", F.array_except(pool, F.coalesce("bought", F.array().cast("array<struct<article_id:string>>"))).alias("rest")))
+            .select("customer_id", F.array_except(pool, F.coalesce("bought", F.array().cast("array<string>"))).alias("rest")))
     hashed = F.transform("rest", lambda x: F.struct(
-        F.md5(F.concat(F.col("customer_id").cast("string"), x["article_id"], F.lit(str(seed)))).alias("h"), x["article_id"].alias("article_id")))
-    return (rest.select("customer_id", F.inline(F.slice(F.array_sort(hashed), 1, n)))
+        F.md5(F.concat(F.col("customer_id").cast("string"), x, F.lit(str(seed)))).alias("h"), x.alias("article_id")))
+    return (rest.select("customer_id", F.inline(F.slice(F.sort_array(hashed), 1, n)))
                 .select("customer_id", "article_id", F.lit(0).cast("int").alias("label")))
 
 
@@ -202,13 +204,16 @@ def rerank_topk(candidates: DataFrame, uf: DataFrame, itf: DataFrame, top_k: int
                 model: TreeModel | None = SAVED_RANKER) -> DataFrame:
     """Key 38: join each user's candidates (customer_id, pos, article_id) to user and item features,
     drop candidates without item features, score with the model, keep top-k by (score desc, candidate
-    position). Users whose candidates all lack features (or with no model) fall back to candidate order.
+    position). Users whose candidates all lack features (or with no model) fall back to candidate order. Candidates that
+    carry their item features are not joined to the items, so nothing is shuffled by item.
     Columns: customer_id, pos, article_id, score, fallback."""
     u = uf.select("customer_id", "purchase_count", "recency",
                   frequency_encoded(F.col("purchase_frequency")).alias("purchase_frequency_encoded"))
-    i = itf.select("article_id", "popularity_rank", "sales_count")
-    c = candidates.select("customer_id", F.col("pos").alias("cand_pos"), "article_id")
-    j = c.join(u, "customer_id", "left").join(i, "article_id", "left")
+    carried = [x for x in ITEM_FEATURES if x in candidates.columns]
+    c = candidates.select("customer_id", F.col("pos").alias("cand_pos"), "article_id", *carried)
+    j = c.join(u, "customer_id", "left")
+    if carried != ITEM_FEATURES:
+        j = j.drop(*carried).join(itf.select("article_id", *ITEM_FEATURES), "article_id", "left")
     ok = F.col("popularity_rank").isNotNull() & F.col("sales_count").isNotNull() & F.col("purchase_count").isNotNull()
     j = j.withColumn("_ok", ok).withColumn("_any", F.max(F.col("_ok").cast("int")).over(Window.partitionBy("customer_id")))
     scored = j.withColumn("score", tree_score(model, FEATURES) if model is not None else F.lit(None).cast("double"))
@@ -226,31 +231,26 @@ def recommend(users: DataFrame, tx: DataFrame, uf: DataFrame, itf: DataFrame, ar
               segments: DataFrame, top_k: int = 10, candidate_k: int = 300, cf_window_days: int = 28,
               model: TreeModel | None = SAVED_RANKER, cooc: DataFrame | None = None) -> DataFrame:
     """Key 39: active users → fused candidates + model rerank (``cf_ranker``); everyone else →
-    popularity/recency/category blend (``enhanced_fallback``). Both branches are plans over all users;
-    the result is their union. A user with an empty list has one row with NULL pos and article_id and
-    ``fallback`` true. Columns: customer_id, pos, article_id, score, segment, strategy, fallback."""
+    popularity/recency/category blend (``enhanced_fallback``). Both branches are plans over all users; each is built
+    once, as one list per user that the users are joined to, and unfolds last. A user with an empty list has one row with
+    NULL pos and article_id and ``fallback`` true. Columns: customer_id, pos, article_id, score, segment, strategy, fallback."""
     u = users.select("customer_id").distinct()
     segs = u.join(segments.select("customer_id", "segment"), "customer_id", "left").select(
         "customer_id", F.coalesce(F.col("segment"), F.lit(LOW_ACTIVITY)).alias("segment"))
-    active = segs.filter(F.col("segment") == ACTIVE).select("customer_id")
-    low = segs.filter(F.col("segment") != ACTIVE).select("customer_id")
+    active, low = (segs.filter(c) for c in (F.col("segment") == ACTIVE, F.col("segment") != ACTIVE))
     cfw = cf_window(tx, cf_window_days)
-    cands = merged_candidates(active, cfw, itf, total_k=candidate_k, cooc=cooc)
-    a = rerank_topk(cands.select("customer_id", "pos", "article_id"), uf, itf, top_k, model).select(
-        "customer_id", "pos", "article_id", "score", F.lit(ACTIVE).alias("segment"),
-        F.lit("cf_ranker").alias("strategy"), "fallback")
+    cands = merged_candidates(active, cfw, itf, total_k=candidate_k, cooc=cooc, carry=tuple(ITEM_FEATURES))
+    a = rerank_topk(cands, uf, itf, top_k, model)
     b = low_activity_candidates(low, cfw, itf, articles, total_k=top_k).select(
-        "customer_id", "pos", "article_id", F.lit(None).cast("double").alias("score"),
-        F.lit(LOW_ACTIVITY).alias("segment"), F.lit("enhanced_fallback").alias("strategy"),
-        F.lit(False).alias("fallback"))
-    both = a.unionByName(b)
-    # a user whose list came out empty still gets an answer: one row without an item, marked as fallback
-    none = segs.join(both.select("customer_id"), "customer_id", "left_anti").select(
-        "customer_id", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("article_id"),
-        F.lit(None).cast("double").alias("score"), "segment",
-        F.when(F.col("segment") == ACTIVE, "cf_ranker").otherwise("enhanced_fallback").alias("strategy"),
-        F.lit(True).alias("fallback"))
-    return both.unionByName(none)
+        "customer_id", "pos", "article_id", F.lit(None).cast("double").alias("score"), F.lit(False).alias("fallback"))
+
+    def answered(asked: DataFrame, rows: DataFrame, listed: str, strategy: str) -> DataFrame:
+        lists = rows.groupBy("customer_id").agg(F.collect_list(F.struct("pos", "article_id", "score", "fallback")).alias("list"))
+        return asked.join(lists, "customer_id", "left").select("customer_id", "segment", F.inline_outer("list")).select(
+            "customer_id", "pos", "article_id", "score", F.when(F.col("pos").isNotNull(), listed).otherwise(F.col("segment")).alias("segment"),
+            F.lit(strategy).alias("strategy"), F.coalesce("fallback", F.lit(True)).alias("fallback"))
+
+    return answered(active, a, ACTIVE, "cf_ranker").unionByName(answered(low, b, LOW_ACTIVITY, "enhanced_fallback"))
 
 
 def batch_recommend(recs: DataFrame, sampled: DataFrame) -> DataFrame:
