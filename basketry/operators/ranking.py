@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketry.functions.order import global_row_number, hash_key, top_k_list
 from basketry.functions.treemodel import SAVED_RANKER, TreeModel, tree_score
 from basketry.functions.windows import trailing_window
+from basketry.operators.boosting import Params, boost, successive_halving
 from basketry.operators.candidates import (
     cf_window, low_activity_candidates, merged_candidates, popularity_candidates,
 )
@@ -16,7 +17,7 @@ from basketry.operators.segments import ACTIVE, LOW_ACTIVITY
 
 FEATURES = ["purchase_count", "recency", "purchase_frequency_encoded", "popularity_rank", "sales_count"]
 ITEM_FEATURES = ["popularity_rank", "sales_count"]
-#: Most boosting rounds of a ranker, and the rounds without a lower validation loss that end its training.
+#: Most boosting rounds of a ranker, and the rounds without a better validation NDCG that end its training.
 ROUNDS, PATIENCE = 500, 30
 
 
@@ -108,95 +109,41 @@ def tree_model_score(ds: DataFrame, model: TreeModel = SAVED_RANKER) -> DataFram
     return score_with_model(rows, model).select("customer_id", "article_id", "score")
 
 
-def _assemble(df: DataFrame):
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(
-        df.select(*[F.col(c).cast("double").alias(c) if c in FEATURES else F.col(c) for c in df.columns]))
-
-
-def _positive_prob(pred: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    return pred.withColumn("score", vector_to_array(F.col("probability")).getItem(1))
-
-
-def _fit_gbt(data: DataFrame, max_iter: int, **params):
-    """Boosted trees learned from the training users: the rounds up to the least loss on the validation users,
-    found when PATIENCE more rounds, or ``max_iter`` in all, do not lower it. Without validation users all rounds.
-
-    Spark ML stops at the first rise, so the fit is repeated with twice the rounds (equal seeds grow equal
-    trees) until the least loss lies far enough back; that costs at most about twice the last fit."""
-    from pyspark.ml.classification import GBTClassifier
-    fit = lambda n: GBTClassifier(featuresCol="features", labelCol="label", maxIter=n, **params).fit(train)
-    train, val = (data.filter(F.col("split") == s).cache() for s in ("train", "val"))
-    try:
-        if val.isEmpty():
-            return fit(max_iter)
-        rounds = min(max_iter, 2 * PATIENCE)
-        while True:
-            model = fit(rounds)
-            loss = model.evaluateEachIteration(val)
-            best = 1 + min(range(len(loss)), key=loss.__getitem__)
-            if best + PATIENCE <= rounds or rounds == max_iter:
-                return model if best == rounds else fit(best)
-            rounds = min(max_iter, 2 * rounds)
-    finally:
-        train.unpersist(), val.unpersist()
-
-
-def train_ranker(ds: DataFrame, split: DataFrame, max_iter: int = ROUNDS, max_depth: int = 5, seed: int = 42,
-                 k_values: list[int] = [5, 10, 20]):
-    """Key 34: pointwise gradient-boosted trees (Spark ML) on the 5 features, stopped early on and evaluated
-    per user on the validation users with the ranking metrics. Returns (model, metrics DataFrame(model, metric, value))."""
-    from basketry.operators.metrics import evaluate_ranking
-    data = _assemble(ds.join(split, "customer_id"))
-    val = data.filter(F.col("split") == "val")
-    model = _fit_gbt(data, max_iter, maxDepth=max_depth, seed=seed, stepSize=0.1)
-    scored = _positive_prob(model.transform(val))
-    ev = evaluate_ranking(scored, k_values)
-    rows = ev.select(F.lit("gbt").alias("model"), F.concat("metric", F.lit("@"), F.col("k").cast("string")).alias("metric"),
-                     "value")
-    return model, rows
-
-
-def tune_ranker(ds: DataFrame, split: DataFrame, grid: dict | None = None, seed: int = 42) -> DataFrame:
-    """Key 35: grid search over GBT parameters on the same user split, scored by validation NDCG@10.
-
-    Each grid point is an ordinary distributed fit with early stopping (at most ROUNDS, or the point's own
-    ``maxIter``); the grid itself is a handful of parameter sets."""
-    from itertools import product
+def train_ranker(ds: DataFrame, split: DataFrame, max_iter: int = ROUNDS, max_depth: int = 4, k_values: list[int] = [5, 10, 20],
+                 objective: str = "pairwise", rate: float = 0.1) -> tuple[TreeModel, DataFrame]:
+    """Key 34: boosted trees on the 5 features with a pairwise (or pointwise) loss, stopped when PATIENCE rounds bring no
+    better NDCG@10 on the validation users. Returns the model and its metrics on those users (model, metric, value), beside
+    those of the popularity order. Without validation users all rounds are trained and the metrics are empty."""
+    booster = boost(ds, split, FEATURES, Params(objective=objective, rounds=max_iter, patience=PATIENCE, depth=max_depth, rate=rate))
+    model = booster.model()
+    val = ds.join(split.filter("split = 'val'").select("customer_id"), "customer_id", "left_semi")
+    return model, ranker_metrics(score_with_model(val, model), k_values, objective).unionByName(
+        ranker_metrics(val.withColumn("score", -F.coalesce(F.col("popularity_rank").cast("double"), F.lit(float("inf")))), k_values, "popularity"))
+
+
+def ranker_metrics(scored: DataFrame, k_values: list[int], name: str) -> DataFrame:
     from basketry.operators.metrics import evaluate_ranking
-    grid = grid or {"maxDepth": [3, 5], "stepSize": [0.05, 0.1]}
-    data = _assemble(ds.join(split, "customer_id")).cache()
-    val = data.filter(F.col("split") == "val")
-    out = None
-    keys = sorted(grid)
-    for values in product(*[grid[k] for k in keys]):
-        params = dict(zip(keys, values))
-        model = _fit_gbt(data, params.get("maxIter", ROUNDS), seed=seed,
-                         **{k: v for k, v in params.items() if k != "maxIter"})
-        ev = evaluate_ranking(_positive_prob(model.transform(val)), [10], ("ndcg",))
-        row = ev.select(F.lit(",".join(f"{k}={v}" for k, v in params.items())).alias("params"),
-                        F.col("value").alias("ndcg_10"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def feature_importance(model, feature_names: list[str] = FEATURES) -> DataFrame:
-    """Key 37: gain-based importance per feature of a trained Spark ML tree ensemble, with the number
-    of splits on each feature (read from the model's trees)."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    imp = model.featureImportances.toArray().tolist()
-    splits = {i: 0 for i in range(len(feature_names))}
-    for tree in model.trees:
-        stack = [tree._call_java("rootNode")]
-        while stack:
-            n = stack.pop()
-            if n.getClass().getSimpleName() == "InternalNode":
-                splits[n.split().featureIndex()] += 1
-                stack += [n.leftChild(), n.rightChild()]
-    rows = [(feature_names[i], float(imp[i]), int(splits[i])) for i in range(len(feature_names))]
-    return spark.createDataFrame(rows, "feature string, gain double, n_splits long")
+    return evaluate_ranking(scored, k_values).select(F.lit(name).alias("model"), F.concat("metric", F.lit("@"), F.col("k").cast("string")).alias("metric"), "value")
+
+
+def tune_ranker(ds: DataFrame, split: DataFrame, grid: dict | None = None, rounds: int = 10, objective: str = "pairwise") -> DataFrame:
+    """Key 35: successive halving over boosting parameters on the same user split, by validation NDCG@10.
+
+    Every point of the grid trains ``rounds`` rounds and the better half goes on; nothing is fitted twice. Columns: params,
+    ndcg_10 (at the point's best round), rounds (trained)."""
+    grid = grid or {"depth": [3, 5], "rate": [0.05, 0.1]}
+    points = successive_halving(ds, split, FEATURES, grid, rounds, Params(objective=objective, patience=PATIENCE))
+    rows = [(",".join(f"{k}={v}" for k, v in p.items()), b.best(), len(b.trees)) for p, b in points]
+    return ds.sparkSession.createDataFrame(rows, "params string, ndcg_10 double, rounds int")
+
+
+def feature_importance(nodes: DataFrame, feature_names: list[str] = FEATURES) -> DataFrame:
+    """Key 37: total gain and number of splits of each feature, from a model's node table; 0 for one without a split."""
+    splits = nodes.filter("tree >= 0 AND feature IS NOT NULL").groupBy("feature").agg(
+        F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("n_splits"))
+    names = nodes.sparkSession.createDataFrame([(f,) for f in feature_names], "feature string")
+    return names.join(F.broadcast(splits), "feature", "left").select(
+        "feature", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.coalesce("n_splits", F.lit(0)).cast("long").alias("n_splits"))
 
 
 # --------------------------------------------------------------------------- serving 38-40

@@ -14,7 +14,6 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check_oracle import compare, duck  # noqa: E402
 
 SF = os.environ.get("BASKETRY_ORACLE_SF", "/root/testdata/sf0.001")
-SLOW = {"train_ranker", "tune_ranker", "feature_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +23,6 @@ def con():
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, key):
-    if key in SLOW and not os.environ.get("BASKETRY_SLOW"):
-        pytest.skip("model training: set BASKETRY_SLOW=1")
     sdf = E.queries()[key](spark, SF).toPandas()
     sql = E.oracle_sql().get(key)
     if sql is None:
