@@ -118,19 +118,25 @@ def validate_recommendations(recs: DataFrame, min_items: int = 1, max_items: int
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Key 76: per column its type, distinct count, NULL count, min and max (as strings)."""
+    """Key 76: per column its type, distinct count, NULL count, min and max (as strings).
+
+    Distinct values are counted as (column, value) pairs that each task puts together first, so a row is not repeated
+    for every column with all its other columns, and no column's values meet in one task."""
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    aggs = []
+    aggs, values = [], []
     for i, f in enumerate(fields):
-        c = F.col(f.name)
-        aggs += [F.countDistinct(c).alias(f"_u{i}"), F.count(F.when(c.isNull(), 1)).alias(f"_z{i}"),
-                 F.min(c).cast("string").alias(f"_mn{i}"), F.max(c).cast("string").alias(f"_mx{i}")]
-    a = df.agg(*aggs)
-    rows = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
-                     F.col(f"_u{i}").alias("n_unique"), F.col(f"_z{i}").alias("nulls"),
-                     F.col(f"_mn{i}").alias("min_value"), F.col(f"_mx{i}").alias("max_value"))
+        c = F.col(f"`{f.name}`")
+        aggs += [F.count(F.when(c.isNull(), 1)).alias(f"_z{i}"), F.min(c).cast("string").alias(f"_mn{i}"), F.max(c).cast("string").alias(f"_mx{i}")]
+        # one text per value: both zeros of a float are one
+        text = (c + F.lit(0.0).cast(f.dataType)) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
+        values.append(F.struct(F.lit(i).alias("i"), text.cast("string").alias("v")))
+    pairs = df.select(F.inline(F.array(*values))).filter("v IS NOT NULL").groupBy("i", "v").agg(F.lit(1).alias("one"))
+    distinct = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n_unique"))
+    rows = [F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                     F.col(f"_z{i}").alias("nulls"), F.col(f"_mn{i}").alias("min_value"), F.col(f"_mx{i}").alias("max_value"))
             for i, f in enumerate(fields)]
-    return a.select(F.inline(F.array(*rows)))
+    return df.agg(*aggs).select(F.inline(F.array(*rows))).join(distinct, "i", "left").select(
+        "column_name", "data_type", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"), "nulls", "min_value", "max_value")
 
 
 def sparse_users(tx: DataFrame, articles: DataFrame, min_count: int = 2, max_count: int = 10,

@@ -1,5 +1,5 @@
 from basketry.sources.tables import (  # noqa: F401
-    Tables, load_tables, tx_from_tpch, articles_from_tpch, customers_from_tpch,
+    RetailTables, Tables, load_catalog, load_files, load_tables, save_catalog, tx_from_tpch, articles_from_tpch, customers_from_tpch,
     exposures_from_events, read_transactions_csv, read_articles_csv,
     read_customers_csv,
 )

@@ -227,5 +227,57 @@ class Tables:
         return self.raw("conversations").select("conv_id", "turn", "text")
 
 
+@dataclass
+class RetailTables(Tables):
+    """The same inputs from a retailer's own tables; ``sources`` has the DataFrames tx, articles and customers.
+
+    What needs an event stream or replies (``raw``) has no source here and raises KeyError."""
+
+    sources: dict = field(default_factory=dict)
+
+    def raw(self, name: str) -> DataFrame:
+        raise KeyError(f"these tables have no {name}")
+
+    @property
+    def tx(self) -> DataFrame:
+        return self.sources["tx"]
+
+    @property
+    def articles(self) -> DataFrame:
+        return self.sources["articles"]
+
+    @property
+    def customers(self) -> DataFrame:
+        return self.sources["customers"]
+
+
+def load_files(spark: SparkSession, root: str, transactions: str, articles: str, customers: str, fmt: str = "csv") -> RetailTables:
+    """Tables from the three files (or folders) under ``root``, CSV with a header or Parquet."""
+    root = root.rstrip("/")
+    return RetailTables(spark, root, sources={"tx": read_transactions_csv(spark, f"{root}/{transactions}", fmt),
+                                              "articles": read_articles_csv(spark, f"{root}/{articles}", fmt),
+                                              "customers": read_customers_csv(spark, f"{root}/{customers}", fmt)})
+
+
+def load_catalog(spark: SparkSession, database: str, transactions: str = "transactions", articles: str = "articles",
+                 customers: str = "customers") -> RetailTables:
+    """Tables of the session's catalog. Nothing derived is written: the catalog's tables may change under the same name."""
+    def read(name: str, schema: T.StructType) -> DataFrame:
+        return spark.table(f"{database}.{name}").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    return RetailTables(spark, database, materialize=False, sources={
+        "tx": read(transactions, TX_SCHEMA).select("customer_id", "article_id", "t_dat", "price"),
+        "articles": read(articles, ARTICLES_SCHEMA), "customers": read(customers, CUSTOMERS_SCHEMA)})
+
+
+def save_catalog(t: Tables, database: str, buckets: int = 64) -> None:
+    """Write the three tables to the catalog; transactions and customers in ``buckets`` by customer, so that joins and groups
+    on the customer need no shuffle. Choose ``buckets`` so that one holds a task's share of the rows."""
+    by_customer = lambda df: df.write.bucketBy(int(buckets), "customer_id").sortBy("customer_id")
+    by_customer(t.tx).mode("overwrite").saveAsTable(f"{database}.transactions")
+    by_customer(t.customers).mode("overwrite").saveAsTable(f"{database}.customers")
+    t.articles.write.mode("overwrite").saveAsTable(f"{database}.articles")
+
+
 def load_tables(spark: SparkSession, root: str, materialize: bool = True) -> Tables:
     return Tables(spark, root.rstrip("/"), materialize=materialize)
