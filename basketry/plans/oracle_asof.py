@@ -4,17 +4,17 @@ and with each user's distance to every item of the catalogue in place of a run."
 
 def end_cte(label_days: int) -> str:
     return f"""
-asof AS (SELECT max(t_dat) - {int(label_days)} AS d FROM tx)"""
+feature_end AS (SELECT max(t_dat) - {int(label_days)} AS d FROM tx)"""
 
 
 def user_cte(lookback: int, name: str = "ufa") -> str:
     return f"""
 {name} AS (
   SELECT customer_id, CAST(count(*) AS BIGINT) AS purchase_count, CAST(len(list(DISTINCT article_id)) AS BIGINT) AS unique_items,
-         round(sum(price) / count(*), 2) AS avg_price, CAST((SELECT d FROM asof) - max(t_dat) AS BIGINT) AS recency,
+         round(sum(price) / count(*), 2) AS avg_price, CAST((SELECT d FROM feature_end) - max(t_dat) AS BIGINT) AS recency,
          ['low', 'medium', 'high'][1 + (count(*) >= 5)::INT + (count(*) >= 10)::INT] AS purchase_frequency,
          max(t_dat) AS last_purchase_date, min(t_dat) AS first_purchase_date
-  FROM tx, asof WHERE t_dat BETWEEN d - {int(lookback)} AND d GROUP BY customer_id)"""
+  FROM tx, feature_end WHERE t_dat BETWEEN d - {int(lookback)} AND d GROUP BY customer_id)"""
 
 
 def item_cte(lookback: int, name: str = "ifa") -> str:
@@ -23,7 +23,7 @@ def item_cte(lookback: int, name: str = "ifa") -> str:
   SELECT article_id, prod_name, CAST(row_number() OVER (ORDER BY n DESC, article_id) AS BIGINT) AS popularity_rank,
          CAST(n AS BIGINT) AS sales_count, CAST(u AS BIGINT) AS unique_customers, round(s / n, 2) AS avg_price, last_sold_date
   FROM (SELECT article_id, count(*) AS n, len(list(DISTINCT customer_id)) AS u, sum(price) AS s, max(t_dat) AS last_sold_date
-        FROM tx, asof WHERE t_dat BETWEEN d - {int(lookback)} AND d GROUP BY article_id) JOIN articles USING (article_id))"""
+        FROM tx, feature_end WHERE t_dat BETWEEN d - {int(lookback)} AND d GROUP BY article_id) JOIN articles USING (article_id))"""
 
 
 def negatives_cte(users: str, n: int, window: int, seed: int, name: str = "cneg") -> str:
