@@ -1,12 +1,16 @@
-"""Quality rules whose cutoffs come with a bound on false rejection.
-
-Every rule maps a document to a bin; documents at or above a cutoff bin are rejected. Labelled good
-documents are the holdout: per stratum and rule, cutoffs are tested from the most lenient on with the
-exact binomial test of "more than ``risk / rules`` of the good documents go" (a Clopper-Pearson upper
-bound) until one fails. Fixed-sequence testing needs no correction inside a rule; over rules and
-strata the level is divided (Bonferroni), so with probability ``1 - delta`` no stratum loses more than
-``risk`` of its good documents to all rules together. Among the cutoffs that passed, the one is taken
-that rejects the most labelled bad documents, weighed against the good ones it costs.
+"""Quality rules whose cutoff comes with a bound on false rejection.
+
+Every rule maps a document to a bin. A quarter of the labelled good documents tells how rare each bin and those above it are
+among good ones; a document's risk level is that of its rarest rule. The other labelled documents are the holdout: per
+stratum, cutoffs on the level are tested from the most lenient on with the exact binomial test of "more than ``risk`` of
+the good documents go" (a Clopper-Pearson upper bound) until one fails. Fixed-sequence testing needs no correction inside
+a stratum; over strata the error level is divided (Bonferroni), so with probability ``1 - delta`` no stratum loses more than
+``risk`` of its good documents. Among the cutoffs that passed, the one is taken that rejects the most labelled bad
+documents, weighed against the good ones it costs.
+
+A test can only pass with enough good documents (``least_holdout``: 228 at a risk of 0.02, a delta of 0.05 and five
+tests). Strata with fewer, or without labels, use the cutoff of all strata together, whose bound holds for the whole
+table, not for each of them.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import stored, utf8
+from basketry.llm.common import fold, stored, utf8
 
 BINS, MAX_STRATA, RISK, DELTA, COST = 200, 256, 0.02, 0.05, 10.0
+#: One in so many labelled documents tells how rare a bin is; levels of risk per power of ten.
+LEARN, SCALE = 4, 40
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b"\x20\t\n\x0b\x0c\r"
 _CONT = bytes(range(0x80, 0xC0))
@@ -121,47 +127,72 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: float,
     return best[1]
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, int]]:
-    """Per stratum the cutoff of each rule, from all labelled rows that pass the base rules.
+def least_holdout(risk: float, delta: float) -> int:
+    """Good documents below which no cutoff can pass, not even one that none of them reaches."""
+    return math.ceil(math.log(delta) / math.log1p(-risk))
 
-    ``rows`` are ``text_counts``; ``labels`` (id, good: 1 or 0, null ignored; of several labels the
-    smallest counts). The MAX_STRATA strata with most good labels have cutoffs of their own, all others
-    share those of the pooled stratum ``*``. Only counts per bin reach the driver, bounded by strata x
-    rules x bins.
+
+class Verdicts:
+    """Levels of every rule's bins, and the cutoff level of each stratum (``*``: all others)."""
+
+    def __init__(self, levels: dict[str, list[int]], cut: dict[str, int]):
+        self.levels, self.cut = levels, cut
+
+    def level(self) -> Column:
+        return F.greatest(*[F.element_at(F.array(*map(F.lit, self.levels[k])), b + 1) for k, b in rule_bins().items()])
+
+    def passed(self) -> Column:
+        known = F.create_map(*[F.lit(x) for sc in self.cut.items() for x in sc])
+        return self.level() < F.coalesce(known[F.col("stratum")], known[F.lit("*")])
+
+
+def rule_levels(good: np.ndarray) -> list[int]:
+    """A level for each bin from counts of good documents per bin: SCALE times the decimal logarithm of how rare it is that a
+    good document has this bin or a worse one (one more document is thought to have each)."""
+    share = (good[::-1].cumsum()[::-1] + 1) / (good.sum() + 1)
+    return np.minimum(BINS, np.floor(-SCALE * np.log10(share) + 1e-9)).astype(int).tolist()
+
+
+def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> Verdicts:
+    """Levels and cutoffs from all labelled rows that pass the base rules.
+
+    ``rows`` are ``text_counts``; ``labels`` (id, good: 1 or 0, null ignored; of several labels the smallest counts). Of the
+    strata that have ``least_holdout`` good documents or more, the MAX_STRATA largest have cutoffs of their own. Only counts
+    per bin reach the driver: rules x bins, and bins for the strata that can pass.
     """
     one = labels.filter("id IS NOT NULL AND good IS NOT NULL").groupBy("id").agg(F.min("good").alias("good"))
+    held = stored(rows.filter(~base_failed()).join(one, "id").withColumn("learn", fold("id", LEARN) == 0), "holdout")
     bins = rule_bins()
-    held = rows.filter(~base_failed()).join(one, "id").select(
-        "stratum", "good", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("bin")) for k, v in bins.items()])).alias("x"))
-    hist = held.groupBy("stratum", "x.rule", "x.bin").agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("g"),
-                                                        F.sum(F.when(F.col("good") == 0, 1).otherwise(0)).alias("b"))
-    hist = stored(hist, "holdout")
-    top = [r[0] for r in hist.groupBy("stratum").agg(F.sum("g").alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA).collect()]
-    pooled = F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise("*") if top else F.lit("*")
-    table: dict[tuple[str, str], np.ndarray] = {}
-    for s, rule, b, g, bad in hist.groupBy(pooled.alias("s"), "rule", "bin").agg(F.sum("g"), F.sum("b")).collect():
-        t = table.setdefault((s, rule), np.zeros((2, BINS + 1), np.int64))
-        t[:, b] += (g, bad)
-    strata = sorted({s for s, _ in table} | {"*"})
-    tests = len(strata) * len(bins)
-    none = np.zeros((2, BINS + 1), np.int64)
-    return {s: {k: choose_cutoff(*table.get((s, k), none), risk / len(bins), delta / tests) for k in bins} for s in strata}
+    learn = held.filter(F.col("learn") & (F.col("good") == 1)).select(
+        F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("bin")) for k, v in bins.items()])).alias("x"))
+    table = {k: np.zeros(BINS + 1, np.int64) for k in bins}
+    for rule, b, n in learn.groupBy("x.rule", "x.bin").count().collect():
+        table[rule][b] = n
+    out = Verdicts({k: rule_levels(v) for k, v in table.items()}, {})
+    good, bad = (F.sum(F.when(F.col("good") == g, 1).otherwise(0)) for g in (1, 0))
+    hist = stored(held.filter("NOT learn").groupBy("stratum", out.level().alias("level")).agg(good.alias("g"), bad.alias("b")), "levels")
+    sizes = hist.groupBy("stratum").agg(F.sum("g").alias("n")).filter(F.col("n") >= least_holdout(risk, delta / 2)).orderBy(
+        F.desc("n"), "stratum").limit(MAX_STRATA).collect()
+    # as many strata as can pass when the error level is shared by them and the whole
+    own = max((i for i in range(len(sizes) + 1) if i == 0 or sizes[i - 1]["n"] >= least_holdout(risk, delta / (i + 1))), default=0)
+    names = [r["stratum"] for r in sizes[:own]]
+    hists = {s: np.zeros((2, BINS + 1), np.int64) for s in [*names, "*"]}
+    for level, g, b in hist.groupBy("level").agg(F.sum("g"), F.sum("b")).collect():
+        hists["*"][:, level] = g, b
+    for s, level, g, b in hist.filter(F.col("stratum").isin(names) if names else F.lit(False)).collect():
+        hists[s][:, level] = g, b
+    out.cut = {s: choose_cutoff(*h, risk, delta / len(hists)) for s, h in hists.items()}
+    return out
 
 
 def quality_verdicts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, risk: float = RISK,
                      delta: float = DELTA) -> DataFrame:
-    """One row per row of ``df``: id, the counts, base_failed, kept.
+    """One row per row of ``df``: id, stratum, the counts, base_failed, kept.
 
     A null or empty text has no words and fails the base rules; a null id is kept as it is and has no
     label; repeated rows are judged alike; without labels only the base rules reject; an empty table gives
     no rows; other columns are ignored.
     """
     rows = stored(text_counts(df, id_col, text_col, stratum_col), "quality-counts")
-    cut = cutoffs(rows, labels, risk, delta)
-    bins = rule_bins()
-    known = F.create_map(*[F.lit(x) for s in cut for x in (s, "|".join(str(cut[s][k]) for k in bins))])
-    marked = rows.withColumn("cuts", F.split(F.coalesce(known[F.col("stratum")], known[F.lit("*")]), r"\|"))
-    passed = F.lit(True)
-    for i, b in enumerate(bins.values()):
-        passed = passed & (b < F.col("cuts")[i].cast("int"))
-    return marked.select("id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & passed).alias("kept"))
+    passed = cutoffs(rows, labels, risk, delta).passed()
+    return rows.select("id", "stratum", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & passed).alias("kept"))

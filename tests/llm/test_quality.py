@@ -74,8 +74,63 @@ def test_query_against_plain(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in op10_quality_rules(spark, sf).collect():
-        if len(texts[r.doc_id] or "") > 20_000:
-            continue  # the plain count is quadratic
         n, chars, sym, dup, rep = plain(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, sym, dup, rep)
         assert r.base_failed == (n < 50 or 100 * rep > 50 * n) and not (r.kept and r.base_failed)
+
+
+def plain_verdicts(rows, labels, risk=quality.RISK, delta=quality.DELTA):
+    """Kept documents by plain code, from rows (id, stratum, counts) and one label per id."""
+    import zlib
+    from math import comb, floor, log10
+
+    def bins(c):
+        w, ch = max(1, c["n_words"]), max(1, c["word_chars"])
+        m = c["word_chars"] / w
+        x = [m / 50.0, max(0.0, 1 - m / 10.0), c["n_symbols"] / w, c["n_upper"] / ch, c["n_marks"] / ch, c["n_dup_lines"] / max(1, c["n_lines"]), c["n_repeat_words"] / w]
+        return [min(200, floor(v * 200)) for v in x]
+
+    failed = lambda c: c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+    held = [(i, s, bins(c), labels[i]) for i, s, c in rows if not failed(c) and labels.get(i) is not None]
+    learn = [b for i, _, b, good in held if good and zlib.crc32(str(i).encode()) % 4 == 0]
+    rare = [[(1 + sum(b[k] >= v for b in learn)) / (1 + len(learn)) for v in range(201)] for k in range(7)]
+    level = lambda b: max(min(200, floor(-40 * log10(rare[k][b[k]]) + 1e-9)) for k in range(7))
+    test = [(s, level(b), good) for i, s, b, good in held if zlib.crc32(str(i).encode()) % 4]
+    n_good = {s: sum(g for t, _, g in test if t == s) for s in {s for s, _, _ in test}}
+    need = lambda d: next(n for n in range(1, 10_000) if (1 - risk) ** n <= d)
+    order = sorted(n_good, key=lambda s: (-n_good[s], s))
+    own = max([0, *(i for i in range(1, len(order) + 1) if n_good[order[i - 1]] >= need(delta / (i + 1)))])
+    cut = {}
+    for name in [*order[:own], "*"]:
+        part = [(v, g) for s, v, g in test if name in ("*", s)]
+        n, n_bad, best = sum(g for _, g in part), max(1, sum(1 - g for _, g in part)), (0.0, 201)
+        for c in range(200, -1, -1):
+            lost = sum(g for v, g in part if v >= c)
+            if not n or lost > risk * n or sum(comb(n, j) * risk ** j * (1 - risk) ** (n - j) for j in range(lost + 1)) > delta / (own + 1):
+                break
+            best = max(best, (sum(1 - g for v, g in part if v >= c) / n_bad - 10 * lost / n, c))
+        cut[name] = best[1]
+    return cut, {i: not failed(c) and level(bins(c)) < cut.get(s, cut["*"]) for i, s, c in rows}
+
+
+def test_the_method_rejects_and_equals_plain_cutoffs(spark):
+    """On the test tables bad documents go that the base rules keep; cutoffs, verdicts and the holdout bound by plain code."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id AS id", "quality AS good")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = quality.quality_verdicts(docs, labels, "doc_id", "text", "lang").collect()
+    known = {r.id: r.good for r in labels.collect()}
+    cut, kept = plain_verdicts([(r.id, r.stratum, r.asDict()) for r in got], known)
+    assert {r.id: r.kept for r in got} == kept and len(cut) > 2
+    gone = [r for r in got if not r.base_failed and not r.kept]
+    assert len(gone) > 100
+    for s in [s for s in cut if s != "*"]:
+        good = [r.kept for r in got if r.stratum == s and not r.base_failed and known.get(r.id) == 1]
+        assert good.count(False) <= quality.RISK * len(good)
+
+
+def test_least_holdout():
+    for risk, delta in ((0.02, 0.01), (0.05, 0.1), (0.5, 0.001)):
+        n = quality.least_holdout(risk, delta)
+        assert quality.binomial_tail(0, n, risk) <= delta < quality.binomial_tail(0, n - 1, risk)
+    assert quality.least_holdout(0.02, 0.01) == 228
