@@ -103,3 +103,36 @@ def test_session_time_zone_does_not_change_results(spark, key):
         res.append(sorted(tuple(str(v) for v in r) for r in E.queries()[key](spark, SF).collect()))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert res[0] == res[1]
+
+
+def test_serving_reads_the_matrix_once_and_never_shuffles_lists_by_item(spark):
+    from basketry.operators.ranking import rerank_topk
+    from basketry.operators.candidates import merged_candidates
+    from basketry.plans import registry as R
+    t = R.load_tables(spark, SF)
+    p = E.queries()["recommend"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("seed_item#") and sum("Relation [seed_item" in x for x in p.splitlines()) == 1
+    cands = merged_candidates(t.customers.select("customer_id"), R._cfw(t), R._itf(t), total_k=50, cooc=R._cooc(t), carry=("popularity_rank", "sales_count"))
+    # with the features carried in the lists, reranking joins users only
+    lines = plan(rerank_topk(cands, R._uf(t), R._itf(t))).splitlines()
+    top = next(i for i, x in enumerate(lines) if "Generate inline" in x)
+    assert not any("hashpartitioning(article_id" in x for x in lines[:top])
+
+
+def test_negatives_cost_no_more_than_the_pools_length(spark):
+    """Ten times the pool takes nothing like a hundred times as long."""
+    import time
+
+    from basketry.operators.ranking import ranking_negatives
+    users = spark.range(300).select(F.col("id").cast("string").alias("customer_id"))
+    tx = users.crossJoin(spark.range(30).select((F.col("id") * 7).cast("string").alias("article_id"))).withColumn("t_dat", F.to_date(F.lit("2024-01-01")))
+
+    def seconds(pool):
+        itf = spark.range(pool).select(F.col("id").cast("string").alias("article_id"), (F.col("id") + 1).alias("popularity_rank")).cache()
+        run = lambda: ranking_negatives(tx, users, itf, popularity_pool=pool).write.format("noop").mode("overwrite").save()
+        run()
+        t0 = time.time()
+        run()
+        return time.time() - t0
+
+    assert seconds(10_000) < 40 * max(seconds(1000), 0.25)
