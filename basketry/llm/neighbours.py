@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import stored
 
 #: Vectors that shape the partitions; vectors a part aims at; most parts; vectors of one rerank task.
-SAMPLE, PART, MAX_PARTS, CHUNK = 5000, 1500, 256, 20_000
+SAMPLE, PART, MAX_PARTS, CHUNK, QUERIES = 5000, 1500, 256, 20_000, 4096
 #: Neighbours in the graph and the recall asked for on the sample.
 GRAPH_K, TARGET = 10, 0.96
 
@@ -213,9 +213,13 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t.tolist() for t in to], pa.list_(pa.int32()))], ["id", "v", "to"])
 
     points = points.withColumn("salt", F.pmod(F.xxhash64("v"), salts[F.col("part")]).cast("int"))
-    asked = queries.select("id", "v").mapInArrow(route, "id long, v array<double>, to array<int>").select(
-        "id", "v", F.explode("to").alias("part"))
+    asked = stored(queries.select("id", "v").mapInArrow(route, "id long, v array<double>, to array<int>"), "routed")
+    # both sides of a group are bounded: a chunk of a part's vectors meets the part's queries block by block
+    load = {r["part"]: r["count"] for r in asked.select(F.explode("to").alias("part")).groupBy("part").count().collect()}
+    blocks = F.array(*[F.lit(-(-load.get(p, 0) // QUERIES)) for p in range(model.parts)])
+    asked = asked.select("id", "v", F.explode("to").alias("part")).withColumn("block", F.pmod(F.xxhash64("id"), blocks[F.col("part")]).cast("int"))
     asked = asked.withColumn("salt", F.explode(F.when(salts[F.col("part")] > 0, F.sequence(F.lit(0), salts[F.col("part")] - 1))))
+    points = points.filter(blocks[F.col("part")] > 0).withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)))
 
     def rerank(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -229,7 +233,7 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int =
                 out += [(qid, i2, s) for s, i2 in got[:k]]
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
-    found = asked.groupBy("part", "salt").cogroup(points.groupBy("part", "salt")).applyInPandas(
+    found = asked.groupBy("part", "salt", "block").cogroup(points.groupBy("part", "salt", "block")).applyInPandas(
         rerank, "query_id long, id long, score double")
     # an id may have several vectors, and a query's probes never share a vector
     w = Window.partitionBy("query_id").orderBy("score", "id")

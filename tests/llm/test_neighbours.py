@@ -42,6 +42,7 @@ def test_balanced_parts_follow_the_graph():
 @pytest.mark.parametrize("chunk", [20_000, 300])
 def test_recall_and_scores(spark, monkeypatch, chunk):
     monkeypatch.setattr(neighbours, "CHUNK", chunk)
+    monkeypatch.setattr(neighbours, "QUERIES", 1000 if chunk > 300 else 50)
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(10, 24)) * 0.6
     x = (centre[rng.integers(0, 10, 8000)] + rng.normal(size=(8000, 24))).astype(np.float32)
