@@ -14,15 +14,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import utf8
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
-#: Bounds of the training sample: rows in all, rows a language, languages (the most frequent).
-SAMPLE_ROWS, PER_LANGUAGE, MAX_LANGUAGES = 4000, 600, 200
+#: Bounds of the training sample: rows in all and rows a language; every language has one at least.
+SAMPLE_ROWS, PER_LANGUAGE = 4000, 600
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
@@ -133,11 +133,12 @@ def fit(df: DataFrame, text_col: str, lang_col: str, order: Column) -> LanguageM
     """Learn from a bounded sample of the labelled rows of ``df``; None without any.
 
     ``order`` is a pseudo-random long that picks the sample: rows under a share of its range, then the
-    first by it. Bounds: SAMPLE_ROWS, PER_LANGUAGE, MAX_LANGUAGES.
+    first by it. SAMPLE_ROWS, dealt evenly, and PER_LANGUAGE bound the sample, but every language with a labelled text that
+    has a letter is learned, from one text at least; more languages make more families, not larger ones.
     """
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         utf8(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), order.alias("o"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return None
     per = max(1, min(PER_LANGUAGE, SAMPLE_ROWS // len(sizes)))
@@ -154,7 +155,10 @@ def fit(df: DataFrame, text_col: str, lang_col: str, order: Column) -> LanguageM
 
     got = picked.mapInArrow(vectors, "x binary, lang string, o long").filter("x IS NOT NULL")
     sample: dict[str, list] = {}
-    for r in got.orderBy("o", "lang").limit(2 * SAMPLE_ROWS).toLocalIterator():
+    # the shares make this about 2 * per rows a language; the window keeps just ``per`` of each
+    w = Window.partitionBy("lang").orderBy("o", "x")
+    first = got.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per).drop("r")
+    for r in first.orderBy("o", "lang").toLocalIterator():
         if len(sample.setdefault(r["lang"], [])) < per:
             sample[r["lang"]].append(np.frombuffer(r["x"], np.float16))
     if not sample:

@@ -78,3 +78,29 @@ def test_a_guess_has_half_for_any_number_of_classes():
         p = langid.Pairwise(x[:k], np.arange(k), k)
         p.w[:], p.b[:] = 0, 0
         assert np.allclose(p.choose(x)[1], 0.5)
+
+
+def test_more_languages_than_a_sample_has_shares(spark, docs, monkeypatch):
+    """Each of 230 languages is learned, though the sample allows a few texts of each."""
+    texts = many_languages(230, docs_each=4)
+    df = docs([(i, t, lang, "s") for i, (lang, t) in enumerate(texts)])
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 500)
+    model = langid.fit(df, "text", "lang", F.xxhash64("doc_id"))
+    assert model.names == sorted({lang for lang, _ in texts}) and len(model.names) == 230
+    got = langid.with_language(df, "text", model, "p").select("lang", "p.lang").collect()
+    assert sum(a == b for a, b in got) > 0.9 * len(got)
+
+
+def test_query_against_plain_scoring(spark):
+    """The query's predictions are those of the model applied to each text alone, in plain code."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(rows.filter(langid.F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "text", "lang", F.xxhash64("doc_id", F.lit(3)))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op7_language_id(spark, sf).collect()}
+    for r in rows.collect():
+        raw = (r.text or "").encode()
+        if not any(c.isalpha() for c in (r.text or "")):
+            assert got[r.doc_id] == ("und", 0.0)
+        else:
+            lang, score = model.predict(np.array([langid.features(raw)]))
+            assert got[r.doc_id][0] == lang[0] and abs(got[r.doc_id][1] - score[0]) < 1e-5
