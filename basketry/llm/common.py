@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +56,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def with_row(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name`` that tells all its rows apart and stays the same however often ``df`` is read.
+
+    A table read from files has its rows' places there (file and row in it); anything else is numbered and written once."""
+    if "_metadata" not in df.columns:
+        try:
+            return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        except AnalysisException:
+            pass
+    return stored(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), "numbered")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.order import global_row_number, hash_key
-from basketry.llm.common import WORD_RE, fresh, stored
+from basketry.llm.common import WORD_RE, fresh, stored, with_row
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2.0, 7
 
@@ -81,12 +81,12 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIG
         cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself: every row of ``df`` as often as ``systematic_copies`` says, with its columns.
 
-    Nulls, repeated rows and empty tables are treated as there; any column names are allowed. The rows are written
-    once with a row number, by which they meet their copies: no key is shared by two rows, so copies of a text
-    stay spread over the tasks."""
+    Nulls, repeated rows and empty tables are treated as there; any column names are allowed. Rows meet their copies by
+    their places in the table: no key is shared by two rows, so copies of a text stay spread over the tasks, and a text
+    is shuffled once and never sorted."""
     row, of, copies, n = fresh(df, "row", "of", "copies", "copy")
-    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    per = systematic_copies(numbered, id_col, text_col, source_col, weights, share, cap, seed, row)
-    per = stored(per.filter("copies > 0").select(F.col("row").alias(of), F.col("copies").alias(copies)), "copies")
-    j = numbered.join(per, F.col(row) == F.col(of))
+    placed = with_row(df, row)
+    per = systematic_copies(placed, id_col, text_col, source_col, weights, share, cap, seed, row)
+    per = per.filter("copies > 0").select(F.col("row").alias(of), F.col("copies").alias(copies))
+    j = placed.join(per.hint("shuffle_hash"), F.col(row) == F.col(of))
     return j.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*df.columns)

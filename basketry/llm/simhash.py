@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import fresh, stored, utf8
+from basketry.llm.common import fresh, stored, utf8, with_row
 from basketry.llm.components import connected_components
 
 #: Fingerprints a shard aims at; rows of a shard beyond CHUNK are dealt to a grid of tasks.
@@ -261,16 +261,16 @@ def keep_one(df: DataFrame, id_col: str, text_col: str, k: int = 4, max_bits: in
     """The rows of ``df`` with one row of each near-duplicate group: that with the smallest id
     (null ids last; of equal ids the text with the smallest xxhash64; of equal rows any one).
 
-    Null and empty texts are one group; an empty table gives no rows. Texts are written once with a row number and
-    its fingerprint; groups and their keepers are chosen on narrow rows, and the texts meet only the keepers' numbers.
+    Null and empty texts are one group; an empty table gives no rows. Groups and their keepers are chosen on narrow
+    rows with the places of their texts; the texts then meet the keepers' places alone, in one shuffle.
     """
-    fp, row, order = fresh(df, "fp", "row", "order")
-    marked = stored(with_fingerprint(df, text_col, fp, k).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    fp, row, of = fresh(df, "fp", "row", "of")
+    placed = with_row(df, row)
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col(row))
-    reps = stored(marked.select(F.col(fp).alias("fp"), rank.alias("rank"), F.col(row).alias("row")).groupBy("fp").agg(
-        F.min("rank").alias("rank"), F.min_by("row", "rank").alias("row")), "representatives")
+    narrow = stored(with_fingerprint(placed, text_col, fp, k).select(F.col(fp).alias("fp"), rank.alias("rank")), "fingerprints")
+    reps = stored(narrow.groupBy("fp").agg(F.min("rank").alias("rank")), "representatives")
     linked = stored(reps.join(fingerprint_components(reps.select("fp"), max_bits), "fp"), "linked")
-    keepers = linked.groupBy("comp").agg(F.min_by("row", "rank").alias("row")).select("row")
-    alone = reps.join(linked.select("fp"), "fp", "left_anti").select("row")
-    kept = alone.unionAll(keepers).select(F.col("row").alias(order))
-    return marked.join(kept, F.col(row) == F.col(order), "left_semi").select(*df.columns)
+    alone = reps.join(linked.select("fp"), "fp", "left_anti").select("rank")
+    kept = alone.unionAll(linked.groupBy("comp").agg(F.min("rank").alias("rank")).select("rank"))
+    kept = kept.select(F.col(f"rank.{row}").alias(of))
+    return placed.join(kept.hint("shuffle_hash"), F.col(row) == F.col(of), "left_semi").select(*df.columns)
