@@ -56,11 +56,16 @@ class Search:
         # a bound from the rows alone: deletions due, truncated rows, and two for each of the most disjoint pairs of
         # neighbours that may not follow each other, as such a pair takes an insert, a new role or a deletion
         self.low = [0] * (len(items) + 1)
+        # the cost of deleting all rows, and whether a row could follow the beginning as s: no edit leads back to the
+        # states before the first u
+        self.gone, self.opener = [0] * (len(items) + 1), [False] * (len(items) + 1)
         due = pairs = pairs_after = 0
         after = None
         for i in range(len(items) - 1, -1, -1):
             forced, initial, extra = items[i]
             due += DELETE * forced + extra
+            self.gone[i] = self.gone[i + 1] + DELETE * (forced or 1)
+            self.opener[i] = self.opener[i + 1] or initial == "s"
             if not forced:
                 clash = after is not None and (initial, after) not in LEGAL
                 pairs, pairs_after = max(pairs, pairs_after + clash), pairs
@@ -68,7 +73,16 @@ class Search:
             self.low[i] = due + 2 * pairs
 
     def least(self, i: int, state: int, inserts: int) -> int:
-        return self.need.get((i, state, inserts), self.low[i])
+        known = self.need.get((i, state, inserts))
+        if known is not None:
+            return known
+        if max(self.goals) > 1:
+            return self.low[i]
+        if state > max(self.goals):
+            return INF
+        if state in self.goals:
+            return self.gone[i]
+        return self.gone[i] - DELETE if self.opener[i] else INF
 
     def edits(self, i: int, state: int, inserts: int) -> Iterator[tuple[str, int, int, int, int]]:
         """(letters, cost, node) in ASCII order. Deletions come before inserts, which costs the same and is less;
