@@ -182,7 +182,12 @@ def save_model(spark: SparkSession, model: TreeModel, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> TreeModel:
     """The model of a node table written by ``save_model``; it scores exactly as before."""
-    rows = spark.read.schema(NODES).parquet(path).collect()
+    return nodes_model(spark.read.schema(NODES).parquet(path))
+
+
+def nodes_model(nodes: DataFrame) -> TreeModel:
+    """The model of a node table, whose size is the model's."""
+    rows = nodes.collect()
     names = [r["feature"] for r in sorted((r for r in rows if r["tree"] < 0), key=lambda r: r["node"])]
     trees: dict[int, list] = {}
     for r in rows:

@@ -116,8 +116,13 @@ def train_ranker(ds: DataFrame, split: DataFrame, max_iter: int = ROUNDS, max_de
     those of the popularity order. Without validation users all rounds are trained and the metrics are empty."""
     booster = boost(ds, split, FEATURES, Params(objective=objective, rounds=max_iter, patience=PATIENCE, depth=max_depth, rate=rate))
     model = booster.model()
+    return model, ranker_report(model, ds, split, k_values, objective)
+
+
+def ranker_report(model: TreeModel, ds: DataFrame, split: DataFrame, k_values: list[int] = [5, 10, 20], name: str = "pairwise") -> DataFrame:
+    """A ranker's metrics on the validation users beside those of the popularity order: model, metric, value."""
     val = ds.join(split.filter("split = 'val'").select("customer_id"), "customer_id", "left_semi")
-    return model, ranker_metrics(score_with_model(val, model), k_values, objective).unionByName(
+    return ranker_metrics(score_with_model(val, model), k_values, name).unionByName(
         ranker_metrics(val.withColumn("score", -F.coalesce(F.col("popularity_rank").cast("double"), F.lit(float("inf")))), k_values, "popularity"))
 
 
