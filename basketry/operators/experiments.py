@@ -6,7 +6,7 @@ column expression over that handful of rows; nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.order import hash_key, top_k_list
@@ -45,65 +45,60 @@ def _group_sums(log: DataFrame, metric: str = "purchase_count", ts: str | None =
     return log.agg(*out)
 
 
-def _basic(s: DataFrame) -> DataFrame:
-    diff = F.col("ctr_b") - F.col("ctr_a")
-    lift = F.when(F.col("ctr_a") > 0, diff / F.col("ctr_a") * 100.0).otherwise(F.lit(0.0))
-    return s.select(F.col("n").alias("total_users"), F.col("n_a").alias("group_a_size"), F.col("n_b").alias("group_b_size"),
-                    F.col("ctr_a").alias("group_a_ctr"), F.col("ctr_b").alias("group_b_ctr"),
-                    diff.alias("ctr_difference"), lift.alias("ctr_lift"),
-                    F.col("mean_a").alias("group_a_avg_purchases"), F.col("mean_b").alias("group_b_avg_purchases"))
-
-
-def _chi(s: DataFrame) -> DataFrame:
-    t = s.select(F.col("click_a").alias("a_click"), F.col("noclick_a").alias("a_noclick"),
-                 F.col("click_b").alias("b_click"), F.col("noclick_b").alias("b_noclick"))
-    ra = F.col("a_click") + F.col("a_noclick")
-    rb = F.col("b_click") + F.col("b_noclick")
-    cc = F.col("a_click") + F.col("b_click")
-    cn = F.col("a_noclick") + F.col("b_noclick")
-    n = ra + rb
-    rows = (ra > 0).cast("int") + (rb > 0).cast("int")
-    cols = (cc > 0).cast("int") + (cn > 0).cast("int")
-    dof = ((rows - 1) * (cols - 1)).cast("long")
-    cells = [(F.col("a_click"), ra, cc), (F.col("a_noclick"), ra, cn),
-             (F.col("b_click"), rb, cc), (F.col("b_noclick"), rb, cn)]
-    stat = None
-    for o, r, k in cells:
-        term = yates_term(o.cast("double"), r.cast("double") * k.cast("double") / n.cast("double"))
-        stat = term if stat is None else stat + term
-    t = t.select(F.when(dof > 0, stat).otherwise(F.lit(0.0)).alias("chi2"), dof.alias("dof"),
-                 "a_click", "a_noclick", "b_click", "b_noclick")
-    return _with_p(t, chi2_p_value(F.col("chi2"), F.col("dof")))
-
-
-def _t(s: DataFrame) -> DataFrame:
-    dof = F.col("n_a") + F.col("n_b") - 2
-    sp2 = ((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / dof
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(sp2 * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
-    out = s.select(t.alias("t_stat"), dof.cast("long").alias("dof"), F.col("mean_a").alias("group_a_mean"),
-                   F.col("mean_b").alias("group_b_mean"), (F.col("mean_b") - F.col("mean_a")).alias("difference"))
-    return _with_p(out, t_p_value(F.col("t_stat"), F.col("dof").cast("double")))
-
-
-def _with_p(df: DataFrame, p) -> DataFrame:
-    """p-value (reported with P_DIGITS decimals) and whether it is below the significance level."""
-    return df.withColumn("p", p).withColumn("significant", F.col("p") < SIGNIFICANCE).withColumn(
-        "p_value", F.round("p", P_DIGITS)).drop("p")
+def _basic() -> dict[str, Column]:
+    """Basic readouts as expressions over the row of ``_group_sums``."""
+    a, b = F.col("ctr_a"), F.col("ctr_b")
+    return {"total_users": F.col("n"), "group_a_size": F.col("n_a"), "group_b_size": F.col("n_b"), "group_a_ctr": a, "group_b_ctr": b,
+            "ctr_difference": b - a, "ctr_lift": F.when(a > 0, (b - a) / a * 100.0).otherwise(F.lit(0.0)),
+            "group_a_avg_purchases": F.col("mean_a"), "group_b_avg_purchases": F.col("mean_b")}
+
+
+def _chi() -> dict[str, Column]:
+    """Yates-corrected chi-square of the group × clicked table as expressions over the row of ``_group_sums``."""
+    table = [[F.col("click_a"), F.col("noclick_a")], [F.col("click_b"), F.col("noclick_b")]]
+    rows, cols = [x + y for x, y in table], [x + y for x, y in zip(*table)]
+    n = rows[0] + rows[1]
+    filled = lambda sums: sum(((s > 0).cast("int") for s in sums[1:]), (sums[0] > 0).cast("int"))
+    dof = ((filled(rows) - 1) * (filled(cols) - 1)).cast("long")
+    cells = [yates_term(table[i][j].cast("double"), rows[i].cast("double") * cols[j].cast("double") / n.cast("double"))
+             for i in range(2) for j in range(2)]
+    stat = F.when(dof > 0, cells[0] + cells[1] + cells[2] + cells[3]).otherwise(F.lit(0.0))
+    return {"chi2": stat, "dof": dof, "a_click": table[0][0], "a_noclick": table[0][1], "b_click": table[1][0],
+            "b_noclick": table[1][1]} | _p(chi2_p_value(stat, dof))
+
+
+def _t() -> dict[str, Column]:
+    """Pooled-variance t as expressions over the row of ``_group_sums``."""
+    na, nb, ma, mb = (F.col(c) for c in ("n_a", "n_b", "mean_a", "mean_b"))
+    dof = na + nb - 2
+    sp2 = ((na - 1) * F.col("var_a") + (nb - 1) * F.col("var_b")) / dof
+    t = (ma - mb) / F.sqrt(sp2 * (1.0 / na + 1.0 / nb))
+    return {"t_stat": t, "dof": dof.cast("long"), "group_a_mean": ma, "group_b_mean": mb, "difference": mb - ma} | _p(
+        t_p_value(t, dof.cast("double")))
+
+
+def _p(p: Column) -> dict[str, Column]:
+    """Whether a p-value is below the significance level, and the p-value with P_DIGITS decimals."""
+    return {"significant": p < SIGNIFICANCE, "p_value": F.round(p, P_DIGITS)}
+
+
+def _read(sums: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return sums.select(*[c.alias(k) for k, c in columns.items()])
 
 
 def ab_basic_stats(log: DataFrame) -> DataFrame:
     """Key 62: users and CTR per group, difference, relative lift (%) and mean purchases per group."""
-    return _basic(_group_sums(log))
+    return _read(_group_sums(log), _basic())
 
 
 def ab_chi_square(log: DataFrame) -> DataFrame:
     """Key 63: group × clicked contingency table, chi-square with Yates' correction (2×2), dof, p-value, significance."""
-    return _chi(_group_sums(log))
+    return _read(_group_sums(log), _chi())
 
 
 def ab_t_test(log: DataFrame, metric: str = "purchase_count") -> DataFrame:
     """Key 64: pooled-variance two-sample t (A minus B) on ``metric``; difference is B − A; p-value, significance."""
-    return _t(_group_sums(log, metric))
+    return _read(_group_sums(log, metric), _t())
 
 
 def experiment_log_span(log: DataFrame, ts: str = "first_ts") -> DataFrame:
@@ -115,21 +110,15 @@ def experiment_log_span(log: DataFrame, ts: str = "first_ts") -> DataFrame:
 
 
 def ab_report(log: DataFrame, ts: str = "first_ts") -> DataFrame:
-    """Key 65: every readout as (section, metric, value) rows, from one pass over the log."""
-    s = _group_sums(log, ts=ts).withColumnsRenamed({"first_ts": "from_ts", "last_ts": "to_ts"})
-    micros = F.timestamp_diff("MICROSECOND", F.col("from_ts"), F.col("to_ts"))
-    # one row throughout: all readouts as structs of the same row, then unfolded
-    keep = s.withColumns({"records": F.col("n"), "minutes": micros.cast("double") / 60e6})
-    parts = {"basic_stats": (_basic, None), "chi_square_test": (_chi, ["chi2", "p_value", "dof", "significant"]),
-             "t_test_purchases": (_t, ["t_stat", "p_value", "significant", "group_a_mean", "group_b_mean", "difference"]),
-             "data_summary": (lambda x: x.select("records", "minutes"), None)}
-    out = None
-    for section, (read, cols) in parts.items():
-        df = read(keep)
-        rows = df.select(F.inline(F.array(*[F.struct(F.lit(section).alias("section"), F.lit(c).alias("metric"),
-                                                    F.col(c).cast("double").alias("value")) for c in cols or df.columns])))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Key 65: every readout as (section, metric, value) rows, unfolded from the one row of one pass over the log."""
+    micros = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts"))
+    chi, t = _chi(), _t()
+    parts = {"basic_stats": _basic(), "chi_square_test": {k: chi[k] for k in ("chi2", "p_value", "dof", "significant")},
+             "t_test_purchases": {k: t[k] for k in ("t_stat", "p_value", "significant", "group_a_mean", "group_b_mean", "difference")},
+             "data_summary": {"records": F.col("n"), "minutes": micros.cast("double") / 60e6}}
+    return _group_sums(log, ts=ts).select(F.inline(F.array(*[
+        F.struct(F.lit(section).alias("section"), F.lit(k).alias("metric"), c.cast("double").alias("value"))
+        for section, columns in parts.items() for k, c in columns.items()])))
 
 
 def sample_size_proportion(log: DataFrame, seg_col, relative_lift: float = 0.05, alpha: float = 0.05,

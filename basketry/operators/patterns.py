@@ -3,7 +3,7 @@
 Transactions are reduced before every join: per (customer, price tier) for age × price, per
 (customer, category group) for age × category, per customer for the frequency classes. The joins to
 ``customers`` therefore see at most a few rows per customer, and a customer holding a large share of
-the rows costs no more than any other.
+the rows costs no more than any other. ``pattern_counts`` gives all of them from one scan.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.windows import max_date
+
 # ---------------------------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------------------------
@@ -143,52 +145,103 @@ def category_distribution(tx: DataFrame, articles: DataFrame, patterns=DEFAULT_C
     return g.select("category_group", "cnt", (F.col("cnt").cast("double") * 100.0 / total).alias("pct"))
 
 
+def pattern_counts(tx: DataFrame, customers: DataFrame, articles: DataFrame, patterns=DEFAULT_CATEGORY_PATTERNS,
+                   period: Column | None = None) -> DataFrame:
+    """(period, section, outer_key, inner_key, cnt): the counts behind every distribution, from one scan of ``tx``.
+
+    Purchases are reduced to (customer, item, period), meet the catalogue, and become one row per customer and
+    period, with a column per tier and category group. That row meets the customer's age band and unfolds into
+    rows tagged with their section, which one last aggregate counts. ``period`` splits the purchases (null: all
+    are one). Section ``transactions`` counts the rows of ``tx``. ``articles`` and ``customers`` have unique ids.
+    Purchases without a customer count where no user is told apart; counts of 0 give no row.
+    """
+    p, n = F.col("price"), F.col("n")
+    tiers = [t for _, t in PRICE_TIERS] + [PRICE_TIER_LAST]
+    groups = [g for g, _ in patterns]
+    bought = (tx.select("customer_id", "article_id", "t_dat", "price", (F.lit(0) if period is None else period).alias("period"))
+                .groupBy("customer_id", "article_id", "period")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(p > 0, p)).alias("spent"),
+                     F.min("t_dat").alias("first"), F.max("t_dat").alias("last"),
+                     *[F.count_if((p > 0) & (price_tier_of(p) == t)).alias(f"tier_{i}") for i, t in enumerate(tiers)]))
+    items = category_groups(articles, patterns).filter(F.col("category_group") != OTHER)
+    users = (bought.join(items, "article_id", "left").groupBy("customer_id", "period")
+                   .agg(F.sum("n").alias("n"), F.sum("spent").alias("spent"),
+                        F.datediff(F.max("last"), F.min("first")).alias("days"),
+                        *[F.sum(f"tier_{i}").alias(f"tier_{i}") for i in range(len(tiers))],
+                        *[F.sum(F.when(F.col("category_group") == g, n)).alias(f"group_{i}") for i, g in enumerate(groups)])
+                   .join(adult_users(customers), "customer_id", "left"))
+    band, known = F.col("age_group"), F.col("customer_id").isNotNull()
+    paid = sum((F.col(f"tier_{i}") for i in range(1, len(tiers))), F.col("tier_0"))
+    tier = F.when(paid > 0, price_tier_of(F.col("spent") / F.nullif(paid, F.lit(0))))
+    per_month = n.cast("double") / (F.nullif(F.col("days"), F.lit(0)).cast("double") / F.lit(30.0))
+    frequency = F.when(F.col("days") > 0, frequency_class_of(per_month))
+
+    def tagged(section, outer, inner, cnt):
+        return F.struct(F.lit(section).alias("section"), (F.lit(None) if outer is None else outer).cast("string").alias("outer_key"),
+                        inner.cast("string").alias("inner_key"), cnt.cast("long").alias("cnt"))
+
+    rows = [tagged("age_price_distribution", band, F.lit(t), F.when(band.isNotNull(), F.col(f"tier_{i}"))) for i, t in enumerate(tiers)]
+    rows += [tagged("age_category_distribution", band, F.lit(g), F.when(band.isNotNull(), F.col(f"group_{i}"))) for i, g in enumerate(groups)]
+    rows += [tagged("price_frequency_distribution", tier, frequency, F.when(known & tier.isNotNull() & frequency.isNotNull(), 1)),
+             tagged("purchase_frequency_distribution", None, frequency, F.when(frequency.isNotNull(), 1))]
+    rows += [tagged("category_distribution", None, F.lit(g), F.col(f"group_{i}")) for i, g in enumerate(groups)]
+    rows += [tagged("transactions", None, F.lit(None), n)]
+    return (users.select("period", F.inline(F.array(*rows))).filter("cnt > 0")
+                 .groupBy("period", "section", "outer_key", "inner_key").agg(F.sum("cnt").alias("cnt")))
+
+
 def shopping_patterns_rows(tx: DataFrame, customers: DataFrame, articles: DataFrame,
                            patterns=DEFAULT_CATEGORY_PATTERNS) -> DataFrame:
-    """Key 58 as rows: (section, outer_key, inner_key, pct) of every distribution."""
-    parts = [("age_price_distribution", age_price_distribution(tx, customers), "age_group", "price_tier"),
-             ("age_category_distribution", age_category_distribution(tx, customers, articles, patterns), "age_group", "category_group"),
-             ("price_frequency_distribution", price_frequency_distribution(tx), "price_tier", "frequency"),
-             ("purchase_frequency_distribution", purchase_frequency_distribution(tx), None, "frequency"),
-             ("category_distribution", category_distribution(tx, articles, patterns), None, "category_group")]
-    out = None
-    for section, df, outer, inner in parts:
-        rows = df.select(F.lit(section).alias("section"), (F.col(outer) if outer else F.lit(None).cast("string")).alias("outer_key"),
-                         F.col(inner).alias("inner_key"), "pct")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Key 58 as rows: (section, outer_key, inner_key, pct) of every distribution, from one scan of ``tx``."""
+    c = pattern_counts(tx, customers, articles, patterns).filter("section <> 'transactions'")
+    total = F.sum("cnt").over(Window.partitionBy("section", "outer_key"))  # a few rows per section
+    return c.select("section", "outer_key", "inner_key", (F.col("cnt").cast("double") * 100.0 / total).alias("pct"))
 
 
 def shopping_patterns_json(tx: DataFrame, customers: DataFrame, articles: DataFrame,
                            patterns=DEFAULT_CATEGORY_PATTERNS) -> DataFrame:
-    """Key 58: all distributions in one JSON document (plus the input sizes).
+    """Key 58: all distributions in one JSON document (plus the input sizes), from one scan of ``tx``.
 
-    Each section is built from an already-aggregated table of a few dozen rows, so the
-    ``collect_list`` calls are bounded by the number of bands × tiers/groups.
+    The lists are bounded by bands × tiers or groups. Entries are sorted by key, so the document does not
+    depend on the order of tasks. Empty input gives empty sections.
+    """
+    c = pattern_counts(tx, customers, articles, patterns)
+    total = F.sum("cnt").over(Window.partitionBy("section", "outer_key"))  # a few rows per section
+    c = c.select("section", "outer_key", "inner_key", "cnt", (F.col("cnt").cast("double") * 100.0 / total).alias("pct"))
+    lists = c.groupBy("section", "outer_key").agg(
+        F.array_sort(F.collect_list(F.struct("inner_key", "pct"))).alias("entries"), F.sum("cnt").alias("cnt"))
+
+    def one_level(section):
+        return F.map_from_entries(F.flatten(F.collect_list(F.when(F.col("section") == section, F.col("entries")))))
+
+    def two_level(section):
+        outer = F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("outer_key", "entries"))))
+        return F.map_from_entries(F.transform(outer, lambda x: F.struct(x["outer_key"], F.map_from_entries(x["entries"]))))
+
+    doc = F.struct(two_level("age_price_distribution").alias("age_price_distribution"),
+                   two_level("age_category_distribution").alias("age_category_distribution"),
+                   two_level("price_frequency_distribution").alias("price_frequency_distribution"),
+                   one_level("purchase_frequency_distribution").alias("overall_frequency"),
+                   one_level("category_distribution").alias("overall_category"))
+    out = lists.filter("section <> 'transactions' OR cnt > 0").agg(
+        F.coalesce(F.sum(F.when(F.col("section") == "transactions", F.col("cnt"))), F.lit(0)).alias("transactions"),
+        F.to_json(doc).alias("patterns"))
+    return out.select("transactions", adult_users(customers).select(F.count(F.lit(1))).scalar().alias("users"),
+                      articles.select(F.count(F.lit(1))).scalar().alias("items"), "patterns")
+
+
+def distribution_drift(tx: DataFrame, customers: DataFrame, articles: DataFrame, split_days: int = 365,
+                       patterns=DEFAULT_CATEGORY_PATTERNS) -> DataFrame:
+    """Key 81: every distribution before (a) and within (b) the last ``split_days`` days, and b less a.
+
+    Returns (section, outer_key, inner_key, share_a, share_b, diff), shares in percent within section and outer
+    key. A customer's frequency class and mean-price tier are those of the period. A key seen in one period has
+    share 0 in the other; a section or outer key without any count in a period has null shares there.
     """
-    # entries are sorted by key: collect_list order depends on task scheduling, the document must not
-    def two_level(df, outer, inner):
-        inner_maps = df.groupBy(outer).agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner), F.col("pct"))))).alias("_m"))
-        by_key = lambda a, b: F.when(a[outer] < b[outer], -1).when(a[outer] > b[outer], 1).otherwise(0)
-        return inner_maps.agg(F.map_from_entries(F.array_sort(
-            F.collect_list(F.struct(F.col(outer), F.col("_m"))), by_key))).scalar()
-
-    def one_level(df, key):
-        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("pct")))))).scalar()
-
-    ap = age_price_distribution(tx, customers)
-    ac = age_category_distribution(tx, customers, articles, patterns)
-    pf = price_frequency_distribution(tx)
-    fr = purchase_frequency_distribution(tx)
-    cd = category_distribution(tx, articles, patterns)
-    doc = F.struct(two_level(ap, "age_group", "price_tier").alias("age_price_distribution"),
-                   two_level(ac, "age_group", "category_group").alias("age_category_distribution"),
-                   two_level(pf, "price_tier", "frequency").alias("price_frequency_distribution"),
-                   one_level(fr, "frequency").alias("overall_frequency"),
-                   one_level(cd, "category_group").alias("overall_category"))
-    sizes = tx.agg(F.count(F.lit(1)).alias("transactions"))
-    return sizes.select("transactions",
-                        adult_users(customers).select(F.count(F.lit(1))).scalar().alias("users"),
-                        articles.select(F.count(F.lit(1))).scalar().alias("items"),
-                        F.to_json(doc).alias("patterns"))
+    start = F.date_sub(max_date(tx), int(split_days))
+    c = pattern_counts(tx.filter("t_dat IS NOT NULL"), customers, articles, patterns, F.when(F.col("t_dat") >= start, "b").otherwise("a"))
+    c = c.filter("section <> 'transactions'").groupBy("section", "outer_key", "inner_key").agg(
+        *[F.coalesce(F.sum(F.when(F.col("period") == k, F.col("cnt"))), F.lit(0)).alias(f"n{k}") for k in "ab"])
+    w = Window.partitionBy("section", "outer_key")  # a few rows per section
+    a, b = (F.col(f"n{k}").cast("double") * 100.0 / F.nullif(F.sum(f"n{k}").over(w), F.lit(0)) for k in "ab")
+    return c.select("section", "outer_key", "inner_key", a.alias("share_a"), b.alias("share_b"), (b - a).alias("diff"))

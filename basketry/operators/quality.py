@@ -157,24 +157,6 @@ def sparse_users(tx: DataFrame, articles: DataFrame, min_count: int = 2, max_cou
     return users.filter(F.col("cnt").between(min_count, max_count)).select("customer_id", "cnt", F.array_join(spelled, ",").alias("cats"))
 
 
-def distribution_drift(tx: DataFrame, articles: DataFrame, split_days: int = 365,
-                       category_col: str = "product_group_name") -> DataFrame:
-    """Key 81: category share (%) before vs within the last ``split_days`` days, and the difference."""
-    from basketry.functions.windows import max_date
-    start = F.date_sub(max_date(tx), int(split_days))
-    # items are counted before they meet the catalogue
-    per_item = tx.groupBy("article_id").agg(F.count(F.when(F.col("t_dat") < start, 1)).alias("na"),
-                                            F.count(F.when(F.col("t_dat") >= start, 1)).alias("nb"))
-    per = (per_item.join(articles.select("article_id", category_col), "article_id")
-                   .groupBy(F.col(category_col).alias("category")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")))
-    from pyspark.sql import Window
-    w = Window.partitionBy(F.lit(1))  # one row per category
-    share_a = F.col("na").cast("double") * 100.0 / F.sum("na").over(w)
-    share_b = F.col("nb").cast("double") * 100.0 / F.sum("nb").over(w)
-    return per.select("category", share_a.alias("share_a"), share_b.alias("share_b"),
-                      (share_b - share_a).alias("diff"))
-
-
 # ---------------------------------------------------------------------------------------------
 # Free-text replies. Allowed enums and defaults of the profile JSON.
 # ---------------------------------------------------------------------------------------------
