@@ -79,6 +79,75 @@ def test_score_is_at_the_labels_rate_for_any_sample(spark, docs, monkeypatch):
         assert abs(toxicity.score_toxicity(df, w, "doc_id", "text").first().score - 0.1) < 0.04, most
 
 
+def plain_scores(docs, labels, order, seed=5, epochs=5):
+    """The query's work in dictionaries: sample in ``order``, penalty by held-out loss, updates one by one."""
+    from math import exp, log, log1p
+
+    def features(text):
+        return sorted(set(toxicity.grams((text or "").encode()).tolist()))
+
+    def weight(m, i):
+        z, n = m[0].get(i, 0.0), m[1].get(i, 0.0)
+        l1 = 0 if i < 0 else m[2]
+        return 0.0 if abs(z) <= l1 else -(z - (l1 if z > 0 else -l1)) / ((1 + n ** 0.5) + 0.1)
+
+    def train(data, l1, passes):
+        m, rng = ({}, {}, l1), np.random.default_rng(seed)
+        for _ in range(passes):
+            for j in rng.permutation(len(data)):
+                x, y = data[j]
+                w = {i: weight(m, i) for i in [*x, -1]}
+                g = 1 / (1 + exp(-sum(w.values()))) - y
+                for i, wi in w.items():
+                    n = m[1].get(i, 0.0)
+                    m[0][i] = m[0].get(i, 0.0) + g - ((n + g * g) ** 0.5 - n ** 0.5) * wi
+                    m[1][i] = n + g * g
+        return m
+
+    def margin(m, x):
+        return sum(weight(m, i) for i in [*x, -1])
+
+    data = [(features(docs[i]), labels[i]) for i in order if i in docs]
+    loss = {l1: sum(log1p(exp(-margin(m, x) if y else margin(m, x))) for x, y in data[::5])
+            for l1 in toxicity.PENALTIES for m in [train([d for k, d in enumerate(data) if k % 5], l1, 2)]}
+    l1 = min(sorted(loss, reverse=True), key=loss.get)
+    m, p = train(data, l1, epochs), sum(y for _, y in data)
+    ones = sum(labels[i] for i in order)
+    move = log(ones / (len(order) - ones)) - log(p / (len(data) - p))
+    return {i: 1 / (1 + exp(-(margin(m, features(t)) + move))) for i, t in docs.items()}
+
+
+def test_query_against_plain_learning(spark, docs, tmp_path):
+    df, labels = labelled(spark, docs)
+    df.filter("doc_id < 300").unionByName(docs([(7001, ""), (7002, None), (7003, "rascal " * 70_000)])).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r.id, r.label) for r in labels.filter("id < 300 AND label IS NOT NULL").collect()] + [(7003, 1), (9000, 0)],
+                          "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    learn = spark.read.parquet(f"{tmp_path}/labels.parquet").filter("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2")
+    rows = learn.orderBy(F.xxhash64("doc_id", F.lit(5))).collect()
+    want = plain_scores(texts, {r.doc_id: r.toxic for r in rows}, [r.doc_id for r in rows])
+    got = {r.doc_id: r for r in op4_toxicity_ftrl(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    from zlib import crc32
+    for i, r in got.items():
+        assert abs(r.score - want[i]) < 1e-5 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (crc32(str(i).encode()) % 4 == 2)
+
+
+def test_sample_is_bounded_by_bytes_and_repeated_ids_count_once(spark, docs, monkeypatch):
+    rows = [(i, f"w{i} x y") for i in range(40)] + [(3, "a much longer text of the same id")] * 50 + [(5, "long " * 60_000 + "text")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, label int")
+    one = labels.withColumn("o", F.xxhash64("id", F.lit(5)))
+    order = [r.id for r in one.orderBy("o").collect()]
+    data = toxicity.sample(docs(rows), one, "text", "doc_id")
+    assert [y for _, y in data] == [i % 2 for i in order]
+    longest = {i: t for i, t in sorted(rows, key=lambda r: len(np.unique(toxicity.grams(r[1].encode()))))}
+    assert all(np.array_equal(x, np.unique(toxicity.grams(longest[i].encode()))) for (x, _), i in zip(data, order))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", sum(x.nbytes for x, _ in data[:10]))
+    assert len(toxicity.sample(docs(rows), one, "text", "doc_id")) == 10
+    assert toxicity.sample(docs([]), one, "text", "doc_id") == []
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
