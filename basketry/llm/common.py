@@ -14,6 +14,9 @@ from basketry.session import ensure_checkpoint_dir
 #: ``bytes.split()`` splits at exactly these bytes.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+#: A key with at least this part (one over it) of all rows is a hot one; there are at most this many.
+HOT = 1000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,3 +71,23 @@ def with_row(df: DataFrame, name: str) -> DataFrame:
         except AnalysisException:
             pass
     return stored(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), "numbered")
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (unique ``key``; nulls where it has no row), no key in one task.
+
+    ``n`` is the number of rows with the key, of ``total``. Hot keys, at most HOT, are broadcast; their rows go
+    through the shuffle of the others under a salt from column ``spread`` and the input's part, and match nothing
+    there. So do null keys. ``rows`` is read once; clashing names are the caller's matter.
+    """
+    cols = [c for c in table.columns if c not in (key, n)]
+    is_hot = F.col(n) * HOT >= total
+    hot = table.filter(is_hot).select(F.col(key).alias("_hot"), F.struct(*cols).alias("_of_hot"))
+    # the zero of the table's side depends on a row, so that it stays a key of the shuffle
+    rest = table.filter(~is_hot).select(F.col(key).alias("_key"), F.struct(*cols).alias("_of_rest"),
+                                        F.when(F.col(n) < 0, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("_zero"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    cold = F.col("_hot").isNull() & F.col(key).isNotNull()
+    marked = marked.withColumn("_salt", F.when(cold, F.lit(0).cast("long")).otherwise(F.xxhash64(spread, F.spark_partition_id())))
+    joined = marked.join(rest, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_zero")), "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"_of_hot.{c}", f"_of_rest.{c}").alias(c) for c in cols])

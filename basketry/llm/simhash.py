@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import fresh, stored, utf8, with_row
+from basketry.llm.common import fresh, join_spread, stored, utf8, with_row
 from basketry.llm.components import connected_components
 
 #: Fingerprints a shard aims at; rows of a shard beyond CHUNK are dealt to a grid of tasks.
@@ -248,13 +248,13 @@ def simhash_groups(df: DataFrame, id_col: str, text_col: str, k: int = 4, max_bi
     """
     rows = with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp", k)
     rows = stored(rows.select("id", "fp"), "fingerprints")
-    own = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    own = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     comp = stored(fingerprint_components(own.select("fp"), max_bits), "components")
     linked = own.join(comp, "fp")
     named = linked.join(linked.groupBy("comp").agg(F.min("least").alias("group_least")), "comp").select(
         "fp", "group_least")
-    to = own.join(named, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component"))
-    return rows.join(to, "fp").select("id", "fp", "component")
+    to = own.join(named, "fp", "left").select("fp", "n", F.coalesce("group_least", "least").alias("component"))
+    return join_spread(rows, to, "fp", "n", rows.count(), "id").select("id", "fp", "component")
 
 
 def keep_one(df: DataFrame, id_col: str, text_col: str, k: int = 4, max_bits: int = 4) -> DataFrame:
