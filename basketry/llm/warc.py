@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import shared_path, stored, utf8
+from basketry.llm.common import join_spread, shared_path, stored, utf8
 
 #: Bytes after which a writer starts its next file; widest gap and longest range of one read.
 ROLL, GAP, RANGE = 64 << 20, 64 << 10, 8 << 20
@@ -102,12 +102,13 @@ def write(df: DataFrame, id_col: str, url_col: str, payload_col: str, folder: st
     spark = df.sparkSession
     folder = folder or shared_path(spark, "warc")
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                     utf8(payload_col).alias("payload")).withColumn("sha1", F.sha1("payload"))
+                     utf8(payload_col).alias("payload"))
+    rows = rows.withColumn("bytes", F.concat_ws(":", F.sha1("payload"), F.octet_length("payload")))
     # only payloads that repeat, with the id to refer to; pre-aggregated before the shuffle
-    same = rows.filter(F.octet_length("payload") >= least_bytes).groupBy(
-        "sha1", F.octet_length("payload").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.max("page_id").alias("first_id"))
-    same = stored(same.filter("c > 1").select("sha1", "n", "first_id"), "repeats")
-    j = rows.join(same, (rows.sha1 == same.sha1) & (F.octet_length("payload") == same.n), "left").select(
+    same = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("bytes").agg(
+        F.count(F.lit(1)).alias("c"), F.max("page_id").alias("first_id"))
+    same = stored(same.filter("c > 1"), "repeats")
+    j = join_spread(rows, same, "bytes", "c", df.count(), "page_id").select(
         "page_id", "url", "payload",
         F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
