@@ -71,3 +71,20 @@ def test_reranked_lists_equal_reranked_rows(spark, mk, model):
     by_rows = rk.rerank_topk(lists.selectExpr("customer_id", "inline(list)"), uf, None, 3, model)
     by_lists = rk.rerank_lists(lists, uf, 3, model).selectExpr("customer_id", "inline(list)")
     assert sorted(map(str, by_lists.collect())) == sorted(map(str, by_rows.collect()))
+
+
+def test_cf_rows_meet_in_one_shuffle_by_user(spark):
+    """Gains are not grouped in another shuffle than the one the top-k needs, and bought items need no join."""
+    p = E.queries()["cf_candidates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in p and sum("hashpartitioning(customer_id" in x and "article_id" in x for x in p.splitlines()) == 1
+
+
+def test_cf_leaves_out_bought_items_of_known_users(spark, mk):
+    tx = mk("customer_id string, article_id string, t_dat date", [
+        (u, x, "2024-01-01") for u, items in [("u1", "ab"), ("u2", "bc"), (None, "ab")] for x in items])
+    itf = mk("article_id string, popularity_rank long", [("a", 1), ("b", 2)])
+    cfw = cand.cf_window(tx, 28)
+    rows = lambda **k: sorted((str(r.customer_id), r.article_id) for r in cand.cf_candidates(cfw, itf, **k).collect())
+    # a row without a customer is nobody's purchase, as in a join on the id
+    assert rows() == [("None", "a"), ("None", "b"), ("None", "c"), ("u1", "c"), ("u2", "a")]
+    assert rows(exclude_already_purchased=False) == sorted([(u, x) for u in ("None", "u1", "u2") for x in "abc"])
