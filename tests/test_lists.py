@@ -88,3 +88,30 @@ def test_cf_leaves_out_bought_items_of_known_users(spark, mk):
     # a row without a customer is nobody's purchase, as in a join on the id
     assert rows() == [("None", "a"), ("None", "b"), ("None", "c"), ("u1", "c"), ("u2", "a")]
     assert rows(exclude_already_purchased=False) == sorted([(u, x) for u in ("None", "u1", "u2") for x in "abc"])
+
+
+def test_tasks_by_user_grow_with_the_rows(spark, mk, monkeypatch):
+    """Rows of seeds x matrix, pairs and users' lists are dealt out to more tasks as there are more of them, with equal rows."""
+    day = lambda i: f"2024-01-{1 + i % 20:02d}"
+    tx = mk("customer_id string, article_id string, t_dat date", [(f"u{i % 9}", f"a{(i * 7) % 11}", day(i % 3)) for i in range(60)] + [(None, "a1", day(0))])
+    itf = mk("article_id string, popularity_rank long, sales_count long", [(f"a{i}", i + 1, 50 - i) for i in range(11)])
+    articles = mk("article_id string, product_group_name string", [(f"a{i}", f"g{i % 3}") for i in range(11)])
+    uf = mk("customer_id string, purchase_count long, recency long, purchase_frequency string", [(f"u{i}", i, i, "high") for i in range(9)])
+    segments = mk("customer_id string, segment string", [(f"u{i}", "active" if i % 2 else "low_activity") for i in range(9)])
+    cfw = cand.cf_window(tx, 28)
+
+    def runs():
+        users, cooc = tx.select("customer_id"), cand.item_cooccurrence(cfw)
+        return {"cooc": cooc, "cf": cand.cf_candidates(cfw, itf, top_k=5, cooc=cooc), "merged": cand.merged_candidates(users, cfw, itf, 8, 3, 5, cooc=cooc),
+                "recommend": rk.recommend(users, tx, uf, itf, articles, segments, top_k=4, candidate_k=8, cooc=cooc)}
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    few = {k: sorted(map(str, df.collect())) for k, df in runs().items()}
+    monkeypatch.setattr(cand, "TASK_ROWS", 5)
+    monkeypatch.setattr(cand, "FEW_TASKS", 2)
+    many = runs()
+    assert {k: sorted(map(str, df.collect())) for k, df in many.items()} == few
+    # 61 rows: 61 * 4 / 5 partitions of pairs; more of gains; 61 * 16 / 5 of users, and one more for the other branch
+    assert "RepartitionByExpression [customer_id" in plan(many["cf"]) and ", 49" in plan(many["cooc"])
+    assert all(", 196" in plan(many[k]) for k in ("merged", "recommend")) and ", 197" in plan(many["recommend"])
+    assert cand.user_parts(cfw, 10) == 0 and cand.user_parts(cfw, 16) == 4 and cand.user_parts(cfw, 5000) == 1000
