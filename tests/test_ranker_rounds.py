@@ -139,3 +139,14 @@ def test_model_by_path_and_importance(spark, tmp_path):
             gains = [g for t in model.trees for k, g in zip(t.split_feature, t.split_gain) if k == f]
             assert imp[name] == (pytest.approx(sum(gains)), len(gains))
     assert imp["popularity_rank"][0] > 8651
+
+
+def test_training_reads_its_rows_from_one_table(spark):
+    """The many passes of training, tuning and their report neither sample users nor join features again."""
+    from basketry.plans import registry as R
+    from basketry.sources.tables import load_tables
+    t = load_tables(spark, "/root/testdata/sf0.001")
+    for df in (R._split(t), R._train_rows(t)):
+        p = df._jdf.queryExecution().optimizedPlan().toString()
+        assert p.count("Relation [") == 1 and "Join" not in p and "Aggregate" not in p, p
+    assert sorted(map(tuple, R._train_rows(t).collect())) == sorted(map(tuple, R._rds(t).collect()))
