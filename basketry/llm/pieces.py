@@ -33,7 +33,7 @@ from basketry.llm.common import fresh
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units of one batch; units whose encoding a worker keeps; log mass below the best region's at which a
 #: region can no longer be the next.
-BATCH, KEPT, FAINT = 400_000, 100_000, 45.0
+BATCH, KEPT, FAINT = 100_000, 100_000, 45.0
 BLANK = "▁"
 NONE, BYTES = 0xFFFF, 0xFFFE
 #: Most states have no longer piece than this; they are summed apart from the others.

@@ -118,3 +118,16 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert len(got) == len(texts) and all(r.round_trip for r in got)
     assert all(r.n_pieces == len(sp.encode(texts[r.doc_id])) for r in got)
+
+
+def test_memory_of_a_batch():
+    """A full batch of units that are all different stays small beside an executor's memory."""
+    import tracemalloc
+    rnd, v = random.Random(3), vocab(MODEL)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(pieces.BATCH)]
+    texts = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
+    tracemalloc.start()
+    encode_batch(texts, np.arange(len(texts)).astype(np.uint64), 2, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6, peak
