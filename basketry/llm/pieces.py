@@ -1,9 +1,9 @@
 """SentencePiece encoding, decoding and sampled segmentations.
 
 A text falls into units that no piece of the vocabulary crosses: blanks and the word after them, or a
-newline and what follows it. Distinct units are encoded once per batch: by the SentencePiece library, and
-as a lattice whose edges are the pieces (or byte fallback) at each position. Backward sums over the
-lattice give the exact probability of each next piece.
+newline and what follows it. Distinct units are encoded by the SentencePiece library, and as a lattice whose
+edges are the pieces (or byte fallback) at each position. Backward sums over the lattice give the exact
+probability of each next piece. A worker keeps a bounded store of units, so those that come back are done once.
 
 Sampling without replacement is the Gumbel top-k search from the top: a region of segmentations has a
 Gumbel value with its mass as location, the best path of a region inherits the value, and the regions
@@ -18,7 +18,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -31,9 +31,11 @@ from pyspark.sql import types as T
 from basketry.llm.common import fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units of one batch; units whose encoding a worker keeps; log mass below the best region's at which a
-#: region can no longer be the next.
-BATCH, KEPT, FAINT = 100_000, 100_000, 45.0
+#: Units of one batch; units and characters that a worker's store keeps; units whose lattices are built at once; log
+#: mass below the best region's at which a region can no longer be the next.
+BATCH, KEPT, KEPT_CHARS, BUILT, FAINT = 25_000, 100_000, 800_000, 10_000, 45.0
+#: Rows whose texts become Python strings at once.
+ROWS = 256
 BLANK = "▁"
 NONE, BYTES = 0xFFFF, 0xFFFE
 #: Most states have no longer piece than this; they are summed apart from the others.
@@ -46,7 +48,6 @@ class Vocab:
 
     def __init__(self, path: str):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.kept: dict[str, list[int]] = {}
         # whether the model keeps characters as they are; if not, every unit beyond ASCII is checked
         probe = "é é Ａ ﬁ ① 漢 \u00a0 ß İ"
         self.lossless = sp.decode(sp.encode(probe)) == probe
@@ -83,6 +84,10 @@ class Vocab:
             taken[at] = h
             self.ids[at] = normal.get(p, NONE)
         self.keys[list(taken)] = np.fromiter(taken.values(), np.uint64, len(taken))
+        self.n_raw = np.fromiter(map(len, self.raw), np.int64, n)
+        self.raw_at = np.cumsum(self.n_raw) - self.n_raw
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.store = Store(self)
 
     @staticmethod
     def extend(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -106,15 +111,6 @@ class Vocab:
             rest = rest[~ok & (got != 0)]
         return hit, ids
 
-    def encode_units(self, keys: list[str]) -> list[list[int]]:
-        """The library's ids of units given by their keys; those seen lately are kept."""
-        new = [k for k in keys if k not in self.kept]
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = keys
-        self.kept.update(zip(new, self._encode(new)))
-        return list(map(self.kept.__getitem__, keys))
-
     def _encode(self, keys: list[str]) -> list[list[int]]:
         """Ids of units; units that the library cannot give back are spelled in bytes."""
         out = self.sp.encode(keys, num_threads=1)
@@ -130,6 +126,14 @@ class Vocab:
                     out[i] = [self.blank] * (len(raw) - len(word)) + self.byte[list(word)].tolist()
         return out
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ids in turn."""
+        n = self.n_raw[ids]
+        end = np.cumsum(n)
+        at = np.repeat(self.raw_at[ids] - end + n, n)
+        at += np.arange(len(at))
+        return self.raw_bytes[at].tobytes()
+
     def decode(self, ids) -> bytes:
         """The text of ids, without the blank that encoding puts in front."""
         return b"".join(map(self.raw.__getitem__, ids))[1:]
@@ -202,7 +206,8 @@ class Lattice:
         own = cps == ord(BLANK)
         cps = np.where(cps == 32, np.uint64(ord(BLANK)), np.where(own, np.uint64(0x110000), cps))
         left = np.repeat(self.start[1:], size) - np.arange(n)
-        pid, live, h, longest = [], np.arange(n), np.zeros(n, np.uint64), np.ones(n, np.int64)
+        pid, live, h = [], np.arange(n), np.zeros(n, np.uint64)
+        self.longest = longest = np.ones(n, np.int64)
         for k in range(v.longest):
             ok = left[live] > k
             live, h = live[ok], h[ok]
@@ -219,12 +224,13 @@ class Lattice:
                 col[live] = ids
                 pid.append(col)
             live, h = live[hit], h[hit]
-        self.pid = np.stack(pid, axis=1) if pid else np.zeros((0, 1), np.uint16)
+        # columns up to the vocabulary's longest piece, so that sums do not depend on the units at hand
+        pid += [np.full(n, NONE, np.uint16) for _ in range(len(pid), v.longest)]
+        self.pid = np.stack(pid, axis=1)
         wide = self.pid.shape[1]
         self.n_bytes = 1 + (self.chars >= 0x80).astype(np.int64) + (self.chars >= 0x800) + (self.chars >= 0x10000)
         lone = self.pid[:, 0] == NONE
-        self.pid[lone & (self.chars < 0x80), 0] = v.byte[self.chars[lone & (self.chars < 0x80)].astype(np.int64)]
-        self.pid[lone & (self.chars >= 0x80), 0] = BYTES
+        pid[0][lone] = self.pid[lone, 0] = np.where(self.chars[lone] < 0x80, v.byte[np.minimum(self.chars[lone], 0x7f).astype(np.int64)], BYTES)
         order = np.argsort(left, kind="stable")
         edge = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
         beta = np.zeros(n + wide)
@@ -235,6 +241,27 @@ class Lattice:
             for rows, w in ((group[few], min(NARROW, wide, d)), (group[~few], min(wide, d))):
                 if not len(rows):
                     continue
+                if w < 8:  # columns apart: sums of so few take their terms in turn either way
+                    val = np.empty((w, len(rows)))
+                    for j in range(w):
+                        val[j] = v.weight[pid[j][rows]]
+                    odd = np.flatnonzero(lone[rows])
+                    val[0, odd] = v.byte_weight * self.n_bytes[rows[odd]]
+                    for j in range(w - (d == w)):
+                        val[j] += beta[rows + (j + 1)]
+                    top = val.max(axis=0)
+                    val -= top
+                    p = np.exp(val, out=val)
+                    total = p.sum(axis=0)
+                    p /= total
+                    last = longest[rows]
+                    for j in range(w):
+                        if j:
+                            p[j] += p[j - 1]
+                    for j in range(w):
+                        self.cum[rows, j] = np.where(last <= j + 1, 1.0, p[j])
+                    beta[rows] = top + np.log(total)
+                    continue
                 val = v.weight[self.pid[rows, :w]]
                 odd = np.flatnonzero(lone[rows])
                 val[odd, 0] = v.byte_weight * self.n_bytes[rows[odd]]
@@ -250,48 +277,193 @@ class Lattice:
                 # the start of the next unit shares its state number with this unit's end
                 beta[rows] = top + np.log(total)
 
+
+class Rows:
+    """An array of rows that grows at its end."""
+
+    def __init__(self, kind, *shape: int):
+        self.all, self.n = np.empty((0, *shape), kind), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        n = self.n + len(rows)
+        if n > len(self.all):
+            grown = np.empty((max(n, len(self.all) * 3 // 2), *self.all.shape[1:]), self.all.dtype)
+            grown[:self.n] = self.all[:self.n]
+            self.all = grown
+        self.all[self.n:n] = rows
+        self.n = n
+
+    def keep(self, at: np.ndarray) -> None:
+        self.all, self.n = self.all[at], len(at)
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[i] to first[i] + size[i] - 1, for all i in turn."""
+    at = np.repeat(first - np.cumsum(size) + size, size)
+    at += np.arange(len(at))
+    return at
+
+
+class Store:
+    """Ids and lattices of units, which are numbered; a unit's states follow each other from ``start``.
+
+    ``near`` has a zero and the first NARROW columns of ``Lattice.cum``, ``pid`` their pieces; ``far`` is the row of
+    the few states with longer pieces in ``wide`` and ``wide_pid``, which have them all. Full, it keeps the units that
+    more than one batch had since it was last full, half of its bound at most, and those of the batch at hand.
+    """
+
+    def __init__(self, v: Vocab):
+        self.v, wide = v, v.longest
+        self.index, self.met = Numbered(), Rows(np.int32)
+        self.start, self.size = Rows(np.int64), Rows(np.int64)
+        self.first, self.n_ids, self.ids = Rows(np.int64), Rows(np.int64), Rows(np.int32)
+        self.near, self.pid = Rows(np.float64, NARROW + 1), Rows(np.uint16, NARROW)
+        self.far, self.chars = Rows(np.int32), Rows(np.uint32)
+        self.wide, self.wide_pid = Rows(np.float64, wide + 1), Rows(np.uint16, wide)
+
+    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of the texts in turn by number, and the first of each text and the end."""
+        index, of, docs = self.index, [], [0]
+        for t in texts:
+            of.extend(map(index.__getitem__, units(t)))
+            docs.append(len(of))
+        of, docs = np.array(of, np.int64), np.array(docs)
+        new = list(islice(index, self.start.n, None))
+        if self.start.n and (len(index) > KEPT or self.near.n + sum(map(len, new)) > KEPT_CHARS):
+            of = self._compact(of, new)
+        for i in range(0, len(new), BUILT):
+            self._add(new[i:i + BUILT])
+        self.met.all[:self.met.n] += np.bincount(of, minlength=self.met.n) > 0
+        return of, docs
+
+    def _add(self, keys: list[str]) -> None:
+        enc = self.v._encode(keys)
+        n = np.fromiter(map(len, enc), np.int64, len(enc))
+        self.first.add(self.ids.n + np.cumsum(n) - n)
+        self.n_ids.add(n)
+        self.ids.add(np.fromiter(chain.from_iterable(enc), np.int32, int(n.sum())))
+        lat = Lattice(list(map(unit, keys)), self.v)
+        self.start.add(self.near.n + lat.start[:-1])
+        self.size.add(np.diff(lat.start))
+        self.met.add(np.zeros(len(keys), np.int32))
+        near, pid = np.ones((len(lat.cum), NARROW + 1)), np.full((len(lat.cum), NARROW), NONE, np.uint16)
+        wide = min(NARROW, lat.cum.shape[1])
+        near[:, 0], near[:, 1:wide + 1], pid[:, :wide] = 0, lat.cum[:, :wide], lat.pid[:, :wide]
+        self.near.add(near)
+        self.pid.add(pid)
+        self.chars.add(lat.chars.astype(np.uint32))
+        long = np.flatnonzero(lat.longest > NARROW)
+        far = np.full(len(lat.cum), -1, np.int32)
+        far[long] = self.wide.n + np.arange(len(long))
+        self.far.add(far)
+        all_cum, all_pid = np.ones((len(long), self.v.longest + 1)), np.full((len(long), self.v.longest), NONE, np.uint16)
+        all_cum[:, 0], all_cum[:, 1:lat.cum.shape[1] + 1], all_pid[:, :lat.pid.shape[1]] = 0, lat.cum[long], lat.pid[long]
+        self.wide.add(all_cum)
+        self.wide_pid.add(all_pid)
+
+    def _compact(self, of: np.ndarray, new: list[str]) -> np.ndarray:
+        """Keep what is often met and in ``of``, whose new numbers are returned; ``new`` has no rows yet."""
+        n = self.start.n
+        often = np.flatnonzero(self.met.all[:n] > 1)
+        often = often[np.argsort(-self.met.all[often], kind="stable")][:KEPT // 2]
+        often = often[np.cumsum(self.size.all[often]) <= KEPT_CHARS // 2]
+        stay = np.zeros(n, bool)
+        stay[often] = True
+        stay[of[of < n]] = True
+        old = np.flatnonzero(stay)
+        numbers = np.concatenate([np.cumsum(stay) - 1, len(old) + np.arange(len(new))])
+        words = list(self.index)
+        self.index = Numbered(zip(chain(map(words.__getitem__, old.tolist()), new), range(len(old) + len(new))))
+        at = spans(self.first.all[old], self.n_ids.all[old])
+        self.ids.keep(at)
+        states = spans(self.start.all[old], self.size.all[old])
+        for x in (self.near, self.pid, self.chars, self.far):
+            x.keep(states)
+        far = self.far.all
+        long = far[far >= 0]
+        self.wide.keep(long)
+        self.wide_pid.keep(long)
+        far[far >= 0] = np.arange(len(long))
+        for x in (self.size, self.n_ids, self.met):
+            x.keep(old)
+        self.met.all[:] = 0
+        for x, size in ((self.start, self.size), (self.first, self.n_ids)):
+            x.all, x.n = np.cumsum(size.all) - size.all, len(old)
+        return numbers[of]
+
+    def best(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of the units in turn, and where each unit's begin, with the end."""
+        n = self.n_ids.all[of]
+        return self.ids.all[spans(self.first.all[of], n)], np.concatenate([[0], np.cumsum(n)])
+
+    def draw(self, st: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each state the next piece at ``r`` of its distribution: characters, probability and id."""
+        near = self.near.all[st]
+        l = (r >= near[:, 1]).view(np.int8)
+        for j in range(2, NARROW + 1):
+            l += r >= near[:, j]
+        far = np.flatnonzero(l == NARROW)
+        at = l[far].astype(np.int64)
+        l[far] = 0
+        row = np.arange(0, near.size, NARROW + 1) + l
+        flat = near.ravel()
+        p = flat[row + 1] - flat[row]
+        pid = self.pid.all.ravel()[st * NARROW + l]
+        if len(far):
+            rows = self.far.all[st[far]]
+            wide = self.wide.all[rows]
+            at += np.count_nonzero(r[far, None] >= wide[:, NARROW + 1:], axis=1)
+            i = np.arange(len(far))
+            l[far], p[far], pid[far] = at, wide[i, at + 1] - wide[i, at], self.wide_pid.all[rows, at]
+        l += 1
+        return l, p, pid
+
     def probability(self, state: int) -> np.ndarray:
-        return np.diff(self.cum[state], prepend=0.0)
+        far = self.far.all[state]
+        return np.diff(self.near.all[state] if far < 0 else self.wide.all[far])
+
+    def piece(self, state: int, length: int) -> int:
+        far = self.far.all[state]
+        return int(self.pid.all[state, length - 1] if far < 0 else self.wide_pid.all[far, length - 1])
 
 
 class Paths:
-    """Segmentations of a batch of texts, one per text: piece length and probability by character."""
+    """Segmentations of a batch of texts, one per text: piece length, id and probability by character."""
 
     def __init__(self, n: int):
-        self.length, self.p = np.zeros(n, np.uint8), np.ones(n)
+        self.length, self.ids, self.p = np.zeros(n, np.uint8), np.empty(n, np.uint16), np.ones(n)
 
 
-def sample(lat: Lattice, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k: int):
+def sample(units: Store, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k: int):
     """Gumbel top-k of every text. ``of``: unit of each token; ``docs``: first token of each text, and the end.
 
     Returns per text up to ``k`` tuples (path number, log probability, log inclusion score), the paths, and the
-    lattice state of each character.
+    first character and the first state of each token.
     """
     n_docs = len(docs) - 1
-    size = lat.start[of + 1] - lat.start[of]
+    begin, size = units.start.all[of], units.size.all[of]
+    final = begin + size
     off = np.concatenate([[0], np.cumsum(size)])  # first character of each token
-    shift = off[:-1] - lat.start[of]
+    shift = off[:-1] - begin
     doc = np.repeat(np.arange(n_docs), np.diff(docs))
     seed = keys[doc] + (np.arange(len(of)) - docs[doc]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
     ends = off[docs]  # first character of each text, and the end
-    token_at = np.repeat(np.arange(len(of)), size)
     paths: list[Paths] = []
 
     def walk(path: Paths, first: np.ndarray, state: np.ndarray, turn: int) -> None:
         """Fill ``path`` for the tokens ``first`` from ``state`` to each token's end."""
-        act, st, end, step = first, state, lat.start[of[first] + 1], 0
-        ok = st < end
-        act, st, end = act[ok], st[ok], end[ok]
-        base = seed + np.uint64(turn * 0xA0761D6478BD642F % 2**64)
-        while len(act):
-            r = uniform(base[act] + np.uint64(step * 0xE7037ED1A0B428DB % 2**64))
-            l = np.count_nonzero(r[:, None] >= lat.cum[st], axis=1)
-            g = st + shift[act]
-            path.length[g] = l + 1
-            path.p[g] = lat.cum[st, l] - np.where(l > 0, lat.cum[st, l - 1], 0)
-            st = st + l + 1
+        act, st, end, step = first, state, final[first], 0
+        ok = np.flatnonzero(st < end)
+        if len(ok) < len(act):
+            act, st, end = act[ok], st[ok], end[ok]
+        base, far = seed[act] + np.uint64(turn * 0xA0761D6478BD642F % 2**64), shift[act]
+        while len(st):
+            l, p, pid = units.draw(st, uniform(base + np.uint64(step * 0xE7037ED1A0B428DB % 2**64)))
+            g = st + far
+            path.length[g], path.ids[g], path.p[g] = l, pid, p
+            st = st + l
             ok = np.flatnonzero(st < end)
-            act, st, end, step = act[ok], st[ok], end[ok], step + 1
+            st, end, base, far, step = st[ok], end[ok], base[ok], far[ok], step + 1
 
     queues: list[list] = [[] for _ in range(n_docs)]
     found: list[list] = [[] for _ in range(n_docs)]
@@ -319,10 +491,10 @@ def sample(lat: Lattice, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
         edge = np.searchsorted(at_all, ends)
         for d in live:
             at, logs = at_all[edge[d]:edge[d + 1]], logs_all[edge[d]:edge[d + 1]]
-            value, begin = start[d]
+            value, left = start[d]
             found[d].append([turn, float(logs.sum()), value])
             prefix = np.concatenate([[0.0], np.cumsum(logs)[:-1]]) if len(logs) else logs
-            s = int(np.searchsorted(at, begin, side="right")) if begin >= 0 else 0
+            s = int(np.searchsorted(at, left, side="right")) if left >= 0 else 0
             e = s + int(np.searchsorted(-prefix[s:], FAINT - (prefix[s] if s < len(prefix) else 0))) + 1
             leave(d, turn, value, at[s:e], logs[s:e], prefix[s:e])
 
@@ -330,7 +502,7 @@ def sample(lat: Lattice, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
     path = Paths(int(off[-1]))
     paths.append(path)
     every = np.arange(len(of))
-    walk(path, every, lat.start[of], 0)
+    walk(path, every, begin, 0)
     settle(0, list(range(n_docs)), {d: (float(g0[d]), -1) for d in range(n_docs)})
     for turn in range(1, k):
         live, start, first, state = [], {}, [], []
@@ -340,9 +512,9 @@ def sample(lat: Lattice, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
             if not queues[d]:
                 continue
             value, _, old, at, gone, before = heapq.heappop(queues[d])
-            t = int(token_at[at])
+            t = int(np.searchsorted(off, at, side="right")) - 1
             st = at - int(shift[t])
-            p = lat.probability(st)
+            p = units.probability(st)
             gone = (*gone, int(paths[old].length[at]) - 1)
             q = p.copy()
             q[list(gone)] = 0
@@ -353,12 +525,13 @@ def sample(lat: Lattice, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
             l = int(np.searchsorted(np.cumsum(q), u * total, side="right"))
             l = min(l, int(np.flatnonzero(q)[-1]))
             a, b = int(ends[d]), at
-            path.length[a:b], path.p[a:b] = paths[old].length[a:b], paths[old].p[a:b]
-            path.length[at], path.p[at] = l + 1, p[l]
+            for x in ("length", "ids", "p"):
+                getattr(path, x)[a:b] = getattr(paths[old], x)[a:b]
+            path.length[at], path.ids[at], path.p[at] = l + 1, units.piece(st, l + 1), p[l]
             live.append(d)
             start[d] = (-value, at)
             first.append(np.arange(t, int(docs[d + 1])))
-            state.append(np.concatenate([[st + l + 1], lat.start[of[t + 1:int(docs[d + 1])]]]))
+            state.append(np.concatenate([[st + l + 1], begin[t + 1:int(docs[d + 1])]]))
             # what leaves the old path at this edge by yet another piece
             rest = 1.0 - p[list(gone)].sum() - p[l]
             if rest > 1e-14:
@@ -377,56 +550,43 @@ def sample(lat: Lattice, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
             x = logp - threshold  # log of 1 - exp(-exp(x))
             got.append((turn, logp, 0.0 if x > 4 else float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else float(x)))
         out.append(got)
-    states = np.arange(int(off[-1])) - shift[token_at]
-    return out, paths, states
+    return out, paths, off, begin
 
 
-def path_ids(lat: Lattice, path: Paths, states: np.ndarray, ends: np.ndarray, v: Vocab) -> tuple[np.ndarray, np.ndarray]:
+def path_ids(units: Store, path: Paths, off: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts' paths and where each text's begin; unknown characters are spelled in bytes."""
     at = np.flatnonzero(path.length)
-    st = states[at]
-    ids = lat.pid[st, path.length[at] - 1].astype(np.int64)
+    ids = path.ids[at].astype(np.int32)
     edge = np.searchsorted(at, ends)
     odd = np.flatnonzero(ids == BYTES)
     if len(odd):
+        token = np.searchsorted(off, at[odd], side="right") - 1
+        raws = [chr(c).encode() for c in units.chars.all[at[odd] - off[token] + begin[token]].tolist()]
         n = np.ones(len(ids), np.int64)
-        n[odd] = lat.n_bytes[st[odd]]
+        n[odd] = list(map(len, raws))
         new = np.concatenate([[0], np.cumsum(n)])
         out = np.repeat(ids, n)
-        for i in odd:
-            raw = chr(int(lat.chars[st[i]])).encode()
-            out[new[i]:new[i] + len(raw)] = v.byte[list(raw)]
+        for i, raw in zip(odd, raws):
+            out[new[i]:new[i] + len(raw)] = units.v.byte[list(raw)]
         return out, new[edge]
     return ids, edge
 
 
 def encode_batch(texts: list[str], keys: np.ndarray, k: int, v: Vocab):
     """Ids of every text and its sampled segmentations: (ids, starts), per text [(ids, log p, log inclusion)]."""
-    index, of_list, docs = Numbered(), [], [0]
-    for t in texts:
-        of_list.extend(map(index.__getitem__, units(t)))
-        docs.append(len(of_list))
-    of, docs = np.array(of_list, np.int64), np.array(docs)
-    enc = v.encode_units(list(index))
-    n_ids = np.fromiter(map(len, enc), np.int64, len(enc))
-    flat = np.fromiter(chain.from_iterable(enc), np.int32, int(n_ids.sum()))
-    first = np.concatenate([[0], np.cumsum(n_ids)])
-    n = n_ids[of]
-    begin = np.concatenate([[0], np.cumsum(n)])
-    best = flat[np.arange(int(begin[-1])) + np.repeat(first[of] - begin[:-1], n)]
-    lat = Lattice(list(map(unit, index)), v)
-    got, paths, states = sample(lat, of, docs, keys, k)
-    ends = np.concatenate([[0], np.cumsum(lat.start[of + 1] - lat.start[of])])[docs]
-    ids = [path_ids(lat, p, states, ends, v) for p in paths]
+    of, docs = v.store.number(texts)
+    best, begin = v.store.best(of)
+    got, paths, off, first = sample(v.store, of, docs, keys, k)
+    ids = [path_ids(v.store, p, off, first, off[docs]) for p in paths]
     samples = [[(ids[r][0][ids[r][1][d]:ids[r][1][d + 1]], lp, li) for r, lp, li in g] for d, g in enumerate(got)]
     return best, begin[docs], samples
 
 
 def round_trips(texts: list[str], ids: np.ndarray, begin: np.ndarray, v: Vocab) -> list[bool]:
     """Whether each text's ids decode to it; all texts at once if they do."""
-    every = ids.tolist()
-    if b"".join(map(v.raw.__getitem__, every)) == "".join(" " + t for t in texts if t).encode():
+    if v.spell(ids) == "".join(" " + t for t in texts if t).encode():
         return [True] * len(texts)
+    every = ids.tolist()
     return [v.decode(every[a:b]) == t.encode() for t, a, b in zip(texts, begin, begin[1:])]
 
 
@@ -458,7 +618,9 @@ def with_pieces(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: st
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab(model)
+        yield from encoded(it, v)
 
+    def encoded(it: Iterator[pa.RecordBatch], v: Vocab) -> Iterator[pa.RecordBatch]:
         def flush(rows: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
             keys = np.asarray(rows.column(width)).astype(np.int64).view(np.uint64)
             best, begin, got = encode_batch(texts, keys, k, v)
@@ -473,13 +635,14 @@ def with_pieces(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: st
                 [*rows.schema.names[:width], *names])
 
         for b in it:
-            texts = b.column(width + 1).to_pylist()
-            begin, held = 0, 0
-            for i, t in enumerate(texts):
-                held += t.count(" ") + t.count("\n") + 1
-                if held > BATCH or i + 1 == len(texts):
-                    yield flush(b.slice(begin, i + 1 - begin), texts[begin:i + 1])
-                    begin, held = i + 1, 0
+            texts, begin, held = [], 0, 0
+            for at in range(0, b.num_rows, ROWS):
+                for i, t in enumerate(b.column(width + 1).slice(at, ROWS).to_pylist(), at + 1):
+                    texts.append(t)
+                    held += t.count(" ") + t.count("\n") + 1
+                    if held > BATCH or i == b.num_rows:
+                        yield flush(b.slice(begin, i - begin), texts)
+                        texts, begin, held = [], i, 0
 
     rows = df.select(*kept.columns, F.xxhash64(id_col, text_col).alias(key), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
     schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, (_, t) in zip(names, ADDED))).fields])

@@ -131,3 +131,46 @@ def test_memory_of_a_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 250e6, peak
+
+
+def test_units_that_come_back_are_built_once(monkeypatch):
+    built, old = [], pieces.Lattice
+    monkeypatch.setattr(pieces, "Lattice", lambda distinct, v: built.extend(distinct) or old(distinct, v))
+    v, rnd = pieces.Vocab(MODEL), random.Random(5)
+    words = ["".join(rnd.choices("etaoin", k=7)) for _ in range(400)]
+    for _ in range(5):
+        encode_batch([" ".join(rnd.choices(words, k=2000))], np.array([1], np.uint64), 2, v)
+    assert len(built) == len(set(built)) <= len(words)
+
+
+def test_full_store_gives_the_same(monkeypatch):
+    """Results, scores to the last bit, do not depend on what the store holds or on how often it was full."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices(["the", "é", "漢", "ation", "inter", "x", "s", "▁"], k=rnd.randrange(1, 9))) for _ in range(3000)]
+    texts = [*TEXTS, *[" ".join(words[min(int(rnd.expovariate(1 / 300)), 2999)] for _ in range(200)) for _ in range(60)]]
+    keys = np.arange(len(texts), dtype=np.uint64) * np.uint64(77)
+    plain = lambda got: [[(x[0].tolist(), x[1], x[2]) for x in g] for g in got]
+    best, begin, got = encode_batch(texts, keys, 3, pieces.Vocab(MODEL))
+    monkeypatch.setattr(pieces, "KEPT", 300)
+    monkeypatch.setattr(pieces, "KEPT_CHARS", 4000)
+    v = pieces.Vocab(MODEL)
+    for i in range(0, len(texts), 3):
+        b, at, g = encode_batch(texts[i:i + 3], keys[i:i + 3], 3, v)
+        assert plain(g) == plain(got[i:i + 3])
+        assert b.tolist() == best[begin[i]:begin[min(i + 3, len(texts))]].tolist()
+        assert v.store.start.n == len(v.store.index) <= 300 + 600
+        assert v.store.near.n == v.store.chars.n == v.store.size.all[:v.store.size.n].sum()
+
+
+def test_memory_of_a_worker():
+    """Many batches of units that are all different: four workers of an executor keep a small part of its memory."""
+    import tracemalloc
+    rnd, v = random.Random(4), vocab(MODEL)
+    tracemalloc.start()
+    for _ in range(-(-300_000 // pieces.BATCH)):
+        words = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(pieces.BATCH)]
+        texts = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
+        encode_batch(texts, np.arange(len(texts)).astype(np.uint64), 2, v)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 140e6 and kept < 110e6, (peak, kept)
