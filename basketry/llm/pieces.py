@@ -3,7 +3,7 @@
 A text falls into units that no piece of the vocabulary crosses: blanks and the word after them, or a
 newline and what follows it. Distinct units are encoded by the SentencePiece library, and as a lattice whose
 edges are the pieces (or byte fallback) at each position. Backward sums over the lattice give the exact
-probability of each next piece. A worker keeps a bounded store of units, so those that come back are done once.
+probability of each next piece. A task keeps a bounded store of units, so those that come back are done once.
 
 Sampling without replacement is the Gumbel top-k search from the top: a region of segmentations has a
 Gumbel value with its mass as location, the best path of a region inherits the value, and the regions
@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import fresh
+from basketry.llm.common import fresh, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units of one batch; units and characters that a worker's store keeps; units whose lattices are built at once; log
+#: Units of one batch; units and characters that a task's store keeps; units whose lattices are built at once; log
 #: mass below the best region's at which a region can no longer be the next.
 BATCH, KEPT, KEPT_CHARS, BUILT, FAINT = 25_000, 100_000, 800_000, 10_000, 45.0
 #: Rows whose texts become Python strings at once.
@@ -618,7 +618,11 @@ def with_pieces(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: st
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab(model)
-        yield from encoded(it, v)
+        try:
+            yield from encoded(it, v)
+        finally:  # an idle worker keeps the vocabulary alone
+            v.store = Store(v)
+            give_back()
 
     def encoded(it: Iterator[pa.RecordBatch], v: Vocab) -> Iterator[pa.RecordBatch]:
         def flush(rows: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:

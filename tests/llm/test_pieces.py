@@ -174,3 +174,16 @@ def test_memory_of_a_worker():
     kept, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert peak < 140e6 and kept < 110e6, (peak, kept)
+
+
+def test_idle_worker_keeps_no_store(spark, docs):
+    """After a task, a worker has its vocabulary and no units of the texts it saw."""
+    import pyarrow as pa
+
+    def kept(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array([len(vocab(MODEL).store.index) + vocab(MODEL).store.ids.n] * b.num_rows, pa.int64())], ["n"])
+
+    df = docs([(i, f"one two three {i}") for i in range(50)]).coalesce(1)
+    assert pieces.encode(df, "doc_id", "text").filter("round_trip").count() == 50
+    assert {r.n for r in df.select("doc_id").mapInArrow(kept, "n long").collect()} == {0}
