@@ -16,9 +16,10 @@ of the inclusion scores. All noise is a hash of the row's key, so results do not
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -33,12 +34,12 @@ from basketry.llm.common import fresh, give_back
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units of one batch; units and characters that a task's store keeps; units whose lattices are built at once; log
 #: mass below the best region's at which a region can no longer be the next.
-BATCH, KEPT, KEPT_CHARS, BUILT, FAINT = 25_000, 100_000, 800_000, 10_000, 45.0
+BATCH, KEPT, KEPT_CHARS, BUILT, FAINT = 25_000, 170_000, 1_600_000, 10_000, 45.0
 #: Rows whose texts become Python strings at once.
 ROWS = 256
 BLANK = "▁"
 NONE, BYTES = 0xFFFF, 0xFFFE
-#: Most states have no longer piece than this; they are summed apart from the others.
+#: Most states have no longer piece than this; the others are summed apart.
 NARROW = 5
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -175,12 +176,11 @@ def units(text: str) -> list[str]:
     return out
 
 
-class Numbered(dict):
-    """key -> its number by first appearance."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
+def numbered(keys: Iterable[str] = ()) -> defaultdict:
+    """key -> its number: the given keys in turn, then others by first appearance."""
+    out = defaultdict(None, zip(keys, count()))
+    out.default_factory = count(len(out)).__next__
+    return out
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -192,90 +192,127 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Lattices of distinct units, one state per character.
+    """Lattices of distinct units, one state per character; ``start`` has each unit's first state.
 
-    ``cum[s, l - 1]`` is the probability that the next piece from state s has at most l characters, ``pid`` the
-    piece; ``start`` has each unit's first state.
+    A state has an entry for each length up to that of its longest piece, from ``first`` on: ``chance`` is the
+    probability that the next piece has at most that many characters, ``pid`` the piece of so many.
     """
 
     def __init__(self, distinct: list[str], v: Vocab):
         size = np.fromiter(map(len, distinct), np.int64, len(distinct))
         self.start = np.concatenate([[0], np.cumsum(size)])
-        cps = np.frombuffer("".join(distinct).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        self.chars, n = cps, len(cps)
+        cps = np.frombuffer("".join(distinct).encode("utf-32-le"), np.uint32)
+        self.chars, n, wide = cps, len(cps), v.longest
         own = cps == ord(BLANK)
         cps = np.where(cps == 32, np.uint64(ord(BLANK)), np.where(own, np.uint64(0x110000), cps))
         left = np.repeat(self.start[1:], size) - np.arange(n)
-        pid, live, h = [], np.arange(n), np.zeros(n, np.uint64)
+        live, h = np.arange(n), np.zeros(n, np.uint64)
         self.longest = longest = np.ones(n, np.int64)
-        for k in range(v.longest):
-            ok = left[live] > k
-            live, h = live[ok], h[ok]
-            if not len(live):
+        found = []  # length less one, states and ids of all pieces
+        for k in range(wide):
+            ok = np.flatnonzero(left.take(live) > k)
+            if not len(ok):
                 break
-            h = v.extend(h, cps[live + k])
+            live, h = live.take(ok), h.take(ok)
+            h = v.extend(h, cps.take(live + k))
             hit, ids = v.find(h)
-            piece = ids != NONE
-            longest[live[piece]] = k + 1
-            if k == 0 or piece.any():
-                while len(pid) < k:
-                    pid.append(np.full(n, NONE, np.uint16))
-                col = np.full(n, NONE, np.uint16)
-                col[live] = ids
-                pid.append(col)
-            live, h = live[hit], h[hit]
-        # columns up to the vocabulary's longest piece, so that sums do not depend on the units at hand
-        pid += [np.full(n, NONE, np.uint16) for _ in range(len(pid), v.longest)]
-        self.pid = np.stack(pid, axis=1)
-        wide = self.pid.shape[1]
-        self.n_bytes = 1 + (self.chars >= 0x80).astype(np.int64) + (self.chars >= 0x800) + (self.chars >= 0x10000)
-        lone = self.pid[:, 0] == NONE
-        pid[0][lone] = self.pid[lone, 0] = np.where(self.chars[lone] < 0x80, v.byte[np.minimum(self.chars[lone], 0x7f).astype(np.int64)], BYTES)
-        order = np.argsort(left, kind="stable")
-        edge = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
-        beta = np.zeros(n + wide)
-        self.cum = np.ones((n, wide))
-        for d in range(1, len(edge)):
-            group = order[edge[d - 1]:edge[d]]
-            few = longest[group] <= NARROW
-            for rows, w in ((group[few], min(NARROW, wide, d)), (group[~few], min(wide, d))):
-                if not len(rows):
-                    continue
-                if w < 8:  # columns apart: sums of so few take their terms in turn either way
-                    val = np.empty((w, len(rows)))
-                    for j in range(w):
-                        val[j] = v.weight[pid[j][rows]]
-                    odd = np.flatnonzero(lone[rows])
-                    val[0, odd] = v.byte_weight * self.n_bytes[rows[odd]]
-                    for j in range(w - (d == w)):
-                        val[j] += beta[rows + (j + 1)]
-                    top = val.max(axis=0)
-                    val -= top
-                    p = np.exp(val, out=val)
-                    total = p.sum(axis=0)
-                    p /= total
-                    last = longest[rows]
-                    for j in range(w):
-                        if j:
-                            p[j] += p[j - 1]
-                    for j in range(w):
-                        self.cum[rows, j] = np.where(last <= j + 1, 1.0, p[j])
-                    beta[rows] = top + np.log(total)
-                    continue
-                val = v.weight[self.pid[rows, :w]]
-                odd = np.flatnonzero(lone[rows])
-                val[odd, 0] = v.byte_weight * self.n_bytes[rows[odd]]
-                for j in range(w - (d == w)):
-                    val[:, j] += beta[rows + j + 1]
-                top = val.max(axis=1)
-                p = np.exp(val - top[:, None])
-                total = p.sum(axis=1)
-                p /= total[:, None]
-                cum = np.cumsum(p, axis=1)
-                cum[np.arange(w) >= longest[rows, None] - 1] = 1.0
-                self.cum[rows, :w] = cum
-                # the start of the next unit shares its state number with this unit's end
-                beta[rows] = top + np.log(total)
+            piece = np.flatnonzero(ids != NONE)
+            at, ids = live.take(piece), ids.take(piece)
+            if not k:
+                one = np.full(n, NONE, np.uint16)
+                one[at] = ids
+                lone = np.flatnonzero(one == NONE)
+                chars = self.chars.take(lone)
+                one[lone] = np.where(chars < 0x80, v.byte.take(np.minimum(chars, 0x7f).astype(np.int64)), BYTES)
+            elif len(at):
+                longest[at] = k + 1
+                found.append((k, at, ids))
+            hit = np.flatnonzero(hit)
+            live, h = live.take(hit), h.take(hit)
+        end = np.cumsum(longest)
+        self.first = first = end - longest
+        total = int(end[-1]) if n else 0
+        self.pid, self.chance = np.full(total, NONE, np.uint16), np.ones(total)
+        if not n:
+            return
+        self.pid[first] = one
+        # Longest units first: the states with d characters left are then those of the first units, in turn, and what
+        # follows them after j characters are the first of the states with d - j left.
+        most = int(size.max())
+        by_size = np.argsort(-size, kind="stable")
+        many = np.searchsorted(-size[by_size], -np.arange(1, most + 1), side="right")
+        edge = np.concatenate([[0], np.cumsum(many)])
+        last = self.start[1:].take(by_size)
+        place = np.empty(n, np.int64)  # of each state among the ordered ones
+        place[np.concatenate([last[:m] - d for d, m in enumerate(many.tolist(), 1)])] = np.arange(n)
+        val = np.full((NARROW, n), -np.inf)
+        val[0, place] = v.weight.take(one)
+        val[0, place.take(lone)] = v.byte_weight * (1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000))
+        # the few states with long pieces are worked out apart, in rows by place
+        long = np.flatnonzero(longest > NARROW)
+        long = long[np.argsort(place.take(long))]
+        at_long = place.take(long)
+        long_edge = np.searchsorted(at_long, edge)
+        row = np.full(n, -1)
+        row[long] = np.arange(len(long))
+        apart = np.full((len(long), wide), -np.inf)
+        for k, at, ids in found:
+            self.pid[first.take(at) + k] = ids
+            if k < NARROW:
+                val[k, place.take(at)] = v.weight.take(ids)
+            else:
+                apart[row.take(at), k] = v.weight.take(ids)
+        apart[:, :NARROW] = val[:, at_long].T
+        beta, edge = np.zeros(n), edge.tolist()
+        for d in range(1, most + 1):
+            a, b = edge[d - 1:d + 1]
+            w = min(NARROW, d)
+            p = val[:w, a:b]
+            for j in range(w - (d == w)):
+                p[j] += beta[edge[d - j - 2]:edge[d - j - 2] + b - a]
+            beta[a:b] = self._chances(p)
+            c, e = long_edge[d - 1:d + 1]
+            if c == e:
+                continue
+            follow, w = at_long[c:e] - a, min(wide, d)
+            p = apart[c:e, :w]
+            for j in range(w - (d == w)):
+                p[:, j] += beta.take(follow + edge[d - j - 2])
+            if w < 8:  # columns apart: sums of so few take their terms in turn either way
+                p = np.ascontiguousarray(p.T)
+                beta[at_long[c:e]] = self._chances(p)
+                apart[c:e, :w] = p.T
+                continue
+            p = np.ascontiguousarray(p)
+            top = p.max(axis=1)
+            p = np.exp(p - top[:, None])
+            total = p.sum(axis=1)
+            p /= total[:, None]
+            apart[c:e, :w] = np.cumsum(p, axis=1)
+            beta[at_long[c:e]] = top + np.log(total)
+        for j in range(NARROW - 1):  # the last entry of a state is 1
+            more = np.flatnonzero(longest > j + 1)
+            self.chance[first.take(more) + j] = val[j].take(place.take(more))
+        self.chance[spans(first.take(long), longest.take(long) - 1)] = apart[np.arange(wide) < longest.take(long)[:, None] - 1]
+
+    @staticmethod
+    def _chances(p: np.ndarray) -> np.ndarray:
+        """Turn log masses, one column per state, into chances summed from the first row on; returns the log totals."""
+        top = p.max(axis=0)
+        p -= top
+        np.exp(p, out=p)
+        total = p.sum(axis=0)
+        p /= total
+        for j in range(1, len(p)):
+            p[j] += p[j - 1]
+        return top + np.log(total)
+
+    @property
+    def cum(self) -> np.ndarray:
+        """``chance`` as a table, one row per state; beyond its entries a row is 1."""
+        out = np.ones((len(self.first), max(1, int(self.longest.max(initial=1)))))
+        out[np.arange(out.shape[1]) < self.longest[:, None]] = self.chance
+        return out
 
 
 class Rows:
@@ -287,7 +324,7 @@ class Rows:
     def add(self, rows: np.ndarray) -> None:
         n = self.n + len(rows)
         if n > len(self.all):
-            grown = np.empty((max(n, len(self.all) * 3 // 2), *self.all.shape[1:]), self.all.dtype)
+            grown = np.empty((max(n, len(self.all) * 5 // 4), *self.all.shape[1:]), self.all.dtype)
             grown[:self.n] = self.all[:self.n]
             self.all = grown
         self.all[self.n:n] = rows
@@ -307,19 +344,18 @@ def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Store:
     """Ids and lattices of units, which are numbered; a unit's states follow each other from ``start``.
 
-    ``near`` has a zero and the first NARROW columns of ``Lattice.cum``, ``pid`` their pieces; ``far`` is the row of
-    the few states with longer pieces in ``wide`` and ``wide_pid``, which have them all. Full, it keeps the units that
-    more than one batch had since it was last full, half of its bound at most, and those of the batch at hand.
+    ``near`` is the place of a state's first entry in ``chance`` and ``pid``, which are those of ``Lattice``. Full, it keeps the
+    units met in most batches for their size, older batches counting less, half of its bound at most, and those of the
+    batch at hand.
     """
 
     def __init__(self, v: Vocab):
-        self.v, wide = v, v.longest
-        self.index, self.met = Numbered(), Rows(np.int32)
-        self.start, self.size = Rows(np.int64), Rows(np.int64)
-        self.first, self.n_ids, self.ids = Rows(np.int64), Rows(np.int64), Rows(np.int32)
-        self.near, self.pid = Rows(np.float64, NARROW + 1), Rows(np.uint16, NARROW)
-        self.far, self.chars = Rows(np.int32), Rows(np.uint32)
-        self.wide, self.wide_pid = Rows(np.float64, wide + 1), Rows(np.uint16, wide)
+        self.v = v
+        self.index, self.met = numbered(), Rows(np.float32)
+        self.start, self.size = Rows(np.int32), Rows(np.int32)
+        self.first, self.n_ids, self.ids = Rows(np.int32), Rows(np.int32), Rows(np.int32)
+        self.near, self.chars = Rows(np.int32), Rows(np.uint32)
+        self.chance, self.pid = Rows(np.float64), Rows(np.uint16)
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The units of the texts in turn by number, and the first of each text and the end."""
@@ -329,7 +365,7 @@ class Store:
             docs.append(len(of))
         of, docs = np.array(of, np.int64), np.array(docs)
         new = list(islice(index, self.start.n, None))
-        if self.start.n and (len(index) > KEPT or self.near.n + sum(map(len, new)) > KEPT_CHARS):
+        if self.start.n and (len(index) > KEPT or self.chars.n + sum(map(len, new)) > KEPT_CHARS):
             of = self._compact(of, new)
         for i in range(0, len(new), BUILT):
             self._add(new[i:i + BUILT])
@@ -343,95 +379,81 @@ class Store:
         self.n_ids.add(n)
         self.ids.add(np.fromiter(chain.from_iterable(enc), np.int32, int(n.sum())))
         lat = Lattice(list(map(unit, keys)), self.v)
-        self.start.add(self.near.n + lat.start[:-1])
+        self.start.add(self.chars.n + lat.start[:-1])
         self.size.add(np.diff(lat.start))
-        self.met.add(np.zeros(len(keys), np.int32))
-        near, pid = np.ones((len(lat.cum), NARROW + 1)), np.full((len(lat.cum), NARROW), NONE, np.uint16)
-        wide = min(NARROW, lat.cum.shape[1])
-        near[:, 0], near[:, 1:wide + 1], pid[:, :wide] = 0, lat.cum[:, :wide], lat.pid[:, :wide]
-        self.near.add(near)
-        self.pid.add(pid)
-        self.chars.add(lat.chars.astype(np.uint32))
-        long = np.flatnonzero(lat.longest > NARROW)
-        far = np.full(len(lat.cum), -1, np.int32)
-        far[long] = self.wide.n + np.arange(len(long))
-        self.far.add(far)
-        all_cum, all_pid = np.ones((len(long), self.v.longest + 1)), np.full((len(long), self.v.longest), NONE, np.uint16)
-        all_cum[:, 0], all_cum[:, 1:lat.cum.shape[1] + 1], all_pid[:, :lat.pid.shape[1]] = 0, lat.cum[long], lat.pid[long]
-        self.wide.add(all_cum)
-        self.wide_pid.add(all_pid)
+        self.met.add(np.zeros(len(keys)))
+        self.near.add(self.pid.n + lat.first)
+        self.chars.add(lat.chars)
+        self.chance.add(lat.chance)
+        self.pid.add(lat.pid)
 
     def _compact(self, of: np.ndarray, new: list[str]) -> np.ndarray:
         """Keep what is often met and in ``of``, whose new numbers are returned; ``new`` has no rows yet."""
         n = self.start.n
-        often = np.flatnonzero(self.met.all[:n] > 1)
-        often = often[np.argsort(-self.met.all[often], kind="stable")][:KEPT // 2]
-        often = often[np.cumsum(self.size.all[often]) <= KEPT_CHARS // 2]
+        size = self.size.all[:n]
+        often = np.argsort(-self.met.all[:n] / (size + 4), kind="stable")[:KEPT // 2]
+        often = often[np.cumsum(size[often]) <= KEPT_CHARS // 2]
         stay = np.zeros(n, bool)
         stay[often] = True
         stay[of[of < n]] = True
         old = np.flatnonzero(stay)
         numbers = np.concatenate([np.cumsum(stay) - 1, len(old) + np.arange(len(new))])
-        words = list(self.index)
-        self.index = Numbered(zip(chain(map(words.__getitem__, old.tolist()), new), range(len(old) + len(new))))
-        at = spans(self.first.all[old], self.n_ids.all[old])
-        self.ids.keep(at)
+        words, self.index = list(self.index), None
+        self.index = numbered(chain(map(words.__getitem__, old.tolist()), new))
+        self.ids.keep(spans(self.first.all[old], self.n_ids.all[old]))
         states = spans(self.start.all[old], self.size.all[old])
-        for x in (self.near, self.pid, self.chars, self.far):
-            x.keep(states)
-        far = self.far.all
-        long = far[far >= 0]
-        self.wide.keep(long)
-        self.wide_pid.keep(long)
-        far[far >= 0] = np.arange(len(long))
+        entries = np.diff(self.near.all[:self.near.n], append=self.pid.n)[states]
+        at = spans(self.near.all[states], entries)
+        self.chance.keep(at)
+        self.pid.keep(at)
+        self.chars.keep(states)
         for x in (self.size, self.n_ids, self.met):
             x.keep(old)
-        self.met.all[:] = 0
-        for x, size in ((self.start, self.size), (self.first, self.n_ids)):
-            x.all, x.n = np.cumsum(size.all) - size.all, len(old)
+        self.met.all *= 0.9
+        for x, size in ((self.start, self.size.all), (self.first, self.n_ids.all), (self.near, entries)):
+            x.all, x.n = (np.cumsum(size) - size).astype(np.int32), len(size)
         return numbers[of]
 
     def best(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of the units in turn, and where each unit's begin, with the end."""
-        n = self.n_ids.all[of]
+        n = self.n_ids.all[of].astype(np.int64)
         return self.ids.all[spans(self.first.all[of], n)], np.concatenate([[0], np.cumsum(n)])
 
     def draw(self, st: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each state the next piece at ``r`` of its distribution: characters, probability and id."""
-        near = self.near.all[st]
-        l = (r >= near[:, 1]).view(np.int8)
-        for j in range(2, NARROW + 1):
-            l += r >= near[:, j]
-        far = np.flatnonzero(l == NARROW)
-        at = l[far].astype(np.int64)
-        l[far] = 0
-        row = np.arange(0, near.size, NARROW + 1) + l
-        flat = near.ravel()
-        p = flat[row + 1] - flat[row]
-        pid = self.pid.all.ravel()[st * NARROW + l]
-        if len(far):
-            rows = self.far.all[st[far]]
-            wide = self.wide.all[rows]
-            at += np.count_nonzero(r[far, None] >= wide[:, NARROW + 1:], axis=1)
-            i = np.arange(len(far))
-            l[far], p[far], pid[far] = at, wide[i, at + 1] - wide[i, at], self.wide_pid.all[rows, at]
-        l += 1
-        return l, p, pid
+        chance, at = self.chance.all, self.near.all.take(st)
+        p = chance.take(at)
+        l = np.ones(len(st), np.int8)
+        go = np.flatnonzero(r >= p)
+        below, here, r = p.take(go), at.take(go), r.take(go)
+        while len(go):  # a state's last entry is 1
+            here += 1
+            upto = chance.take(here)
+            l[go] += 1
+            p[go] = upto - below
+            more = np.flatnonzero(r >= upto)
+            go, below, here, r = go.take(more), upto.take(more), here.take(more), r.take(more)
+        at += l
+        at -= 1
+        return l, p, self.pid.all.take(at)
 
     def probability(self, state: int) -> np.ndarray:
-        far = self.far.all[state]
-        return np.diff(self.near.all[state] if far < 0 else self.wide.all[far])
+        a = int(self.near.all[state])
+        b = int(self.near.all[state + 1]) if state + 1 < self.near.n else self.pid.n
+        cum = np.ones((NARROW if b - a <= NARROW else self.v.longest) + 1)
+        cum[0], cum[1:b - a + 1] = 0, self.chance.all[a:b]
+        return np.diff(cum)
 
     def piece(self, state: int, length: int) -> int:
-        far = self.far.all[state]
-        return int(self.pid.all[state, length - 1] if far < 0 else self.wide_pid.all[far, length - 1])
+        return int(self.pid.all[self.near.all[state] + length - 1])
 
 
 class Paths:
-    """Segmentations of a batch of texts, one per text: piece length, id and probability by character."""
+    """Segmentations of a batch of texts, one per text: piece length, id and probability by character; ``at``: where pieces begin."""
 
     def __init__(self, n: int):
         self.length, self.ids, self.p = np.zeros(n, np.uint8), np.empty(n, np.uint16), np.ones(n)
+        self.at = np.zeros(0, np.int64)
 
 
 def sample(units: Store, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k: int):
@@ -441,7 +463,7 @@ def sample(units: Store, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
     first character and the first state of each token.
     """
     n_docs = len(docs) - 1
-    begin, size = units.start.all[of], units.size.all[of]
+    begin, size = units.start.all[of].astype(np.int64), units.size.all[of].astype(np.int64)
     final = begin + size
     off = np.concatenate([[0], np.cumsum(size)])  # first character of each token
     shift = off[:-1] - begin
@@ -463,40 +485,65 @@ def sample(units: Store, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
             path.length[g], path.ids[g], path.p[g] = l, pid, p
             st = st + l
             ok = np.flatnonzero(st < end)
-            st, end, base, far, step = st[ok], end[ok], base[ok], far[ok], step + 1
+            st, end, base, far, step = st.take(ok), end.take(ok), base.take(ok), far.take(ok), step + 1
 
     queues: list[list] = [[] for _ in range(n_docs)]
     found: list[list] = [[] for _ in range(n_docs)]
     tie = 0
 
-    def leave(d: int, turn: int, value: float, at: np.ndarray, logs: np.ndarray, prefix: np.ndarray) -> None:
-        """Queue the regions that leave path ``turn`` of text ``d`` at one of the characters ``at``."""
-        nonlocal tie
-        rest = -np.expm1(logs)
-        mass = prefix + np.log(np.maximum(rest, 1e-300))
-        use = np.flatnonzero((rest > 1e-14) & (mass > mass.max() - FAINT)) if len(mass) else []
-        if not len(use):
-            return
-        u = uniform(keys[d] + np.uint64((turn + 1) * 0x8EBC6AF09C88C6E3 % 2**64) + (at[use] - ends[d]).astype(np.uint64) * np.uint64(0x589965CC75374CC3))
-        cut = -np.logaddexp(-value, np.log(-np.log(u)) - mass[use])
-        for i in np.argsort(-cut)[:k + 1].tolist():
-            j, tie = use[i], tie + 1
-            heapq.heappush(queues[d], (-float(cut[i]), tie, turn, int(at[j]), (), float(prefix[j])))
-
     def settle(turn: int, live: list[int], start: dict[int, tuple]) -> None:
-        """Log probabilities of the new paths, and the regions that leave them."""
+        """Log probabilities of the new paths, and in the queues the regions that leave them at one edge."""
+        nonlocal tie
         path = paths[turn]
-        at_all = np.flatnonzero(path.length)
-        logs_all = np.log(np.maximum(path.p[at_all], 1e-300))
-        edge = np.searchsorted(at_all, ends)
+        at_all = path.at = np.flatnonzero(path.length != 0)
+        logs_all = np.log(np.maximum(path.p.take(at_all), 1e-300))
+        edge = np.searchsorted(at_all, ends).tolist()
+        owner, cuts, prefixes, values = [], [], [], []
         for d in live:
-            at, logs = at_all[edge[d]:edge[d + 1]], logs_all[edge[d]:edge[d + 1]]
+            first, last = edge[d:d + 2]
+            logs = logs_all[first:last]
             value, left = start[d]
             found[d].append([turn, float(logs.sum()), value])
-            prefix = np.concatenate([[0.0], np.cumsum(logs)[:-1]]) if len(logs) else logs
-            s = int(np.searchsorted(at, left, side="right")) if left >= 0 else 0
-            e = s + int(np.searchsorted(-prefix[s:], FAINT - (prefix[s] if s < len(prefix) else 0))) + 1
-            leave(d, turn, value, at[s:e], logs[s:e], prefix[s:e])
+            if first == last:
+                continue
+            s = int(at_all[first:last].searchsorted(left, side="right")) if left >= 0 else 0
+            if s == len(logs):
+                continue
+            many = s + 128
+            while True:  # until a region is too faint; mostly at once
+                prefix = np.zeros(min(many, len(logs)))
+                np.add.accumulate(logs[:len(prefix) - 1], out=prefix[1:])
+                e = s + np.count_nonzero(prefix[s:] > prefix[s] - FAINT) + 1
+                if e <= len(prefix) or len(prefix) == len(logs):
+                    break
+                many *= 2
+            owner.append(d)
+            cuts.append((first + s, min(first + e, last)))
+            prefixes.append(prefix[s:e])
+            values.append(value)
+        if not owner:
+            return
+        # the edges of all texts at once: ``of_text`` is the text's number among ``owner``
+        lo, hi = np.array(cuts).T
+        edges, of_text, prefix = spans(lo, hi - lo), np.repeat(np.arange(len(lo)), hi - lo), np.concatenate(prefixes)
+        rest = -np.expm1(logs_all.take(edges))
+        mass = prefix + np.log(np.maximum(rest, 1e-300))
+        most = np.maximum.reduceat(mass, np.cumsum(hi - lo) - (hi - lo))
+        use = np.flatnonzero((rest > 1e-14) & (mass > most.take(of_text) - FAINT))
+        of_text, prefix, at, text = of_text.take(use), prefix.take(use), at_all.take(edges.take(use)), np.array(owner)
+        text = text.take(of_text)
+        u = uniform(keys[text] + np.uint64((turn + 1) * 0x8EBC6AF09C88C6E3 % 2**64) + (at - ends[text]).astype(np.uint64) * np.uint64(0x589965CC75374CC3))
+        cut = -np.logaddexp(-np.array(values).take(of_text), np.log(-np.log(u)) - mass.take(use))
+        order = np.lexsort((-cut, of_text))
+        rank = np.arange(len(order)) - np.searchsorted(of_text, of_text)  # sorted by text before and after
+        order = order[rank <= k]
+        for d, c, a, x in zip(text.take(order).tolist(), cut.take(order).tolist(), at.take(order).tolist(), prefix.take(order).tolist()):
+            tie += 1
+            heapq.heappush(queues[d], (-c, tie, turn, a, (), x))
+
+    def noise(d: np.ndarray, at: np.ndarray, salt: int) -> list[float]:
+        """One uniform number for each character ``at`` of the texts ``d``."""
+        return uniform(keys[d] + np.uint64(salt) + (at - ends[d]).astype(np.uint64)).tolist()
 
     g0 = -np.log(-np.log(uniform(keys)))
     path = Paths(int(off[-1]))
@@ -508,12 +555,13 @@ def sample(units: Store, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
         live, start, first, state = [], {}, [], []
         path = Paths(int(off[-1]))
         paths.append(path)
-        for d in range(n_docs):
-            if not queues[d]:
-                continue
-            value, _, old, at, gone, before = heapq.heappop(queues[d])
-            t = int(np.searchsorted(off, at, side="right")) - 1
-            st = at - int(shift[t])
+        ds = np.array([d for d in range(n_docs) if queues[d]], np.int64)
+        best = [heapq.heappop(queues[d]) for d in ds]
+        ats = np.array([x[3] for x in best], np.int64)
+        ts = np.searchsorted(off, ats, side="right") - 1
+        draws, others = noise(ds, ats, turn * 0x9FB21C651E98DF25 % 2**64), noise(ds, ats, turn * 0xC6BC279692B5C323 % 2**64)
+        for d, (value, _, old, at, gone, before), t, st, u, other in zip(
+                ds.tolist(), best, ts.tolist(), (ats - shift[ts]).tolist(), draws, others):
             p = units.probability(st)
             gone = (*gone, int(paths[old].length[at]) - 1)
             q = p.copy()
@@ -521,7 +569,6 @@ def sample(units: Store, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
             total = q.sum()
             if total <= 0:
                 continue
-            u = float(uniform(np.array([keys[d] + np.uint64((turn * 0x9FB21C651E98DF25 + at - int(ends[d])) % 2**64)], np.uint64))[0])
             l = int(np.searchsorted(np.cumsum(q), u * total, side="right"))
             l = min(l, int(np.flatnonzero(q)[-1]))
             a, b = int(ends[d]), at
@@ -535,8 +582,7 @@ def sample(units: Store, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
             # what leaves the old path at this edge by yet another piece
             rest = 1.0 - p[list(gone)].sum() - p[l]
             if rest > 1e-14:
-                u = float(uniform(np.array([keys[d] + np.uint64((turn * 0xC6BC279692B5C323 + at - int(ends[d])) % 2**64)], np.uint64))[0])
-                cut = -np.logaddexp(value, -(before + np.log(rest) - np.log(-np.log(u))))
+                cut = -np.logaddexp(value, -(before + np.log(rest) - np.log(-np.log(other))))
                 tie += 1
                 heapq.heappush(queues[d], (-cut, tie, turn, at, gone, before))
         if live:
@@ -555,8 +601,8 @@ def sample(units: Store, of: np.ndarray, docs: np.ndarray, keys: np.ndarray, k:
 
 def path_ids(units: Store, path: Paths, off: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts' paths and where each text's begin; unknown characters are spelled in bytes."""
-    at = np.flatnonzero(path.length)
-    ids = path.ids[at].astype(np.int32)
+    at = path.at
+    ids = path.ids.take(at).astype(np.int32)
     edge = np.searchsorted(at, ends)
     odd = np.flatnonzero(ids == BYTES)
     if len(odd):
@@ -633,8 +679,7 @@ def with_pieces(df: DataFrame, id_col: str, text_col: str, k: int = 2, model: st
             return pa.RecordBatch.from_arrays([
                 *rows.columns[:width], pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(best, pa.int32())),
                 pa.ListArray.from_arrays(pa.array(outer), _lists(each, pa.int32())),
-                _lists([np.array([x[1] for x in g], np.float64) for g in got], pa.float64()),
-                _lists([np.array([x[2] for x in g], np.float64) for g in got], pa.float64()),
+                *(pa.ListArray.from_arrays(pa.array(outer), pa.array([x[i] for g in got for x in g], pa.float64())) for i in (1, 2)),
                 pa.array(round_trips(texts, best, begin, v))],
                 [*rows.schema.names[:width], *names])
 

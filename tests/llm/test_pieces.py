@@ -187,3 +187,40 @@ def test_idle_worker_keeps_no_store(spark, docs):
     df = docs([(i, f"one two three {i}") for i in range(50)]).coalesce(1)
     assert pieces.encode(df, "doc_id", "text").filter("round_trip").count() == 50
     assert {r.n for r in df.select("doc_id").mapInArrow(kept, "n long").collect()} == {0}
+
+
+def test_work_by_batch_not_by_text(monkeypatch):
+    """Noise is drawn for all texts of a batch at once: as many calls for 200 texts as for 20."""
+    calls, old = [], pieces.uniform
+    monkeypatch.setattr(pieces, "uniform", lambda x: calls.append(len(x)) or old(x))
+    v, n = pieces.Vocab(MODEL), []
+    for texts in (20, 200):
+        encode_batch(["the thonre ofstiont, anhe " * 5] * texts, np.arange(texts, dtype=np.uint64), 2, v)
+        n.append(len(calls))
+        calls.clear()
+    assert n[1] <= n[0] + 10, n
+
+
+def test_lattice_is_narrow():
+    """A lattice has all lengths of the longest piece only for the states that need them, and equals sums by character."""
+    import tracemalloc
+    v, rnd = vocab(MODEL), random.Random(6)
+    distinct = [" " + "".join(rnd.choices("etaoinshr", k=rnd.randrange(1, 14))) for _ in range(4000)] + [" 漢é", "\n", " ation", " the▁"]
+    tracemalloc.start()
+    lat = Lattice(distinct, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * len(lat.chars), peak / len(lat.chars)
+    ids = {v.sp.id_to_piece(i): i for i in range(v.sp.get_piece_size()) if v.weight[i] > -np.inf}
+    cum = lat.cum
+    for u, at in zip(distinct[-300:], lat.start[-301:].tolist()):
+        s = "".join(pieces.BLANK if c == " " else "\0" if c == pieces.BLANK else c for c in u)
+        beta = [0.0] * (len(s) + 1)
+        for i in range(len(s) - 1, -1, -1):
+            logs = [v.weight[ids[s[i:j]]] + beta[j] if s[i:j] in ids else -np.inf for j in range(i + 1, min(len(s), i + v.longest) + 1)]
+            if logs[0] == -np.inf:
+                logs[0] = v.byte_weight * len(u[i].encode()) + beta[i + 1]
+            beta[i] = np.logaddexp.reduce(logs)
+            want = np.cumsum(np.exp(np.array(logs) - beta[i]))
+            got = np.append(cum[at + i], np.ones(v.longest))[:len(want)]
+            assert got == pytest.approx(want, abs=1e-9)
